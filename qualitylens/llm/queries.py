@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import mixing
+from qualitylens.llm import mixing, packing
 from qualitylens.session import table
 
 
@@ -13,8 +13,14 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_packing(spark, sf_dir):
+    """Pieces of all documents, packed into sequences of 2048 ids."""
+    return packing.with_crc(packing.pack(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op9_packing": op9_packing,
 }
 
 ORACLES = {
