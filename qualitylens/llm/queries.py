@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import mixing, packing
+from qualitylens.llm import mixing, packing, simhash
 from qualitylens.session import table
 
 
+def op2_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_mixing(spark, sf_dir):
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -19,6 +25,7 @@ def op9_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op9_packing": op9_packing,
 }
