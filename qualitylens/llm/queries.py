@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import mixing, packing, simhash
+from qualitylens.llm import mixing, packing, quality, simhash
 from qualitylens.session import table
 
 
+def op1_quality(spark, sf_dir):
+    """Counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -25,6 +31,7 @@ def op9_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op9_packing": op9_packing,
