@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import mixing, packing, quality, simhash
+from qualitylens.llm import line_dedup, mixing, packing, quality, simhash
 from qualitylens.session import table
 
 
@@ -25,6 +25,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark, sf_dir):
+    """Every document's text without the lines that recur elsewhere."""
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark, sf_dir):
     """Pieces of all documents, packed into sequences of 2048 ids."""
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents")))
@@ -34,9 +39,11 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op9_packing": op9_packing,
 }
 
 ORACLES = {
+    "op6_line_dedup": line_dedup.ORACLE,
     "op3_mixing": mixing.MIXING_ORACLE,
 }
