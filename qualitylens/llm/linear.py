@@ -93,18 +93,29 @@ def fit_logistic(x: Sparse, dense: np.ndarray, y: np.ndarray, l2: float = 1e-4,
 
 
 def fit_platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and constant that turn margins into calibrated probabilities."""
-    a, b = 1.0, 0.0
+    """Slope and constant that turn margins into calibrated probabilities:
+    damped Newton steps, held near slope one by a weak prior."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    prior = np.array([1.0, 0.0])
+
+    def loss(u):
+        m = u[0] * z + u[1]
+        return float(np.sum(np.logaddexp(0, m) - target * m)) + 0.05 * float((u - prior) @ (u - prior))
+
+    u = prior.copy()
     for _ in range(50):
-        p = sigmoid(a * z + b)
-        v = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[v @ (z * z) + 1e-6, v @ z], [v @ z, v.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, [(p - target) @ z, (p - target).sum()])
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-8:
+        p = sigmoid(u[0] * z + u[1])
+        v = p * (1 - p)
+        h = np.array([[v @ (z * z) + 0.1, v @ z], [v @ z, v.sum() + 0.1]])
+        g = np.array([(p - target) @ z, (p - target).sum()]) + 0.1 * (u - prior)
+        step = np.linalg.solve(h, g)
+        t = 1.0
+        while t > 1e-6 and loss(u - t * step) > loss(u) - 1e-4 * t * (g @ step):
+            t /= 2
+        u = u - t * step
+        if np.abs(t * step).sum() < 1e-8:
             break
-    return float(a), float(b)
+    return max(float(u[0]), 1e-3), float(u[1])
 
 
 def folds(ids: np.ndarray, n: int) -> np.ndarray:
