@@ -23,6 +23,8 @@ same rows.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections import deque
 
@@ -42,10 +44,22 @@ SENTENCE_PENALTY, INNER_PENALTY = 8, 64
 #: Within a longer sentence, so many ids lie between possible cuts.
 GRID = 128
 BLOCK = 256 * SEQ_LEN
-#: Words whose ids a worker remembers; then it starts anew.
-CACHE_WORDS = 300_000
-#: The tokenizer's id for the special token that separates words in one call.
-SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
+#: Words, and parts of words, whose ids a worker remembers; then it starts anew.
+CACHE_WORDS = 500_000
+
+#: Latin letters, then marks.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,!?;:|*%$#&]*)")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary:
+    printable ones for themselves, the others for those from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -71,6 +85,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -78,22 +93,30 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if SEPARATOR not in w]
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = self._encode([SEPARATOR.join(part)])[0]
-            cuts = np.flatnonzero(ids == SEPARATOR_ID)
-            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            raw = ids.tobytes()
-            for w, a, b in zip(part, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
-                self.known[w] = raw[a:b]
-        odd = [w for w in words if SEPARATOR in w]
-        for w, ids in zip(odd, self._encode(odd) if odd else [], strict=True):
-            self.known[w] = ids.tobytes()
+        """Latin letters with marks after them are two pre-tokens whose cases
+        fold: such parts recur more than the words do, and the letters go
+        straight to the tokenizer's model. All else takes its whole way."""
+        known, parts, tokenize = self.known, self.parts, self.tokenizer.model.tokenize
+        for word in words:
+            plain = _PLAIN.fullmatch(word)
+            if not plain:
+                known[word] = self._encode(word)
+                continue
+            letters, marks = plain[1].lower(), plain[2]
+            ids = parts.get(letters)
+            if ids is None:
+                tokens = tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_CHARS))
+                ids = parts[letters] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            if marks:
+                more = parts.get(marks)
+                if more is None:
+                    more = parts[marks] = self._encode(marks)
+                ids += more
+            known[word] = ids
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row without end ids, each text's number of
@@ -102,8 +125,9 @@ class WordIds:
         bounds = split.offsets.to_numpy()
         coded = pc.dictionary_encode(split.flatten())
         codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        for cache in (self.known, self.parts):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
         missing = [w for w in words if w not in self.known]
         if missing:
             self._learn(missing)

@@ -11,6 +11,20 @@ TEXTS = [
 ]
 
 
+def test_words_are_encoded_as_in_whole_texts():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()[:400]
+    texts += [t or "" for t in TEXTS] + ["don't I'LL they're 's x's ÀÉÎÕÜ straße STRASSE ÷× ÿŸ ½ª º µ ß", "e\u0301a a\u0308,b. \u212a\u2126 ﬁx İstanbul ſ", "a.b,c!!d 12abc34 x_y ... *** .a"]
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    ids, sizes, _ = packing.WordIds.of(packing.default_tokenizer()).texts(pa.array(texts))
+    at = 0
+    for x, n in zip(texts, sizes.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == t.encode(x, add_special_tokens=False).ids, x
+        at += n
+
+
 def check(rows, docs, seq_len):
     t = Tokenizer.from_file(packing.default_tokenizer())
     want = sorted(tuple(t.encode(x or "", add_special_tokens=False).ids) + (1,) for _, x in docs)
