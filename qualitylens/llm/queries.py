@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import line_dedup, mixing, packing, quality, simhash
+from qualitylens.llm import line_dedup, mixing, packing, quality, simhash, url_filter
 from qualitylens.session import table
 
 
@@ -25,6 +25,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark, sf_dir):
     """Every document's text without the lines that recur elsewhere."""
     return line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,6 +44,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
     "op9_packing": op9_packing,
 }
