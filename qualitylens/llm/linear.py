@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from qualitylens.llm.ngrams import Family, parts
 
 SCALE = 10.0
+#: Texts with fewer n-grams count as having so many: a few words prove little.
+MIN_GRAMS = 20
 #: Bound on the labelled rows that a fit reads, those with the least hash of their id.
 MAX_ROWS = 3000
 
@@ -134,7 +136,7 @@ def sparse_rows(families: list[Family], bits: int) -> list[tuple[np.ndarray, np.
         for k, (buckets, low, high) in enumerate(families):
             i, n = np.unique(buckets[low[d] : high[d]], return_counts=True)
             idx.append((i.astype(np.int64) + (k << bits)).astype(np.int32))
-            val.append((n * (SCALE / max(1, high[d] - low[d]))).astype(np.float32))
+            val.append((n * (SCALE / max(MIN_GRAMS, high[d] - low[d]))).astype(np.float32))
         out.append((np.concatenate(idx), np.concatenate(val)))
     return out
 
@@ -147,7 +149,7 @@ def scores(families: list[Family], weights: np.ndarray, bits: int) -> np.ndarray
         own = weights[:, k << bits : (k + 1) << bits]
         for m, w in enumerate(own):
             upto = np.concatenate([[0.0], np.cumsum(w[buckets], dtype=np.float64)])
-            total[m] += (upto[high] - upto[low]) * (SCALE / np.maximum(1, high - low))
+            total[m] += (upto[high] - upto[low]) * (SCALE / np.maximum(MIN_GRAMS, high - low))
     return total
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import line_dedup, mixing, packing, quality, simhash, url_filter
+from qualitylens.llm import license_scan, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from qualitylens.session import table
 
 
@@ -35,18 +35,32 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark, sf_dir):
+    """Category probabilities and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, toxicity.category_labels(table(spark, sf_dir, "labels"))))
+
+
 def op9_packing(spark, sf_dir):
     """Pieces of all documents, packed into sequences of 2048 ids."""
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op10_license_scan(spark, sf_dir):
+    """The licence of every document, filed under its source and language."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES = {
