@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import license_scan, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from qualitylens.llm import chat, license_scan, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from qualitylens.session import table
 
 
@@ -35,6 +35,12 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_chat(spark, sf_dir):
+    """Recovered role and rendering of every turn."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat.decode(turns, chat.train(turns))
+
+
 def op8_toxicity(spark, sf_dir):
     """Category probabilities and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +64,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
