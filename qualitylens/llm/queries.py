@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import chat, license_scan, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from qualitylens.llm import chat, embed_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from qualitylens.session import table
 
 
@@ -25,6 +25,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    """Links and group of every vector."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark, sf_dir):
     """Host, path, rule and verdict of every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
