@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from qualitylens.plans import aggregates  # noqa: F401
+from qualitylens.plans.registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
-def flagship(spark, sf_dir):
-    from qualitylens.session import table
 
-    return table(spark, sf_dir, "events").groupBy("event_type").count()
+def flagship(spark, sf_dir):
+    return QUERIES["q069_pattern_bank"](spark, sf_dir)
