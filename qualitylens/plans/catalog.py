@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from qualitylens.plans import aggregates, joins, projections, sequences  # noqa: F401
+from qualitylens.plans import aggregates, graphs, joins, projections, sequences  # noqa: F401
 from qualitylens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["q069_pattern_bank"](spark, sf_dir)
+    """Daily coherence state of the channels."""
+    return QUERIES["q170_coherence_state"](spark, sf_dir)
