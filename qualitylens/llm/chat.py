@@ -141,6 +141,34 @@ def joints(model: Model, first: np.ndarray, pieces: list[np.ndarray]) -> list[in
 
 
 _ORDER = ["turn", *FEATURES, "h"]
+_NONE = -(1 << 63)
+
+
+def decode_many(model: Model, features: np.ndarray, start: np.ndarray, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Viterbi over many pieces at once. ``features``: a row per turn, pieces
+    one after the other from ``start``; ``before``, ``last``: the role before a
+    piece and its last role, or -1. Pieces of like length go together."""
+    size = np.diff(np.append(start, len(features)))
+    scores, out = model.scores(features), np.zeros(len(features), np.int32)
+    first = np.concatenate([model.move, model.start[None]])  # row -1: nothing before
+    for bits in np.unique(np.ceil(np.log2(size))):
+        own = np.flatnonzero(np.ceil(np.log2(size)) == bits)
+        own = own[np.argsort(-size[own], kind="stable")]
+        n, longest = size[own], int(size[own].max())
+        best = first[before[own]] + scores[start[own]]
+        back = np.zeros((longest, len(own), len(ROLES)), np.int8)
+        for t in range(1, longest):
+            k = int(np.searchsorted(-n, -t, side="left"))  # pieces longer than t
+            step = best[:k, :, None] + model.move[None]
+            back[t, :k] = step.argmax(axis=1)
+            best[:k] = step.max(axis=1) + scores[start[own[:k]] + t]
+        role = np.where(last[own] >= 0, last[own], best.argmax(axis=1))
+        for t in range(longest - 1, -1, -1):
+            k = int(np.searchsorted(-n, -t, side="left"))
+            out[start[own[:k]] + t] = role[:k]
+            if t:
+                role[:k] = back[t, np.arange(k), role[:k]]
+    return out
 
 
 def decode(turns: DataFrame, model: Model, piece: int = PIECE) -> DataFrame:
@@ -178,17 +206,37 @@ def decode(turns: DataFrame, model: Model, piece: int = PIECE) -> DataFrame:
     found = split.groupBy("conv_id", "piece").applyInPandas(matrices, "conv_id long, piece long, first array<double>, through array<double>")
     joint = scratch.save(found.groupBy("conv_id").applyInPandas(ends, "c long, p long, before long, last long"))
 
-    def roles(key, frame: pd.DataFrame) -> pd.DataFrame:
-        m = shared.value
-        frame = frame.sort_values(_ORDER)
-        before, last = frame["before"].iloc[0], frame["last"].iloc[0]
-        start = m.start if pd.isna(before) or before < 0 else m.move[int(before)]
-        best, back = viterbi(start, m.move, m.scores(frame[FEATURES].to_numpy()))
-        path = trace(back, int(best.argmax()) if pd.isna(last) else int(last))
-        return pd.DataFrame({"conv_id": frame["conv_id"], "turn": frame["turn"], "text": frame["text"], "recovered": [ROLES[r] for r in path]})
-
-    whole = rows.join(joint, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p")), "left").drop("c", "p")
-    out = whole.groupBy("conv_id", "piece").applyInPandas(roles, "conv_id long, turn long, text string, recovered string")
+    def roles(frames):
+        """Whole pieces, many at a time; a batch's last piece waits for the next batch."""
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            last = (f["c"] == f["c"].iloc[-1]) & (f["piece"] == f["piece"].iloc[-1])
+            f, rest = f[~last], f[last]
+            if len(f):
+                yield decoded(f)
+        if rest is not None and len(rest):
+            yield decoded(rest)
+
+    def decoded(f: pd.DataFrame) -> pd.DataFrame:
+        c, piece = f["c"].to_numpy(), f["piece"].to_numpy()
+        start = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (piece[1:] != piece[:-1])])
+        path = decode_many(shared.value, f[FEATURES].to_numpy(), start, f["before"].to_numpy()[start], f["last"].to_numpy()[start])
+        return pd.DataFrame({"c": c, "t": f["t"].to_numpy(), "nulls": f["nulls"].to_numpy(), "text": f["text"].to_numpy(), "r": path})
+
+    joint = joint.select(F.coalesce("c", F.lit(_NONE)).alias("c"), F.col("p").alias("piece"), "before", "last")
+    # nulls travel as flags, since numbers with nulls would turn into floats
+    keyed = rows.select(
+        F.coalesce("conv_id", F.lit(_NONE)).alias("c"), "piece", F.coalesce("turn", F.lit(_NONE)).alias("t"),
+        (F.col("conv_id").isNull().cast("int") + 2 * F.col("turn").isNull().cast("int")).alias("nulls"), "text", "h", *FEATURES,
+    )
+    whole = keyed.join(joint, ["c", "piece"], "left").na.fill(-1, ["before", "last"])
+    whole = whole.repartition("c", "piece").sortWithinPartitions("c", "piece", "t", *FEATURES, "h").drop("h")
+    out = whole.mapInPandas(roles, "c long, t long, nulls int, text string, r int")
+    out = out.select(
+        F.when(F.col("nulls") % 2 == 0, F.col("c")).alias("conv_id"), F.when(F.col("nulls") < 2, F.col("t")).alias("turn"), "text",
+        F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("r") + 1).alias("recovered"),
+    )
     body = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), _STRIP, ""), F.lit(" \t\n\x0b\x0c\r"))
     rendered = F.concat(F.lit("<|"), F.col("recovered"), F.lit("|>\n"), body, F.lit("\n<|end|>"))
     return out.select("conv_id", "turn", "recovered", rendered.alias("rendered"))
