@@ -277,7 +277,7 @@ def q087(spark, sf):
 
 
 @query("q088_bias_adjustments", """with g as (select event_type, count(distinct user_id) as sessions, count(*) as n, count(*) filter (value > 100) as accepted from events group by 1)
-select event_type, case when sessions < 5 then 0.0 when accepted > 0.5 * n then 0.1 when accepted < 0.1 * n then -0.1 else 0.0 end as adjustment from g""")
+select event_type, cast(case when sessions < 5 then 0.0 when accepted > 0.5 * n then 0.1 when accepted < 0.1 * n then -0.1 else 0.0 end as double) as adjustment from g""")
 def q088(spark, sf):
     """A step up or down by acceptance where there are sessions enough."""
     g = table(spark, sf, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("sessions"), F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("accepted"))

@@ -185,7 +185,7 @@ def q008(spark, sf):
 _COHERENCE = f"""with {FINDINGS}, c as (select run, channel, count(*) filter (severity <> 'informational') as n, count(distinct file) filter (severity <> 'informational') as files, case when avg(value) > 52 then 1 else 0 end as fail from f group by all),
 r as (select run, cast(sum(fail) as bigint) as failing, count(*) as channels, cast(coalesce(sum(n) filter (fail = 1), 0) as bigint) as loud_findings from c group by run),
 s as (select *, case when channels < 5 then 'degraded' when failing = 0 then 'stable' when failing = 1 then 'isolated' when failing >= 3 then 'systemic' else 'coupled' end as state from r)
-select run, state, failing, loud_findings, round(case state when 'degraded' then 0.3 when 'stable' then 1.0 when 'isolated' then 0.8 when 'systemic' then least(1.0, 0.5 + 0.1 * failing) else 0.6 end, 4) as confidence,
+select run, state, failing, loud_findings, cast(round(case state when 'degraded' then 0.3 when 'stable' then 1.0 when 'isolated' then 0.8 when 'systemic' then least(1.0, 0.5 + 0.1 * failing) else 0.6 end, 4) as double) as confidence,
   state <> lag(state, 1, state) over (order by run) as changed from s"""
 
 
@@ -216,7 +216,7 @@ def q171(spark, sf):
 
 @query("q173_decomposition_verdict", """with l as (select p_partkey, case when p_size > 25 then least(0.5 + 0.01 * p_size, 0.8) else 0.0 end as a, case when p_retailprice > 1200 then 0.6 when p_size > 40 then 0.5 else 0.0 end as b, case when p_brand like '%1' then 0.55 else 0.0 end as c from part),
 v as (select p_partkey, (a > 0)::int + (b > 0)::int + (c > 0)::int as lenses, 1 - (1 - a) * (1 - b) * (1 - c) as s from l)
-select p_partkey, lenses, round(s, 4) as support, case when lenses >= 2 and s >= 0.7 then 'EXTRACT_BOUNDARY' when lenses = 0 then 'INSUFFICIENT_EVIDENCE' else 'KEEP_TESTING' end as verdict from v""")
+select p_partkey, lenses, cast(round(s, 4) as double) as support, case when lenses >= 2 and s >= 0.7 then 'EXTRACT_BOUNDARY' when lenses = 0 then 'INSUFFICIENT_EVIDENCE' else 'KEEP_TESTING' end as verdict from v""")
 def q173(spark, sf):
     s = F.col("p_size")
     a = F.when(s > 25, F.least(0.5 + 0.01 * s, F.lit(0.8))).otherwise(0.0)

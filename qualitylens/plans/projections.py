@@ -115,7 +115,7 @@ def q023(spark, sf):
     return f.join(n, ["channel", "file"]).where("not (channel = 'view' and seen >= 10)").select("ord", F.when(eligible, "informational").otherwise(F.col("severity")).alias("severity"))
 
 
-@query("q024_effort_roi", """select l_returnflag, case l_returnflag when 'A' then 5.0 when 'R' then 2.0 else 10.0 end as effort, round(sum(l_discount) / greatest(case l_returnflag when 'A' then 5.0 when 'R' then 2.0 else 10.0 end, 0.1), 4) as roi from lineitem group by 1, 2""")
+@query("q024_effort_roi", """select l_returnflag, case l_returnflag when 'A' then 5.0 when 'R' then 2.0 else 10.0 end::double as effort, round(sum(l_discount) / greatest(case l_returnflag when 'A' then 5.0 when 'R' then 2.0 else 10.0 end, 0.1), 4) as roi from lineitem group by 1, 2""")
 def q024(spark, sf):
     effort = F.coalesce(F.create_map(F.lit("A"), F.lit(5.0), F.lit("R"), F.lit(2.0))[F.col("l_returnflag")], F.lit(10.0))
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.sum("l_discount").alias("s")).select("l_returnflag", effort.alias("effort"), F.round(F.col("s") / F.greatest(effort, F.lit(0.1)), 4).alias("roi"))
@@ -179,7 +179,7 @@ def q030(spark, sf):
 _RISK = "least(1.0, case when c_acctbal < 0 then 0.3 else 0.0 end + case when c_nationkey >= 5 then 0.2 else 0.0 end + case when c_nationkey >= 15 then 0.1 else 0.0 end + case when c_mktsegment like 'A%' then 0.2 else 0.0 end + case when c_acctbal < 500 then 0.1 else 0.0 end)"
 
 
-@query("q031_risk_score", f"select c_custkey, round({_RISK}, 4) as risk, case when {_RISK} >= 0.7 then 'P0' when {_RISK} >= 0.4 then 'P1' else 'P2' end as risk_band from customer")
+@query("q031_risk_score", f"select c_custkey, cast(round({_RISK}, 4) as double) as risk, case when {_RISK} >= 0.7 then 'P0' when {_RISK} >= 0.4 then 'P1' else 'P2' end as risk_band from customer")
 def q031(spark, sf):
     """Additive score with a cap, and its band."""
     part = lambda cond, w: F.when(cond, w).otherwise(0.0)
