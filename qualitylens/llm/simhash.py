@@ -13,6 +13,12 @@ segment. As the key holds both segments, a segment value that very many
 fingerprints share gathers no large bucket: a bucket never has more than 65
 distinct fingerprints, whatever the corpus. Matches of a bucket are verified
 by the complete distance, and a bucket links its members to its smallest.
+
+Over five-word shingles, texts of a Jaccard similarity of 0.8 differ in about
+10 of 64 bits, more than small Hamming balls reach. ``near_duplicates`` with a
+``similarity`` so also takes links from a second index, whose keys are bands of
+least hashes of a text's distinct shingles, and verifies them by the exact
+similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -26,11 +32,18 @@ from pyspark.sql import functions as F
 
 from qualitylens.llm.common import arrow_batches
 from qualitylens.llm.components import components
+from qualitylens.llm.ngrams import TextBatch, joined, parts
 from qualitylens.session import Scratch
 
 SEED = 42
 RADIUS = 2
 SHINGLE = 3
+#: The second index: words in a shingle, least similarity, bands and least hashes in each.
+#: A pair at 0.8 meets in a band with probability 0.998.
+SET_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 12, 4
+_MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LAST = (1 << 63) - 1
 
 #: Per byte the bits that are set, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -61,17 +74,99 @@ def majority(hashes: np.ndarray) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(set_ * 2 > len(hashes)))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def shingle_sets(texts: list) -> list[np.ndarray]:
+    """Per text its distinct shingles of ``SET_SHINGLE`` words, hashed and in order."""
+    out = []
+    for a, e in parts(texts):
+        b = TextBatch(texts[a:e], lower=True)
+        h = joined(b.words(), SET_SHINGLE)
+        low = np.minimum(b.word_low, len(h))
+        high = np.maximum(np.minimum(b.word_high - SET_SHINGLE + 1, len(h)), low)
+        out += [np.unique(h[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+    return out
+
+
+def set_key(grams: np.ndarray) -> int:
+    """One signed hash of a set of shingles."""
+    with np.errstate(over="ignore"):
+        return int(((grams ^ grams >> np.uint64(33)) * _MULTIPLIERS[0]).sum(dtype=np.uint64).astype(np.int64))
+
+
+def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """Per set a key for each band, from the least hashes of ``ROWS`` orders; none for an empty set."""
+    size = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(size)
+    out: list[list[int]] = [[] for _ in sets]
+    if len(full):
+        flat, start = np.concatenate(sets), (np.cumsum(size) - size)[full]
+        mixed = (flat ^ flat >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        keys = np.zeros((len(full), BANDS), np.uint64)
+        for k, m in enumerate(_MULTIPLIERS):
+            least = np.minimum.reduceat((mixed ^ mixed >> np.uint64(29)) * m, start)
+            band = k // ROWS
+            keys[:, band] = (keys[:, band] ^ keys[:, band] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + least + np.uint64(band)
+        for i, row in zip(full.tolist(), keys.view(np.int64).tolist(), strict=True):
+            out[i] = row
+    return out
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links a, b among the fingerprints of ``rows`` (see ``fingerprints``)
+    whose texts have a Jaccard similarity of ``similarity`` or more.
+
+    Equal shingle sets are one class. A bucket pairs its classes with its least
+    and its greatest, so pairs grow with the rows and not with their square;
+    pairs too unlike in size go, and the others are verified by their sets.
+    """
+    texts = rows.where(F.size("keys") > 0).groupBy("set", "fp").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = scratch.save(texts)
+    sets = scratch.save(texts.groupBy("set").agg(F.min(F.struct("id", "fp")).alias("m"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("set", "m.id", "m.fp", "n", "keys"))
+    same = texts.select("set", F.col("fp").alias("b")).join(sets.select("set", F.col("fp").alias("a")), "set").where("a <> b").select("a", "b")
+
+    entries = scratch.save(sets.select("set", "n", F.explode("keys").alias("key")))
+    heads = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("set", "n")).alias("low"), F.max(F.struct("set", "n")).alias("high"))
+    heads = scratch.save(heads.where(F.col("size") > 1).select("key", "low", "high"))
+    met = entries.join(heads, "key").select("set", "n", F.explode(F.array("low", "high")).alias("head"))
+    met = met.where((F.col("set") != F.col("head.set")) & (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n")))
+    pairs = scratch.save(met.select(F.least("set", "head.set").alias("x"), F.greatest("set", "head.set").alias("y")).distinct())
+
+    asked = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
+    asked = scratch.save(asked.join(sets.select("set", "id", "fp"), "set"))
+
+    def grams(batches):
+        for b in batches:
+            found = shingle_sets(b.column(2).to_pylist())
+            keep = [i for i, (g, s) in enumerate(zip(found, b.column(0).to_pylist(), strict=True)) if set_key(g) == s]
+            values = pa.array([found[i].astype(np.uint32).view(np.int32) for i in keep], pa.list_(pa.int32()))
+            yield pa.record_batch({"set": b.column(0).take(pa.array(keep, pa.int64())), "fp": b.column(1).take(pa.array(keep, pa.int64())), "grams": values})
+
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text").join(asked, "id").select("set", "fp", "text")
+    whole = scratch.save(whole.mapInArrow(grams, "set long, fp long, grams array<int>"))
+    whole = whole.dropDuplicates(["set"])
+    both = pairs.join(whole.select(F.col("set").alias("x"), F.col("fp").alias("a"), F.col("grams").alias("ga")), "x")
+    both = both.join(whole.select(F.col("set").alias("y"), F.col("fp").alias("b"), F.col("grams").alias("gb")), "y")
+    common = F.size(F.array_intersect("ga", "gb"))
+    alike = both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9)
+    return same.union(alike.where("a <> b").select("a", "b"))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id and fp, the fingerprint as a
-    signed long. Null and wordless texts have fingerprint zero."""
+    signed long. Null and wordless texts have fingerprint zero. With ``sketch``
+    also set, n and keys: the hash, size and band keys of the shingle set."""
     arrow_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fps = np.array([majority(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)], np.uint64)
-            yield pa.record_batch({"doc_id": b.column(0), "fp": pa.array(fps.view(np.int64), pa.int64())})
+            out = {"doc_id": b.column(0), "fp": pa.array(fps.view(np.int64), pa.int64())}
+            if sketch:
+                sets = shingle_sets(b.column(1).to_pylist())
+                out |= {"set": pa.array([set_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "keys": pa.array(band_keys(sets), pa.list_(pa.int64()))}
+            yield pa.record_batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    more = ", set long, n long, keys array<long>" if sketch else ""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long" + more)
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -92,25 +187,30 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """Groups of near-duplicate documents.
 
     ``docs``: doc_id, text; other columns are ignored. Returns a row per row of
     ``docs``: doc_id, fp, component_id, the smallest doc_id among all whose
-    fingerprints are linked directly or through others. Null and wordless texts
+    fingerprints are linked directly or through others. With ``similarity``,
+    texts of such a Jaccard similarity over five-word shingles are linked too
+    (a text of fewer words has no shingles there). Null and wordless texts
     share fingerprint zero and link like any other; a null doc_id is larger
     than any other; rows that repeat an id are each a row. An empty table gives
     no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.save(fingerprints(docs, shingle))
+    fps = scratch.save(fingerprints(docs, shingle, similarity is not None))
     classes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(classes.select("fp"), radius), scratch)
+    near = links(classes.select("fp"), radius)
+    if similarity is not None:
+        near = near.union(similar_links(docs, fps, similarity, scratch))
+    found = components(near, scratch)
     roots = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
     roots = roots.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     of = roots.join(ids, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return fps.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:

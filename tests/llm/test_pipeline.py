@@ -33,7 +33,10 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert (lines.text.str.len() == lines.n_chars).all()
 
     fps = {i: brute_fp(t) for i, t in want.items()}
-    root = brute_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    words = {i: t.lower().split() for i, t in want.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    alike = lambda a, b: sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    root = brute_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 or alike(a, b))
     assert sorted(single.doc_id) == sorted(set(root.values()))
 
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(single[["doc_id", "source", "text"]])).collect()}

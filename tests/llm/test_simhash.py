@@ -83,3 +83,48 @@ def test_odd_tables(spark):
     got = sorted((x.doc_id or -1, x.component_id or -1) for x in simhash.near_duplicates(df).collect())
     assert got == [(-1, -1), (-1, 3), (3, 3), (3, 3)]
     assert simhash.keep_one(df).count() == 2
+
+
+def test_similar_sets_against_brute_force(spark):
+    """With a similarity, groups are the closure of both kinds of links."""
+    import random
+
+    r = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randint(60, 200))) for _ in range(60)]
+    for k in range(60):
+        words = texts[k].split()
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 5 + ["few words", "few words", "", "", None]
+    rows = list(enumerate(texts)) + [(None, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.fp, x.component_id) for x in simhash.near_duplicates(docs, similarity=0.8).collect()}
+
+    def grams(t):
+        w = (t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets = {i: grams(t) for i, t in rows if i is not None}
+    group = {i: i for i in sets}
+    links = [
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or ((got[a][0] ^ got[b][0]) & (2**64 - 1)).bit_count() <= 2)
+    ]
+    for _ in range(10):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    assert len({group[i] for i in sets}) < len(set(texts))
+    assert {i: got[i][1] for i in sets} == group
+    assert got[None][1] == group[1]
+
+
+def test_similar_sets_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(empty, similarity=0.8).count() == 0
+    odd = spark.createDataFrame([(1, "a b c d e f", 1), (1, "g h i j k l", 2), (2, "a b c d e f", 3), (None, None, 4)], "doc_id long, text string, key int")
+    assert simhash.near_duplicates(odd, similarity=0.8).count() == 4
+    assert simhash.keep_one(odd, similarity=0.8).columns == ["doc_id", "text", "key"]
