@@ -69,7 +69,8 @@ def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     spark = files.sparkSession
     scratch = Scratch(spark)
     vocabulary = sorted({t for _, notice in templates for t in terms(notice)})
-    lines = _lines(files, vocabulary)
+    # texts are taken apart once; what is kept of a line is a few words
+    lines = scratch.save(_lines(files, vocabulary).select("h", "line_no", "words", "known", "others"))
     # rarity is counted over all lines
     df = lines.select(F.explode("known").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = lines.agg(F.count("*").alias("n"))
