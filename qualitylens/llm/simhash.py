@@ -18,7 +18,8 @@ Over five-word shingles, texts of a Jaccard similarity of 0.8 differ in about
 10 of 64 bits, more than small Hamming balls reach. ``near_duplicates`` with a
 ``similarity`` so also takes links from a second index, whose keys are bands of
 least hashes of a text's distinct shingles, and verifies them by the exact
-similarity of the shingle sets.
+similarity of the shingle sets. Where a band gathers many texts, those still
+apart are joined by their rarest shingles, which misses none.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualitylens.llm.common import arrow_batches
@@ -42,6 +43,8 @@ SHINGLE = 3
 #: A pair at 0.8 meets in a band with probability 0.998.
 SET_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
+#: Classes in a bucket that are all paired; larger buckets go by their rarest shingles.
+SMALL = 8
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = (1 << 63) - 1
 
@@ -112,11 +115,13 @@ def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
 
 def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Links a, b among the fingerprints of ``rows`` (see ``fingerprints``)
-    whose texts have a Jaccard similarity of ``similarity`` or more.
+    whose texts have a Jaccard similarity of ``similarity`` or more, enough of
+    them to connect all that share a band.
 
-    Equal shingle sets are one class. A bucket pairs its classes with its least
-    and its greatest, so pairs grow with the rows and not with their square;
-    pairs too unlike in size go, and the others are verified by their sets.
+    Equal shingle sets are one class. A bucket of up to ``SMALL`` classes pairs
+    all of them. A larger one first pairs them with its least and greatest,
+    and what that leaves apart is joined exactly (see ``rare_pairs``). Pairs
+    too unlike in size go, and the others are verified by their sets.
     """
     texts = rows.where(F.size("keys") > 0).groupBy("set", "fp").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = scratch.save(texts)
@@ -125,12 +130,15 @@ def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, scratch:
 
     entries = scratch.save(sets.select("set", "n", F.explode("keys").alias("key")))
     heads = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("set", "n")).alias("low"), F.max(F.struct("set", "n")).alias("high"))
-    heads = scratch.save(heads.where(F.col("size") > 1).select("key", "low", "high"))
-    met = entries.join(heads, "key").select("set", "n", F.explode(F.array("low", "high")).alias("head"))
+    heads = scratch.save(heads.where(F.col("size") > 1))
+    hot = scratch.save(entries.join(heads.where(F.col("size") > SMALL), "key").select("set", "n", "low", "high"))
+    few = entries.join(heads.where(F.col("size") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("set", "n")).alias("all"))
+    met = few.select(F.explode("all").alias("one"), "all").select("one.set", "one.n", F.explode("all").alias("head"))
+    met = met.union(hot.select("set", "n", F.explode(F.array("low", "high")).alias("head")))
     met = met.where((F.col("set") != F.col("head.set")) & (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n")))
     pairs = scratch.save(met.select(F.least("set", "head.set").alias("x"), F.greatest("set", "head.set").alias("y")).distinct())
 
-    asked = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
+    asked = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).union(hot.select("set")).distinct()
     asked = scratch.save(asked.join(sets.select("set", "id", "fp"), "set"))
 
     def grams(batches):
@@ -143,13 +151,50 @@ def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, scratch:
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text").join(asked, "id").select("set", "fp", "text")
     whole = scratch.save(whole.mapInArrow(grams, "set long, fp long, grams array<int>"))
     whole = whole.dropDuplicates(["set"])
-    both = pairs.join(whole.select(F.col("set").alias("x"), F.col("fp").alias("a"), F.col("grams").alias("ga")), "x")
-    both = both.join(whole.select(F.col("set").alias("y"), F.col("fp").alias("b"), F.col("grams").alias("gb")), "y")
-    common = F.size(F.array_intersect("ga", "gb"))
-    alike = both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(whole.select(F.col("set").alias("x"), F.col("fp").alias("a"), F.col("grams").alias("ga")), "x")
+        both = both.join(whole.select(F.col("set").alias("y"), F.col("fp").alias("b"), F.col("grams").alias("gb")), "y")
+        common = F.size(F.array_intersect("ga", "gb"))
+        return both.where(common >= similarity * (F.size("ga") + F.size("gb") - common) - 1e-9).select("x", "y", "a", "b")
+
+    alike = verified(pairs)
+    if hot.limit(1).count():
+        alike = scratch.save(alike)
+        groups = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).withColumnRenamed("node", "set")
+        apart = hot.select("set").distinct().join(whole.select("set", "grams"), "set").join(groups, "set", "left")
+        apart = scratch.save(apart.select("set", F.coalesce("root", "set").alias("root"), F.size("grams").alias("n"), "grams"))
+        alike = alike.union(verified(rare_pairs(apart, similarity, scratch)))
     return same.union(alike.where("a <> b").select("a", "b"))
 
 
+def rare_pairs(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs x, y of ``sets`` (set, root, n, grams) of different roots, among
+    them all whose similarity is ``similarity`` or more.
+
+    Every set orders its grams from the rarest on. Two that are alike enough
+    share a gram that both have early: from their first common one on, each
+    must still have as many as they have to share, so a passage that many texts
+    share brings only those together of which it is nearly all.
+    """
+    grams = scratch.save(sets.select("set", F.explode("grams").alias("gram")))
+    counts = scratch.save(grams.groupBy("gram").agg(F.count("*").alias("texts")).where(F.col("texts") > 1))
+    common = scratch.save(grams.join(counts, "gram"))
+    order = Window.partitionBy("set").orderBy("texts", "gram")
+    common = common.select("set", "gram", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("set")).alias("of"))
+    # left: the grams from this one on, those that no other text has come first
+    common = common.select("set", "gram", (F.col("of") - F.col("k") + 1).alias("left"))
+    early = common.join(sets.select("set", "root", "n"), "set").where(F.col("left") >= similarity * F.col("n") - 1e-9)
+    early = scratch.save(early)
+    shared = early.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    early = scratch.save(early.join(shared, "gram"))
+    x, y = early.alias("x"), early.alias("y")
+    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    met = x.join(y, "gram").where("x.set < y.set and x.root <> y.root")
+    met = met.where((F.col("x.left") >= least) & (F.col("y.left") >= least))
+    return scratch.save(met.select(F.col("x.set").alias("x"), F.col("y.set").alias("y")).distinct())
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id and fp, the fingerprint as a
     signed long. Null and wordless texts have fingerprint zero. With ``sketch``

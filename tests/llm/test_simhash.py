@@ -128,3 +128,30 @@ def test_similar_sets_of_odd_tables(spark):
     odd = spark.createDataFrame([(1, "a b c d e f", 1), (1, "g h i j k l", 2), (2, "a b c d e f", 3), (None, None, 4)], "doc_id long, text string, key int")
     assert simhash.near_duplicates(odd, similarity=0.8).count() == 4
     assert simhash.keep_one(odd, similarity=0.8).columns == ["doc_id", "text", "key"]
+
+
+def test_similar_sets_that_share_a_frequent_passage(spark):
+    """Near copies meet though most of each text stands in all the others."""
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**9)}"
+    passage = [word() for _ in range(400)]
+    texts = []
+    for k in range(80):
+        own = [word() for _ in range(100)]
+        texts.append(passage + own)
+        texts.append(passage + own[: 50 + k % 3] + [word() for _ in range(50 - k % 3)])
+        if k % 4 == 0:  # too long to be alike, though it holds all
+            texts.append(passage + own + [word() for _ in range(140)])
+        if k % 4 == 1:  # a change in the middle of the passage
+            texts.append(passage[:200] + [word() for _ in range(15)] + passage[200:] + own)
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    rows = [(i, " ".join(texts[k])) for i, k in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.fp, x.component_id) for x in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    alike = lambda a, b: ((got[a][0] ^ got[b][0]) & (2**64 - 1)).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = {(a, b) for a in sets for b in sets if a < b and alike(a, b)}
+    root = brute_components(list(sets), lambda a, b: (min(a, b), max(a, b)) in near)
+    assert 80 <= len(set(root.values())) < len(sets) - 80
+    assert {i: c for i, (_, c) in got.items()} == root
