@@ -77,3 +77,39 @@ def set_cover(kills: DataFrame, most: int = 10_000) -> DataFrame:
         scratch.drop(left)
         left = after
     return spark.createDataFrame(chosen, "step int, test long, new long")
+
+
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Connected components of a link table (a, b: one comparable type, either
+    order, repeats and loops allowed), by repeated hooking and shortcuts.
+
+    Returns node, root, the smallest node that a node reaches. Every round
+    costs a fixed number of joins and aggregations over narrow rows and about
+    halves the depth of the trees, so long chains take a logarithmic number of
+    rounds. Every round's table is written to the shared folder, and nothing
+    but one count reaches the driver. Links with a null end are ignored; an
+    empty table gives no rows.
+    """
+    scratch = scratch or Scratch(links.sparkSession)
+    both = links.where("a is not null and b is not null").select("a", "b")
+    both = scratch.save(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # f: node, its parent, its parent's parent
+    f = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).withColumnRenamed("a", "node"))
+    f = scratch.save(_grand(f))
+    while True:
+        seen = both.join(f.select(F.col("node").alias("b"), "gp"), "b").groupBy("a").agg(F.min("gp").alias("m"))
+        seen = f.join(seen.withColumnRenamed("a", "node"), "node")
+        hooks = seen.groupBy(F.col("p").alias("node")).agg(F.min("m").alias("m"))
+        own = seen.select("node", F.least("m", "gp").alias("m"))
+        new = own.union(hooks).groupBy("node").agg(F.min("m").alias("p"))
+        new = scratch.save(new)
+        g = scratch.save(_grand(new))
+        changed = g.join(f.select("node", F.col("gp").alias("was")), "node").where("gp <> was or gp <> p").limit(1).count()
+        scratch.drop(f)
+        f = g
+        if not changed:
+            return f.select("node", F.col("gp").alias("root"))
+
+
+def _grand(f: DataFrame) -> DataFrame:
+    return f.join(f.select(F.col("node").alias("p"), F.col("p").alias("gp")), "p").select("node", "p", "gp")

@@ -25,10 +25,13 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary
-    one is made only where the setting is absent (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is
+    absent a local session takes a temporary one; a cluster's executors would
+    not see that, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="qualitylens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
