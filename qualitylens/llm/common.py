@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every contract, for trimming and for patterns.
@@ -14,22 +14,16 @@ ARROW_ROWS = 1000
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows, and so the memory, of the batches sent to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def word_array(text: Column) -> Column:
-    """Words of a text; null and blank texts have none."""
-    inner = F.btrim(text, F.lit(SPACE_CHARS))
-    return F.when(F.length(inner) > 0, F.split(inner, SPACE)).otherwise(F.array().cast("array<string>"))
+    """Bound the rows, and so the memory, of the batches sent to Python. The
+    setting is read when a query runs, not when it is made, so it stays in the
+    session; a caller's smaller bound is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     inner = F.btrim(text, F.lit(SPACE_CHARS))
     return F.when(F.length(inner) > 0, F.size(F.split(inner, SPACE))).otherwise(F.lit(0)).cast("long")
-
-
-def narrow(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so extra columns of any name cannot clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualitylens.llm.common import arrow_batches
-from qualitylens.llm.components import components
+from qualitylens.operators.graph import components
 from qualitylens.session import Scratch
 
 THRESHOLD = 0.95

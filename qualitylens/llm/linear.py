@@ -157,14 +157,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, cols: list[str], max_row
     """doc_id, text and label columns of at most ``max_rows`` labelled documents.
 
     Rows without an id or a label are left out; of repeated labels of an id the
-    least counts, of repeated documents one."""
+    least counts, of documents that repeat an id the one whose text has the
+    least hash."""
     ok = F.col("doc_id").isNotNull()
     for c in cols:
         ok &= F.col(c).isNotNull()
     chosen = labels.where(ok).groupBy("doc_id").agg(*[F.min(c).cast("int").alias(c) for c in cols])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # max_rows ids and labels: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", *cols).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def collect_sparse(sample: DataFrame, cols: list[str], families: Families, bits: int, n_families: int) -> tuple[Sparse, np.ndarray, np.ndarray]:

@@ -65,18 +65,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     """Words that the mix takes of each document.
 
     ``docs``: doc_id, source, text; other columns are ignored. Returns doc_id,
-    source, size, source_size, target, taken, copies: ``taken`` counts words
-    with repeats, ``copies`` rounds the document at the edge of a source's
-    sample to a whole one.
+    source, size, source_size, target, taken, copies, th: ``taken`` counts
+    words with repeats, ``copies`` rounds the document at the edge of a source's
+    sample to a whole one, ``th`` is the text's hash.
 
     Null and empty texts have size 0 and are taken 0 times. A null source is a
     source of its own, a null doc_id orders like an empty one. Rows that
-    repeat an id count each; ties in the seeded order go by id, then size.
+    repeat an id count each; ties in the seeded order go by id, size and text.
     An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")))
+    sized = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"), F.xxhash64("text").alias("th")))
     # a key that is never null, for joins
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = sized.select("*", key.alias("key"), F.substring("h", 1, 2).alias("b1"), F.substring("h", 3, 2).alias("b2"))
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     fine = fine.select("key", "b1", "b2", F.coalesce(F.sum("n").over(before(["key", "b1"], ["b2"])), F.lit(0)).alias("c2"))
     starts = fine.join(coarse, ["key", "b1"]).join(targets, "key")
 
-    inner = before(["key", "b1", "b2"], ["h", "doc_id", "size"])
+    inner = before(["key", "b1", "b2"], ["h", "doc_id", "size", "th"])
     rows = sized.withColumn("c3", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(starts, ["key", "b1", "b2"])
     whole = F.when(F.col("source_size") > 0, F.expr("target_words div source_size")).otherwise(F.lit(0))
@@ -106,20 +106,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
         "target",
         (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         copies.cast("int").alias("copies"),
+        "th",
     )
 
 
 def repeat_rows(docs: DataFrame, **kw) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the
-    columns of ``docs``. Rows are matched by id and size, so rows that repeat
-    both get the same number of copies as each other, the larger of theirs."""
-    plan = mix(docs, **kw).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    names = docs.columns
-    rows = docs.withColumn("__n", word_count(F.col("text")))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    rows = rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*[F.col(f"`{n}`") for n in names])
+    columns of ``docs``. Rows are matched by source, id and text. Of rows that
+    repeat all three some may be taken once more than others; which of them is
+    settled by their other columns, and that some rows of the mix are equal in
+    those too changes nothing."""
+    others = [F.col(f"`{n}`") for n in docs.columns if n not in ("doc_id", "text", "source")]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    key = lambda i, s, h: [F.coalesce(F.concat(F.lit("s"), s), F.lit("n")).alias("s"), i.isNull().alias("none"), F.coalesce(i.cast("string"), F.lit("")).alias("id"), h.alias("h")]
+    plan = mix(docs, **kw).select(*key(F.col("doc_id"), F.col("source"), F.col("th")), "copies")
+    by = ["s", "none", "id", "h"]
+    # what rows that repeat a key take together is dealt evenly among them
+    plan = plan.groupBy(*by).agg(F.count("*").alias("rows"), F.sum("copies").alias("all"))
+    # the row travels as one column, so no name of its own can clash
+    rows = docs.select(*key(F.col("doc_id"), F.col("source"), F.xxhash64("text")), order.alias("order"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    rows = rows.join(plan.where("all > 0"), by)
+    one = W.partitionBy(*by).orderBy("order")
+    nth = F.when(F.col("rows") > 1, F.row_number().over(one)).otherwise(1)
+    rows = rows.withColumn("copies", (F.expr("all div rows") + (nth <= F.col("all") % F.col("rows")).cast("int")).cast("int"))
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: DuckDB SQL of the mixing query, over a relation d(doc_id, source, size).

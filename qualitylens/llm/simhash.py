@@ -4,15 +4,20 @@ A text's shingles are hashed in Arrow batches, and the majority of each bit
 over all shingles, repeats included, makes the fingerprint. Distinct
 fingerprints are then linked when they differ in at most two bits.
 
-The index has a table per 32-bit segment. Within a segment each fingerprint
-enumerates the Hamming ball of radius one and enters the table under each
-member, together with the other segment as it is. Two fingerprints that differ
-in at most two bits meet in a table: both bits in one segment meet at the
-value between them, one bit in each meet where each has moved to the other's
-segment. As the key holds both segments, a segment value that very many
-fingerprints share gathers no large bucket: a bucket never has more than 65
-distinct fingerprints, whatever the corpus. Matches of a bucket are verified
-by the complete distance, and a bucket links its members to its smallest.
+The index has a table per 32-bit segment, from a segment's value to the
+fingerprints that have it. Of two fingerprints that differ in at most two bits
+either the first segments are equal, or the second ones differ in at most one
+bit. So the first table is probed with the segment itself and the second with
+its Hamming ball of radius one, of which only the members with a bit more are
+listed, since of two neighbours one has it. Matches are fetched by a join and
+verified by the complete distance.
+
+A segment value that more than ``HOT`` fingerprints share would pair them all.
+All that belong to such a value or probe it are split by the other segment
+too: each is listed under every value of both segments at most one bit away.
+Two that differ in two bits meet at the value between them, a bucket holds at
+most 65 fingerprints whatever the corpus, and all of them are within two bits
+of each other, so a bucket links its members to its least.
 
 Over five-word shingles, texts of a Jaccard similarity of 0.8 differ in about
 10 of 64 bits, more than small Hamming balls reach. ``near_duplicates`` with a
@@ -32,8 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualitylens.llm.common import arrow_batches
-from qualitylens.llm.components import components
 from qualitylens.llm.ngrams import TextBatch, joined, parts
+from qualitylens.operators.graph import components
 from qualitylens.session import Scratch
 
 SEED = 42
@@ -47,6 +52,8 @@ BANDS, ROWS = 12, 4
 SMALL = 8
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = (1 << 63) - 1
+#: Fingerprints that share a segment's value and are all paired; more go by both segments.
+HOT = 64
 
 #: Per byte the bits that are set, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -145,11 +152,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, scratch:
         for b in batches:
             found = shingle_sets(b.column(2).to_pylist())
             keep = [i for i, (g, s) in enumerate(zip(found, b.column(0).to_pylist(), strict=True)) if set_key(g) == s]
-            values = pa.array([found[i].astype(np.uint32).view(np.int32) for i in keep], pa.list_(pa.int32()))
+            values = pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))
             yield pa.record_batch({"set": b.column(0).take(pa.array(keep, pa.int64())), "fp": b.column(1).take(pa.array(keep, pa.int64())), "grams": values})
 
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text").join(asked, "id").select("set", "fp", "text")
-    whole = scratch.save(whole.mapInArrow(grams, "set long, fp long, grams array<int>"))
+    whole = scratch.save(whole.mapInArrow(grams, "set long, fp long, grams array<long>"))
     whole = whole.dropDuplicates(["set"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -186,50 +193,78 @@ def rare_pairs(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFram
     common = common.select("set", "gram", (F.col("of") - F.col("k") + 1).alias("left"))
     early = common.join(sets.select("set", "root", "n"), "set").where(F.col("left") >= similarity * F.col("n") - 1e-9)
     early = scratch.save(early)
-    shared = early.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    early = scratch.save(early.join(shared, "gram"))
-    x, y = early.alias("x"), early.alias("y")
+    # of two roots one is not the gram's most frequent root, whose members so never meet each other
+    roots = early.groupBy("gram", "root").agg(F.count("*").alias("k")).groupBy("gram").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top"))
+    shared = early.join(roots.where(F.col("roots") > 1).select("gram", F.col("top.root").alias("top")), "gram")
+    shared = scratch.save(shared)
+    x, y = shared.where("root <> top").alias("x"), shared.alias("y")
     least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    met = x.join(y, "gram").where("x.set < y.set and x.root <> y.root")
-    met = met.where((F.col("x.left") >= least) & (F.col("y.left") >= least))
-    return scratch.save(met.select(F.col("x.set").alias("x"), F.col("y.set").alias("y")).distinct())
+    met = x.join(y, "gram").where("x.root <> y.root").where((F.col("x.left") >= least) & (F.col("y.left") >= least))
+    return scratch.save(met.select(F.least("x.set", "y.set").alias("x"), F.greatest("x.set", "y.set").alias("y")).distinct())
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketch: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id and fp, the fingerprint as a
-    signed long. Null and wordless texts have fingerprint zero. With ``sketch``
-    also set, n and keys: the hash, size and band keys of the shingle set."""
+    """Per row of ``docs`` (doc_id, text): doc_id, h, the text's hash, and fp,
+    the fingerprint as a signed long. Null and wordless texts have fingerprint
+    zero. With ``sketch`` also set, n and keys: the hash, size and band keys of
+    the shingle set."""
     arrow_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps = np.array([majority(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)], np.uint64)
-            out = {"doc_id": b.column(0), "fp": pa.array(fps.view(np.int64), pa.int64())}
+            fps = np.array([majority(shingle_hashes(t.as_py(), shingle)) for t in b.column(2)], np.uint64)
+            out = {"doc_id": b.column(0), "h": b.column(1), "fp": pa.array(fps.view(np.int64), pa.int64())}
             if sketch:
-                sets = shingle_sets(b.column(1).to_pylist())
+                sets = shingle_sets(b.column(2).to_pylist())
                 out |= {"set": pa.array([set_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "keys": pa.array(band_keys(sets), pa.list_(pa.int64()))}
             yield pa.record_batch(out)
 
     more = ", set long, n long, keys array<long>" if sketch else ""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long" + more)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long" + more)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT, scratch: Scratch | None = None) -> DataFrame:
     """Links among distinct fingerprints (fp): a, b that differ in 1 to
     ``radius`` (1 or 2) bits, enough of them to connect all that are so linked."""
     if radius not in (1, 2):
         raise ValueError("radius is 1 or 2")
-    if radius == 1:
-        flips = F.array(*[F.lit(v - (1 << 64) if (v := 1 << k) >> 63 else v) for k in range(64)])
-        probes = fps.select("fp", F.explode(F.transform(flips, lambda v: v.bitwiseXOR(F.col("fp")))).alias("b"))
-        found = probes.join(fps.select(F.col("fp").alias("b")), "b").select(F.col("fp").alias("a"), "b")
-    else:
-        ball = [0, *[1 << k for k in range(64)]]  # none, 32 of the low segment, 32 of the high
-        flips = F.array(*[F.lit(v - (1 << 64) if v >> 63 else v) for v in ball])
-        probes = fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-        buckets = probes.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        found = buckets.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-    return found.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
+    scratch = scratch or Scratch(fps.sparkSession)
+    first, second = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit((1 << 32) - 1))
+    segments = [(0, first), (1, second)]
+    entries = scratch.save(fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in segments])).alias("at")).select("at.k", "at.v", "fp"))
+    # the ball of the second segment: itself and, for radius two, its members with a bit more
+    bits = F.filter(F.array(*[F.lit(1 << b) for b in range(32)]), lambda x: F.col("v").bitwiseAND(x) == 0)
+    ball = F.when(F.col("k") == radius - 1, F.concat(F.array("v"), F.transform(bits, lambda x: F.col("v").bitwiseOR(x)))) if radius == 2 else F.array("v")
+    probes = entries.select("k", "fp", F.explode(F.coalesce(ball, F.array("v"))).alias("v"))
+    crowded = scratch.save(entries.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k", "v"))
+    cold = entries.join(crowded, ["k", "v"], "left_anti").withColumnRenamed("fp", "b")
+    met = probes.withColumnRenamed("fp", "a").join(cold, ["k", "v"]).select("a", "b")
+
+    busy = scratch.save(probes.join(crowded, ["k", "v"], "left_semi").select("fp").union(entries.join(crowded, ["k", "v"], "left_semi").select("fp")).distinct())
+    flips = F.array(*[F.lit(_signed(v)) for v in (0, *[1 << k for k in range(64)])])
+    around = busy.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("key"))
+    buckets = around.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    if radius == 2:
+        met = met.union(buckets.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")))
+    else:  # the key is one end
+        met = met.union(buckets.where(F.array_contains("fps", F.col("key"))).select(F.col("key").alias("a"), F.explode("fps").alias("b")))
+    return met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int, similarity: float | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fingerprints``, and fp, root of every fingerprint."""
+    fps = scratch.save(fingerprints(docs, shingle, similarity is not None))
+    distinct = scratch.save(fps.select("fp").distinct())
+    near = links(distinct, radius, scratch=scratch)
+    if similarity is not None:
+        near = near.union(similar_links(docs, fps, similarity, scratch))
+    found = components(near, scratch)
+    roots = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return fps, scratch.save(roots.select("fp", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
@@ -245,24 +280,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.save(fingerprints(docs, shingle, similarity is not None))
-    classes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    near = links(classes.select("fp"), radius)
-    if similarity is not None:
-        near = near.union(similar_links(docs, fps, similarity, scratch))
-    found = components(near, scratch)
-    roots = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    roots = roots.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    fps, roots = _grouped(docs, shingle, radius, similarity, scratch)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    ids = roots.join(least, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     of = roots.join(ids, "root").select("fp", "component_id")
     return fps.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The documents that are their group's smallest id, with the columns of
-    ``docs``; of rows that repeat that id one stays, and rows without an id
-    stay only as a group's only id."""
-    groups = near_duplicates(docs, **kw)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*[docs[f"`{n}`"] for n in docs.columns])
-    return rows.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """One row of each group of ``near_duplicates``, with the columns of
+    ``docs``: the group's smallest doc_id, or a null one if it has no other. Of
+    texts that repeat that id the one with the least hash stays, and of rows
+    that repeat both the one whose other columns have the least hash. Groups
+    of different texts without an id each keep a row."""
+    scratch = Scratch(docs.sparkSession)
+    fps, roots = _grouped(docs, shingle, radius, similarity, scratch)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    own = fps.groupBy("fp").agg(F.min(first).alias("first")).join(roots, "fp")
+    key = lambda i, h: [i.isNull().alias("none"), F.coalesce(i, F.lit(0)).alias("id"), h.alias("h")]
+    kept = own.groupBy("root").agg(F.min("first").alias("first")).select(*key(F.col("first.doc_id"), F.col("first.h")))
+    # the row travels as one column, so no name of its own can clash
+    others = [F.col(f"`{n}`") for n in docs.columns if n not in ("doc_id", "text")]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    rows = docs.select(*key(F.col("doc_id").cast("long"), F.xxhash64("text")), order.alias("order"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    # dealt once by these keys, for the join and the choice among rows that repeat them
+    rows = rows.join(kept, ["none", "id", "h"])
+    return rows.groupBy("none", "id", "h").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -28,6 +28,8 @@ RULES = [
 ]
 #: Bound on the labelled URLs that the trees learn from, those with the least hash.
 MAX_TRAIN = 20_000
+#: Parts of the labelled URLs for the out-of-fold suffix statistic.
+FOLDS = 5
 FEATURES = [
     "f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_host_length", "f_labels",
     "f_host_digits", "f_hyphens", "f_secure", "f_fragment", "f_suffix_share", "f_suffix_block",
@@ -116,16 +118,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, max_train: int
     rows = rows.withColumn("label", label if teach is None else F.when(teach, label))
     rows = scratch.save(features(rows))
 
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
-    total = rows.agg(F.count("*").alias("all"), F.count("label").alias("all_known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("all_blocked"))
-    prior = (F.col("all_blocked") + 1) / (F.col("all_known") + 2)
+    # A suffix's share of blocked urls. A labelled url's own fold is left out, so that the
+    # statistic never holds the label that it helps to learn; equal urls share a fold.
+    fold = F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64(F.lower(F.coalesce("url", F.lit("")))), F.lit(FOLDS)).cast("int")).otherwise(FOLDS)
+    rows = rows.withColumn("fold", fold)
+    by_fold = rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
+    by_fold = scratch.save(by_fold)
+    whole = by_fold.groupBy("suffix").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "known", "blocked")])
+    total = by_fold.agg(F.sum("n").alias("rows"), F.sum("known").alias("labels"), F.sum("blocked").alias("blocks"))
+    prior = (F.col("blocks") + 1) / (F.col("labels") + 2)
+    others = lambda c: F.col(f"all_{c}") - F.when(F.col("fold") == FOLDS, 0).otherwise(F.col(c))
     # one row of totals; suffixes are few next to the urls, and the planner picks the join by their size
-    stats = stats.crossJoin(F.broadcast(total)).select(
+    stats = by_fold.join(whole, "suffix").crossJoin(F.broadcast(total)).select(
         "suffix",
-        (F.col("n") / F.col("all")).alias("f_suffix_share"),
-        ((F.col("blocked") + 10 * prior) / (F.col("known") + 10)).alias("f_suffix_block"),
+        "fold",
+        (F.col("all_n") / F.col("rows")).alias("f_suffix_share"),
+        ((others("blocked") + 10 * prior) / (others("known") + 10)).alias("f_suffix_block"),
     )
-    rows = scratch.save(rows.join(scratch.save(stats), "suffix"))
+    rows = scratch.save(rows.join(scratch.save(stats), ["suffix", "fold"]))
 
     decided = rows.where("label is not null")
     sample = decided.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(max_train).select("label", *FEATURES)

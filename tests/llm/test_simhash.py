@@ -4,7 +4,7 @@ import re
 import xxhash
 
 from qualitylens.llm import simhash
-from qualitylens.llm.components import components
+from qualitylens.operators.graph import components
 
 
 def brute_fp(text):
@@ -53,15 +53,15 @@ def test_links_are_those_of_brute_force(spark):
     r = random.Random(2)
     fps = {r.getrandbits(64) for _ in range(20)}
     hot = r.getrandbits(32)
-    fps |= {hot << 32 | r.getrandbits(8) for _ in range(60)}
+    fps |= {hot << 32 | r.getrandbits(8) for _ in range(60)} | {r.getrandbits(6) << 32 | hot for _ in range(60)}
     for x in list(fps)[:15]:
         for _ in range(4):
             x ^= 1 << r.randrange(64)
             fps.add(x)
     signed = [x - 2**64 if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for radius in (1, 2):
-        found = {x.node: x.root for x in components(simhash.links(df, radius)).collect()}
+    for radius, most in ((1, 64), (2, 64), (2, 3)):
+        found = {x.node: x.root for x in components(simhash.links(df, radius, most)).collect()}
         want = brute_components(signed, lambda a, b: ((a ^ b) % 2**64).bit_count() <= radius)
         assert {x: found.get(x, x) for x in signed} == want
 
@@ -155,3 +155,16 @@ def test_similar_sets_that_share_a_frequent_passage(spark):
     root = brute_components(list(sets), lambda a, b: (min(a, b), max(a, b)) in near)
     assert 80 <= len(set(root.values())) < len(sets) - 80
     assert {i: c for i, (_, c) in got.items()} == root
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    """Unlike texts without an id, or with one id, are each kept."""
+    rows = [(None, "c c c one", "p"), (None, "d d d two words", "q"), (None, "c c c one", "r"), (3, "a text", "s"), (5, "a text", "t"), (5, "b other", "u"), (5, "b other", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    for kw in ({}, {"similarity": 0.8}):
+        kept = simhash.keep_one(df, **kw)
+        assert kept.columns == df.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert got == sorted([(None, "c c c one"), (None, "d d d two words"), (3, "a text"), (5, "b other")], key=str)
+    wide = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4)], "doc_id long, text string, fp int, h int, row int, root int")
+    assert simhash.keep_one(wide).collect()[0].row == 3
