@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     want = {i for i, t in zip(start.doc_id, start.text) if not brute_quality(t)[-1] and p[i] >= 0.5}
     assert set(good.doc_id) == want and len(good) == len(want)
 
-    want = {i: t for i, t, _, n in brute_lines(list(zip(good.doc_id, good.text))) if not (n and t == "")}
+    want = {i: t for i, t, _, n in brute_lines(list(zip(good.doc_id, good.text))) if not (n and not t.strip(" \t\n\x0b\x0c\r"))}
     assert dict(zip(lines.doc_id, lines.text)) == want
     assert (lines.text.str.len() == lines.n_chars).all()
 
