@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualitylens.llm import line_dedup, mixing, packing, quality, simhash
+from qualitylens.llm.common import SPACE_CHARS
 from qualitylens.session import Scratch, table
 
 
@@ -20,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs in other documents go, but for the first;
-    documents of which too little is left go whole. n_chars follows the text."""
+    documents that lose all their words go whole. n_chars follows the text."""
     names = docs.columns
-    rows = line_dedup.drop_lines(docs).where("not (n_dropped > 0 and text = '')")
+    rows = line_dedup.drop_lines(docs).where(~((F.col("n_dropped") > 0) & (F.btrim("text", F.lit(SPACE_CHARS)) == "")))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{n}`") for n in names])
