@@ -4,11 +4,12 @@ from qualitylens.llm import embed_dedup as E
 
 
 def brute(rows):
-    ok = lambda v: v is not None and len(v) == 16 and all(c is not None and np.isfinite(c) for c in v) and any(v)
+    ok = lambda v: v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v)
     at = [k for k, (_, v) in enumerate(rows) if ok(v)]
-    x = np.array([rows[k][1] for k in at], float)
+    wide = np.array([len(rows[k][1]) for k in at])
+    x = np.array([list(rows[k][1]) + [0.0] * (16 - len(rows[k][1])) for k in at], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.95
+    near = (x @ x.T >= 0.95) & (wide[:, None] == wide[None, :])
     name = lambda k: 1 << 62 if rows[k][0] is None else rows[k][0]
     best = {k: name(k) for k in range(len(rows))}
     changed = True
@@ -31,7 +32,7 @@ def make(seed=0, groups=12, size=40):
             rows.append((c + r.normal(size=16) * 0.08).tolist())
     rows += [r.normal(size=16).tolist() for _ in range(300)]
     rows += [rows[0]] * 30 + [[2 * v for v in rows[0]]]
-    rows += [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0], [1e-200] * 16, [1e200] * 16]
+    rows += [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0], [1.0, 2.01], [2.0, 4.0], [1.0, -2.0], [1.0, 2.0] + [0.0] * 14, [3.0], [1e-200] * 16, [1e200] * 16]
     ids = r.permutation(len(rows)).tolist()
     out = [(i, v) for i, v in zip(ids, rows)]
     return out + [(None, rows[5]), (None, None), (out[3][0], rows[3])]
@@ -55,14 +56,38 @@ def test_graph_search_recall():
     c = r.normal(size=(20, 32))
     x = np.concatenate([c[k] + r.normal(size=(60, 32)) * 0.05 for k in range(20)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g = E.Graph(x, [np.array(v) for v in E.build_graph(x)])
-    hit = want = 0
-    for i in range(0, len(x), 7):
-        true = set(np.flatnonzero(x @ x[i] >= 0.95))
-        got = set(g.search(x[i], 0.95))  # from the medoid alone
-        assert got <= true
-        hit, want = hit + len(got), want + len(true)
-    assert hit >= 0.95 * want
+    g = E.Graph(x, E.build_graph(x))
+    got, true = g.search(x, 0.95), x @ x.T >= 0.95
+    assert not (got & ~true).any()
+    assert (got & true).sum() >= 0.95 * true.sum()
+    assert g.greedy >= len(x)  # every query walks from the medoid
+
+
+def test_tasks_search_greedily_from_the_medoid(monkeypatch):
+    """The path that the query takes, a task of one shard, does not start at the query itself."""
+    made = []
+    plain = E.Graph.__init__
+    monkeypatch.setattr(E.Graph, "__init__", lambda self, *a: (plain(self, *a), made.append(self))[0])
+    r = np.random.default_rng(2)
+    x = np.concatenate([v + r.normal(size=(4, 24)) * 0.01 for v in r.normal(size=(100, 24))])
+    lists = E.build_graph(E.units(list(x)))
+    f = E.pd.DataFrame({"cid": np.arange(400), "vec": list(x), "m": 1, "shards": [np.array([7, 9])] * 400, "nbrs": lists, "block": 0})
+    out = E.search_task(7, f, 0.95, E.BEAM, True)
+    assert made[0].greedy >= 400 and made[0].ranged >= 400
+    assert (out.hits == 3).mean() > 0.9 and len(out) > 380
+    assert not len(E.search_task(9, f, 0.95, E.BEAM, True))  # counted in shard 7
+
+
+def test_audited_recall(spark):
+    for n in (500, 5000):
+        r = np.random.default_rng(n)
+        c = r.normal(size=(n // 10, 24))
+        x = c[r.integers(0, len(c), n)] + r.normal(size=(n, 24)) * 0.1
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = np.array([v.n_links for v in sorted(E.near_duplicates(df).collect(), key=lambda v: v.vec_id)])
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = (u @ u.T >= 0.95).sum(axis=1) - 1
+        assert (got <= want).all() and (got[want > 0] / want[want > 0]).mean() >= 0.95
 
 
 def test_empty_table(spark):
