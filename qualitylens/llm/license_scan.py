@@ -1,16 +1,21 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by path.
 
-Every line of every text is compared with short licence notices. Terms are
-weighted by how rare they are among all lines; a term that no template has
-counts as rarest, and a term counts once per line. The best line at or above
-the threshold gives the file its licence. A file that is a licence text, by
-its name or because such lines are most of its words, licenses its directory,
+A text is taken apart into segments: its lines that are not blank, and of a
+line of more than ``SPAN`` words overlapping windows of that many. Headers are
+put together from them: neighbouring segments that may be part of a notice
+form a block, so a notice that is wrapped over lines, or stands within a long
+one, is compared as a whole, and a file that a licence file's name marks is
+compared whole too. Templates are short notices, headers and whole licences.
+Terms are weighted by how rare they are among all segments; a term that no
+template has counts as rarest. The best segment, block or whole text at or
+above the threshold gives the file its licence. A file that is a licence text,
+by its name or because notices are most of its words, licenses its directory,
 and a file without a notice of its own takes the licence of its nearest
 ancestor directory that has one, by a join on path prefixes.
 
-All is DataFrame expressions. A line can only reach the threshold if it has
-enough template terms for its other terms, whatever the weights; lines that do
-not are left out before weighing, which drops no match.
+All is DataFrame expressions. A segment can only reach the threshold if it has
+enough template terms for its other terms, whatever the weights; segments that
+do not are left out before weighing, which drops no match of a segment.
 """
 
 from __future__ import annotations
@@ -18,17 +23,42 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qualitylens.llm.common import word_count
+from qualitylens.llm.common import SPACE, SPACE_CHARS, word_count
 from qualitylens.session import Scratch
 
 THRESHOLD = 0.6
+SPAN, STEP = 24, 12
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 FILE_SHARE = 0.5
 
+#: Whole licences and file headers, as their publishers give them.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details."
+LICENSES = [
+    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("BSD-2-Clause", "BSD 2-Clause License " + _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", "BSD 3-Clause License " + _BSD_2 + _BSD_3 + _BSD_END),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", _GNU.format("General", "2")),
+    ("GPL-3.0", _GNU.format("General", "3")),
+    ("LGPL-2.1", _GNU.format("Lesser General", "2.1").replace("program", "library")),
+    ("LGPL-3.0", _GNU.format("Lesser General", "3")),
+    ("AGPL-3.0", _GNU.format("Affero General", "3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+
 #: Notices of licences.
-TEMPLATES = [
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
@@ -42,6 +72,7 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
+TEMPLATES = NOTICES + LICENSES
 
 
 def terms(text: str) -> list[str]:
@@ -54,46 +85,67 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(lower, "[^a-z0-9]+")), "")
 
 
-def _lines(files: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """h (hash of the text), line number, template terms and number of other terms of every line."""
-    rows = files.select("h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("h", "line_no", F.length("line").alias("chars"), word_count(F.col("line")).alias("words"), _terms(F.col("line")).alias("all"))
-    known = F.array_intersect("all", F.array(*[F.lit(t) for t in vocabulary]))
-    return rows.withColumn("known", known).withColumn("others", F.size("all") - F.size("known"))
+def _segments(files: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Per text (h, whole) its segments: words (those that no window before has),
+    template terms, and number of other terms."""
+    plain = F.array(*[F.lit(t) for t in vocabulary])
+    line_words = F.transform(F.split("text", "\n"), lambda x: F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - SPAN) / STEP), F.lit(0)).cast("int")), lambda k: F.slice(w, k * STEP + 1, SPAN))
+    pieces = F.flatten(F.transform(F.filter(line_words, lambda w: F.get(w, F.lit(0)) != ""), cut))
+    # a segment counts the words up to the next one's start
+    rows = files.select("h", "whole", pieces.alias("pieces"))
+
+    def segment(w: Column) -> Column:
+        found = _terms(F.array_join(w, " "))
+        known = F.array_intersect(found, plain)
+        return F.struct(F.least(F.size(w), F.lit(STEP)).alias("words"), known.alias("known"), (F.size(found) - F.size(known)).alias("others"))
+
+    return rows.select("h", "whole", F.transform("pieces", segment).alias("segments"))
 
 
 def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Lines of ``files`` (h, text; a row per text) that match a template:
-    h, line_no, words, license, score. Each line has its best template; of
-    equal ones the least licence."""
+    """Units of ``files`` (h, whole, text; a row per text) that match a template:
+    h, unit, words, license, score. Unit 2k is segment k, unit 2k + 1 the block
+    that begins with it, unit -1 the whole text where ``whole`` is true. Each
+    unit has its best template; of equal ones the first."""
     spark = files.sparkSession
     scratch = Scratch(spark)
     vocabulary = sorted({t for _, notice in templates for t in terms(notice)})
-    # texts are taken apart once; what is kept of a line is a few words
-    lines = scratch.save(_lines(files, vocabulary).select("h", "line_no", "words", "known", "others"))
-    # rarity is counted over all lines
+    # texts are taken apart once; what is kept of a segment is a few words
+    taken = scratch.save(_segments(files, vocabulary))
+    lines = taken.select("h", "whole", F.posexplode("segments").alias("pos", "s")).select("h", "whole", "pos", "s.*")
+    # rarity is counted over all segments
     df = lines.select(F.explode("known").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = lines.agg(F.count("*").alias("n"))
+    n = taken.agg(F.coalesce(F.sum(F.size("segments")), F.lit(0)).alias("n"))
     every = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(df, "term", "left")
     idf = every.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"), (F.log(F.col("n") + 1.0) + 1).alias("rarest"))
     idf = scratch.save(idf)  # a row per template term
     # Texts that repeat count in the rarity but are weighed once.
     # cosine**2 <= weight of template terms / weight of all, and no term outweighs the rarest
     least = threshold**2 / (1 - threshold**2) if threshold < 1 else float("inf")
-    near = scratch.save(lines.where((F.size("known") > 0) & (F.size("known") >= least * F.col("others") - 1e-9)).select("h", "line_no", "words", "known", "others").dropDuplicates(["h", "line_no"]))
+    may = lambda known, others: (F.size(known) > 0) & (F.size(known) >= least * F.col(others) - 1e-9)
+    near = scratch.save(lines.where(may("known", "others")).select("h", "pos", "words", "known", "others").dropDuplicates(["h", "pos"]))
+    # neighbours form a block
+    run = near.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("h").orderBy("pos")))
+    whole = F.array_distinct(F.flatten(F.collect_list("known")))
+    blocks = run.groupBy("h", "run").agg(F.min("pos").alias("pos"), F.sum("words").cast("int").alias("words"), whole.alias("known"), F.sum("others").cast("int").alias("others"), F.count("*").alias("k")).where("k > 1")
+    texts = lines.where("whole").dropDuplicates(["h", "pos"]).groupBy("h").agg(F.sum("words").cast("int").alias("words"), whole.alias("known"), F.sum("others").cast("int").alias("others"))
+    units = near.select("h", (2 * F.col("pos")).alias("unit"), "words", "known", "others")
+    units = units.union(blocks.select("h", 2 * F.col("pos") + 1, "words", "known", "others")).union(texts.select("h", F.lit(-1), "words", "known", "others"))
+    units = scratch.save(units.where(may("known", "others")))
 
     wanted = spark.createDataFrame([(i, license, t) for i, (license, notice) in enumerate(templates) for t in terms(notice)], "template int, license string, term string")
     weights = wanted.join(idf, "term")
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     weights = scratch.save(weights.join(norms, "template").select("template", "license", "term", "norm"))
-    found = near.select("h", "line_no", "words", "others", F.explode("known").alias("term")).join(F.broadcast(idf), "term")
-    # the same for each line of a text: sums by line, then by line and template
-    sizes = found.groupBy("h", "line_no", "words").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf")) + F.first("others") * F.first("rarest") * F.first("rarest")).alias("size"))
-    dots = found.join(F.broadcast(weights), "term").groupBy("h", "line_no", "template", "license", "norm").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
-    scored = dots.join(sizes, ["h", "line_no"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6))
+    found = units.select("h", "unit", "words", "others", F.explode("known").alias("term")).join(F.broadcast(idf), "term")
+    # sums by unit, then by unit and template
+    sizes = found.groupBy("h", "unit", "words").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf")) + F.first("others") * F.first("rarest") * F.first("rarest")).alias("size"))
+    dots = found.join(F.broadcast(weights), "term").groupBy("h", "unit", "template", "license", "norm").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
+    scored = dots.join(sizes, ["h", "unit"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6))
     scored = scored.where(F.col("score") >= threshold)
     best = F.max_by(F.struct("license", "score"), F.struct(F.col("score"), -F.col("template")))
-    return scored.groupBy("h", "line_no", "words").agg(best.alias("best")).select("h", "line_no", "words", "best.license", "best.score")
+    return scored.groupBy("h", "unit", "words").agg(best.alias("best")).select("h", "unit", "words", "best.license", "best.score")
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,15 +157,20 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     was inherited). Null and empty texts have no notice but may inherit; a null
     path neither gives nor inherits; whole texts are read; a null doc_id stays
     null; rows that repeat are each answered. Of several notices in a text the
-    best score counts, then the first line; of several licence files in a
+    best score counts, then the first; of several licence files in a
     directory the least licence. An empty table gives no rows.
     """
     scratch = Scratch(files.sparkSession)
-    rows = files.select("doc_id", "path", F.xxhash64("text").alias("h"), "text")
-    lines = notices(rows.select("h", "text"), templates, threshold)
-    own = lines.groupBy("h").agg(
-        F.max_by(F.struct("license", "score"), F.struct(F.col("score"), -F.col("line_no"))).alias("own"), F.sum("words").alias("notice_words")
-    )
+    named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
+    # the same text under a licence file's name and another is two texts: only one is compared whole
+    h = F.xxhash64("text", named)
+    rows = files.select("doc_id", "path", h.alias("h"), named.alias("whole"), "text")
+    found = notices(rows.select("h", "whole", "text"), templates, threshold)
+    # notices take the words of the segments that match, or of the block that matches best
+    top = F.max_by(F.struct("license", "score", "unit", "words"), F.struct(F.col("score"), -F.col("unit")))
+    single = F.coalesce(F.sum(F.when(F.col("unit") % 2 == 0, F.col("words"))), F.lit(0))
+    own = found.groupBy("h").agg(top.alias("own"), single.alias("single"))
+    own = own.select("h", "own", F.greatest("single", F.when(F.col("own.unit") > 0, F.col("own.words"))).alias("notice_words"))
     own = scratch.save(own)
     keys = rows.select("doc_id", "path", "h", word_count(F.col("text")).alias("n_words"))
     keys = scratch.save(keys.join(own, "h", "left").drop("h"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qualitylens.llm import chat, embed_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from qualitylens.llm.common import word_count
 from qualitylens.session import table
 
 
@@ -58,9 +59,13 @@ def op9_packing(spark, sf_dir):
 
 
 def op10_license_scan(spark, sf_dir):
-    """The licence of every document, filed under its source and language."""
+    """The licence of every document. The table has no paths: documents are
+    filed by source, language and hundreds of ids, and those of up to 40 words
+    under a notice's name, so that one with a notice licenses its folder."""
     docs = table(spark, sf_dir, "documents")
-    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
+    name = F.when(word_count(F.col("text")) <= 40, F.concat(F.lit("NOTICE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100").cast("string"), name)
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
 QUERIES = {
