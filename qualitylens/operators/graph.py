@@ -9,41 +9,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qualitylens.operators.relational import running
 from qualitylens.session import Scratch
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
-    """node, hops: all that the seeds (node) reach, with the fewest hops.
-    Each round follows edges from the newest nodes only."""
+def _gathered(parts: list[DataFrame], scratch: Scratch) -> list[DataFrame]:
+    """Now and then the rounds' tables become one, so that plans stay small."""
+    if len(parts) < 16:
+        return parts
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    saved = scratch.save(whole)
+    for part in parts:
+        scratch.drop(part)
+    return [saved]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, hops: all that the seeds (node) reach, with the fewest hops, until
+    nothing is new. Each round follows edges from the newest nodes only."""
     scratch = Scratch(edges.sparkSession)
     edges = scratch.save(edges.select("src", "dst").distinct())
-    seen = front = scratch.save(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
-    for hop in range(1, most + 1):
+    parts = [scratch.save(seeds.select("node").distinct().withColumn("hops", F.lit(0)))]
+    front, hop = parts[0], 0
+    while True:
+        hop += 1
         new = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = scratch.save(new.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        front = scratch.save(new.join(_union(parts), "node", "left_anti").withColumn("hops", F.lit(hop)))
         if not front.limit(1).count():
-            break
-        seen = seen.union(front)
-    return seen
+            return _union(parts)
+        parts.append(front)
+        if len(parts) >= 16:
+            parts = _gathered(parts, scratch)
+            front = parts[0].where(F.col("hops") == hop)
 
 
-def layers(edges: DataFrame, most: int = 1000) -> DataFrame:
+def layers(edges: DataFrame) -> DataFrame:
     """node, tier: the longest path from a source; members of cycles, and what
-    only they lead to, come after all others. Each round removes the nodes
-    that nothing left points to."""
+    only they lead to, have tier null. Each round removes the nodes that
+    nothing left points to, until there are none."""
     scratch = Scratch(edges.sparkSession)
     left = scratch.save(edges.where("src <> dst").select("src", "dst").distinct())
     nodes = scratch.save(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    done = None
-    for tier in range(most):
+    parts, tier = [], 0
+    while True:
         free = scratch.save(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("tier", F.lit(tier)))
         if not free.limit(1).count():
-            break
-        done = free if done is None else done.union(free)
-        nodes = scratch.save(nodes.join(free, "node", "left_anti"))
-        left = scratch.save(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
-    rest = nodes.withColumn("tier", F.lit(tier))
-    return rest if done is None else done.union(rest)
+            return _union([*parts, nodes.withColumn("tier", F.lit(None).cast("int"))])
+        rest = scratch.save(nodes.join(free, "node", "left_anti"))
+        after = scratch.save(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+        scratch.drop(nodes)
+        scratch.drop(left)
+        nodes, left, tier = rest, after, tier + 1
+        parts = _gathered([*parts, free], scratch)
 
 
 def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
@@ -61,22 +87,30 @@ def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     return out
 
 
-def set_cover(kills: DataFrame, most: int = 10_000) -> DataFrame:
+def set_cover(kills: DataFrame) -> DataFrame:
     """Greedy cover: each step takes the test (least id of equals) that kills
-    most of the mutants left. Returns step, test, new."""
+    most of the mutants left. Returns step, test, new.
+
+    A round takes all tests that come first, by mutants left and then id, among
+    those that share any mutant left with them: greedy takes such a test with
+    just these mutants, whatever it takes elsewhere before. As the steps' counts
+    never rise, their order is that of new and then id. Nothing is collected.
+    """
     scratch = Scratch(kills.sparkSession)
-    left = scratch.save(kills.select("mutant", "test").distinct())
-    spark, chosen = kills.sparkSession, []
-    while len(chosen) < most:
-        best = left.groupBy("test").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "test").limit(1).collect()
-        if not best:
-            break
-        chosen.append((len(chosen) + 1, best[0].test, best[0].n))
-        hit = left.where(F.col("test") == best[0].test).select("mutant")
-        after = scratch.save(left.join(hit, "mutant", "left_anti"))
+    left = scratch.save(kills.where("mutant is not null and test is not null").select("mutant", "test").distinct())
+    parts = [scratch.save(left.where("false").select("test", F.lit(0).cast("long").alias("new")))]
+    while left.limit(1).count():
+        n = left.groupBy("test").agg(F.count("*").alias("new"))
+        first = left.join(n, "test").groupBy("mutant").agg(F.min(F.struct(-F.col("new"), F.col("test"))).alias("first"))
+        won = first.groupBy(F.col("first.test").alias("test")).agg(F.count("*").alias("won"))
+        taken = scratch.save(n.join(won, "test").where("won = new").select("test", "new"))
+        gone = left.join(taken.select("test"), "test").select("mutant").distinct()
+        after = scratch.save(left.join(gone, "mutant", "left_anti"))
         scratch.drop(left)
         left = after
-    return spark.createDataFrame(chosen, "step int, test long, new long")
+        parts = _gathered([*parts, taken], scratch)
+    steps = _union(parts).withColumn("first", -F.col("new"))
+    return running(steps, ["first"], ["test"], step=F.lit(1)).select((F.col("step") + 1).alias("step"), "test", "new")
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -53,24 +53,56 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str,
     return rows.join(best, path, "left")
 
 
+#: Items of a group that are paired within a row.
+BLOCK = 256
+
+
 def pair_counts(df: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
-    """How many groups have both items, for items a < b. Groups are expected
-    to be small; their distinct items are paired within a row."""
-    sets = df.where(F.col(item).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("s")).where(F.size("s") > 1)
-    firsts = sets.select("s", F.posexplode("s").alias("k", "a"))
-    pairs = firsts.select("a", F.explode(F.slice("s", F.col("k") + 2, F.size("s"))).alias("b"))
+    """How many groups have both items, for items a < b. A group's distinct
+    items are dealt into blocks of some ``BLOCK``, and each pair of blocks is a
+    row of its own, so a large group costs more rows, not a larger one."""
+    rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
+    blocks = rows.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    rows = rows.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    rows = rows.select("g", "x", "block", F.explode(met).alias("at"))
+    side = lambda k: F.collect_list(F.when(F.col("block") == F.col(f"at.{k}"), F.col("x")))
+    sides = rows.groupBy("g", "at").agg(side("i").alias("xs"), side("j").alias("ys"))
+    pairs = sides.select("at", F.explode("xs").alias("x"), "ys").select("at", "x", F.explode("ys").alias("y")).where("at.i < at.j or x < y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def running(rows: DataFrame, coarse: list[str], fine: list[str], **values: Column) -> DataFrame:
+    """``rows`` with, for each of ``values``, its sum over all rows that come
+    earlier in ascending order of ``coarse`` and then ``fine``.
+
+    Totals go level by level through ``coarse``, from general to particular, so
+    only the distinct values of its first column are ever ordered in one task,
+    and the rows themselves within equal ``coarse`` columns."""
+    names = list(values)
+    rows = rows.withColumns({f"__{n}": v for n, v in values.items()})
+    starts = None
+    for k in range(len(coarse)):
+        totals = rows.groupBy(*coarse[: k + 1]).agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in names])
+        before = W.partitionBy(*coarse[:k]).orderBy(coarse[k]).rowsBetween(W.unboundedPreceding, -1)
+        level = totals.select(*coarse[: k + 1], *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{k}{n}") for n in names])
+        starts = level if starts is None else level.join(starts, coarse[:k])
+    within = W.partitionBy(*coarse).orderBy(*fine).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({f"__in{n}": F.coalesce(F.sum(f"__{n}").over(within), F.lit(0)) for n in names}).join(starts, coarse)
+    total = {n: sum((F.col(f"__{k}{n}") for k in range(len(coarse))), F.col(f"__in{n}")) for n in names}
+    return rows.withColumns(total).drop(*[f"__{x}{n}" for n in names for x in ("", "in", *range(len(coarse)))])
+
+
 def greedy_order(kills: DataFrame) -> DataFrame:
-    """Tests by number of mutants, then id; new = mutants that no earlier test
-    kills; with running coverage. One pass in a fixed order: each mutant belongs
-    to the first test that kills it."""
+    """Tests by number of mutants, then id (a number); new = mutants that no
+    earlier test kills; with running coverage. One pass in a fixed order: each
+    mutant belongs to the first test that kills it."""
     n = kills.groupBy("test").agg(F.count("*").alias("kills"))
     first = kills.join(n, "test").groupBy("mutant").agg(F.min_by("test", F.struct(-F.col("kills"), "test")).alias("test"))
     new = first.groupBy("test").agg(F.count("*").alias("new"))
-    rows = n.join(new, "test", "left").select("test", "kills", F.coalesce("new", F.lit(0)).alias("new"))
-    order = W.orderBy(F.desc("kills"), "test")
+    rows = n.join(new, "test", "left").select("test", "kills", F.coalesce("new", F.lit(0)).alias("new"), (-F.col("kills")).alias("less"), F.floor(F.col("test") / 4096).alias("part"))
     total = kills.agg(F.countDistinct("mutant").alias("total"))
-    rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("covered", F.sum("new").over(order))
+    rows = running(rows, ["less", "part"], ["test"], rank=F.lit(1), covered=F.col("new"))
+    rows = rows.withColumn("rank", F.col("rank") + 1).withColumn("covered", F.col("covered") + F.col("new")).drop("less", "part")
     return rows.crossJoin(F.broadcast(total))

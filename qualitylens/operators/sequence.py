@@ -43,12 +43,55 @@ def half_trend(df: DataFrame, key: list[str], order: str, value: str, ratio: flo
     return out.withColumn("trend", trend)
 
 
+def pieces(df: DataFrame, key: str, order: list[str], value: Column, make, n: int | None = None) -> DataFrame:
+    """key, pieces: per key its rows' values in order, folded stretch by stretch.
+
+    Rows are dealt by ranges of key and order, so a key with very many rows is
+    spread over several tasks. ``make`` turns a stretch's ordered array of
+    values into its effect, a column of bounded size; ``pieces`` is a key's
+    array of effects in order, at most one per task (``n``, by default the
+    number of shuffle partitions)."""
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, *order, value.alias("v")).repartitionByRange(n, key, *order).withColumn("piece", F.spark_partition_id())
+    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, "v"))), lambda x: x["v"])
+    some = rows.groupBy(key, "piece").agg(values.alias("s")).select(key, "piece", make(F.col("s")).alias("effect"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("piece", "effect"))), lambda x: x["effect"])
+    return some.groupBy(key).agg(whole.alias("pieces"))
+
+
 def ewma(df: DataFrame, key: str, order: list[str], value: str, new: float = 0.7) -> DataFrame:
-    """Fold per key: f = new * value + (1 - new) * f, from the first value."""
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v"))))
-    rows = df.where(F.col(value).isNotNull()).groupBy(key).agg(seq.alias("s"))
-    fold = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1))), F.col("s")[0]["v"], lambda acc, x: new * x["v"] + (1 - new) * acc)
-    return rows.select(key, F.when(F.size("s") == 1, F.col("s")[0]["v"]).otherwise(fold).alias("ewma"))
+    """Fold per key: f = new * value + (1 - new) * f, from the first value. A
+    stretch's effect is f -> weight * f + sum."""
+
+    def effect(s: Column) -> Column:
+        step = lambda a, v: F.struct((a["w"] * (1 - new)).alias("w"), (new * v + (1 - new) * a["t"]).alias("t"))
+        f = F.aggregate(s, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t")), step)
+        return F.struct(s[0].alias("first"), f["w"].alias("w"), f["t"].alias("t"))
+
+    rows = pieces(df.where(F.col(value).isNotNull()), key, order, F.col(value).cast("double"), effect)
+    return rows.select(key, F.aggregate("pieces", F.col("pieces")[0]["first"], lambda a, x: x["w"] * a + x["t"]).alias("ewma"))
+
+
+def once_within(df: DataFrame, keys: list[str], at: str, name: str, seconds: int) -> DataFrame:
+    """The rows (``keys``, ``at`` in seconds, ``name``) that come first or at
+    least ``seconds`` after the last one of their keys that was kept. A row
+    that is left out does not prolong the time. Rows of a key pass one task in
+    order, which remembers one number."""
+    import pandas as pd
+
+    def run(frames):
+        last_key, last = None, None
+        for f in frames:
+            keep = []
+            for key, t in zip(f[keys].itertuples(index=False, name=None), f[at].tolist(), strict=True):
+                fresh = key != last_key or t - last >= seconds
+                if fresh:
+                    last_key, last = key, t
+                keep.append(fresh)
+            yield f[pd.Series(keep, index=f.index, dtype=bool)]
+
+    rows = df.select(*keys, at, name)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, at, name).mapInPandas(run, rows.schema)
 
 
 def count_in_range(df: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:

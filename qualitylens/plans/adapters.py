@@ -46,19 +46,32 @@ EDGES = """g as (select distinct c_nationkey as src, s_nationkey as dst from ord
   join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey)"""
 
 
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse acyclic-free graph over nations: those where a customer of the
-    first was served by a supplier of the second at least twice as often as the mean."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").alias("dst"))
-    n = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("src", "dst").count()
-    mean = n.agg((F.sum("count") / F.count("*")).alias("mean"))
-    return n.crossJoin(F.broadcast(mean)).where("count > 1.6 * mean and src <> dst").select("src", "dst")
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: parts that follow each other in an order, distinct. The edges
+    grow with the orders; the graph has cycles."""
+    li = table(spark, sf_dir, "lineitem")
+    a = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
+    b = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
+
+
+PARTS = """g as (select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b
+  on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber where a.l_partkey <> b.l_partkey)"""
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: what each region, nation, customer and order is made of, down
+    to parts. Acyclic as it is; the edges grow with the tables."""
+    t = lambda n: table(spark, sf_dir, n)
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    e = t("nation").select(node("r", "n_regionkey").alias("src"), node("n", "n_nationkey").alias("dst"))
+    e = e.union(t("customer").select(node("n", "c_nationkey"), node("c", "c_custkey")))
+    e = e.union(t("orders").select(node("c", "o_custkey"), node("o", "o_orderkey")))
+    return e.union(t("lineitem").select(node("o", "l_orderkey"), node("p", "l_partkey"))).distinct()
 
 
-SPARSE = """n as (select c_nationkey as src, s_nationkey as dst, count(*) as cnt from orders join customer on o_custkey = c_custkey
-  join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey group by all),
-g as (select src, dst from n where cnt > 1.6 * (select cast(sum(cnt) as double) / count(*) from n) and src <> dst)"""
+HIERARCHY = """g as (select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation union select 'n' || c_nationkey, 'c' || c_custkey from customer
+  union select 'c' || o_custkey, 'o' || o_orderkey from orders union select 'o' || l_orderkey, 'p' || l_partkey from lineitem)"""
 
 
 def kills(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,23 +7,32 @@ from pyspark.sql import functions as F
 
 from qualitylens.functions.scalar import noisy_or
 from qualitylens.operators import graph as G
-from qualitylens.plans.adapters import EDGES, FINDINGS, SPARSE, edges, findings, kills, sparse_edges
+from qualitylens.operators import relational as R
+from qualitylens.plans.adapters import EDGES, FINDINGS, HIERARCHY, PARTS, edges, findings, hierarchy, kills, part_edges
 from qualitylens.plans.registry import query
 from qualitylens.session import table
 
 
-@query("q129_components", """with recursive h as (select sha256(text) as h, doc_id from documents) select doc_id, min(doc_id) over (partition by h) as component from h""")
+@query("q129_components", """with recursive l as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length(line) >= 60),
+e as (select distinct a.doc_id as a, b.doc_id as b from l a join (select line, min(doc_id) as doc_id from l group by line) b on a.line = b.line where a.doc_id <> b.doc_id),
+u as (select a, b from e union select b, a from e), r as (select a as node, a as root from u union select u.b, r.root from r join u on u.a = r.node where r.root < u.b)
+select d.doc_id, coalesce(c.root, d.doc_id) as component from documents d left join (select node, min(root) as root from r group by node) c on d.doc_id = c.node""")
 def q129(spark, sf):
-    """Documents that hold the same text, by a star per text rather than all pairs."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return d.join(d.groupBy("h").agg(F.min("doc_id").alias("component")), "h").select("doc_id", "component")
+    """Documents joined by long lines that they share, directly or through
+    others: a star per line rather than all pairs, then connected components."""
+    d = table(spark, sf, "documents")
+    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 60)
+    lines = lines.select("doc_id", F.md5("line").alias("line")).distinct()
+    links = lines.join(lines.groupBy("line").agg(F.min("doc_id").alias("b")), "line").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    found = G.components(links).select(F.col("node").alias("doc_id"), "root")
+    return d.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component"))
 
 
-@query("q130_cycles", f"""with {SPARSE} select a.src as a, a.dst as b, cast(null as int) as c from g a join g b on a.dst = b.src and b.dst = a.src where a.src < a.dst
+@query("q130_cycles", f"""with {PARTS} select a.src as a, a.dst as b, cast(null as bigint) as c from g a join g b on a.dst = b.src and b.dst = a.src where a.src < a.dst
 union all select a.src, a.dst, b.dst from g a join g b on a.dst = b.src join g c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.src < b.dst and b.dst <> a.dst""")
 def q130(spark, sf):
     """All cycles of two and three nodes."""
-    c = G.cycles(sparse_edges(spark, sf), 3)
+    c = G.cycles(part_edges(spark, sf), 3)
     return c.select(F.col("path")[0].alias("a"), F.col("path")[1].alias("b"), F.get("path", 2).alias("c"))
 
 
@@ -33,33 +42,31 @@ def q131(spark, sf):
     return edges(spark, sf).join(n, "dst").groupBy("src").agg(F.count("*").alias("imports"), F.count_if(F.col("n_regionkey") == 0).alias("outside"))
 
 
-@query("q132_impurity_propagation", f"""with recursive {SPARSE}, r as (select 3 as node, 0 as hops union all select g.src, hops + 1 from r join g on g.dst = r.node where hops < 6) select node, min(hops) as hops from r group by node""")
+@query("q132_impurity_propagation", f"""with recursive {PARTS}, r as (select cast(3 as bigint) as node union select g.src from r join g on g.dst = r.node) select node from r""")
 def q132(spark, sf):
-    """What reaches an impure node, with the fewest hops."""
-    back = sparse_edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.reachable(back, spark.createDataFrame([(3,)], "node int"), 6)
+    """All that reaches an impure node, until nothing is new."""
+    back = part_edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.reachable(back, spark.createDataFrame([(3,)], "node long")).select("node")
 
 
-_DAG = SPARSE.replace("and src <> dst)", "and src < dst)")
+_TIERS = f"""{HIERARCHY}, p as (select distinct src as node, 0 as tier from g where src not in (select dst from g) union select g.dst, tier + 1 from p join g on g.src = p.node),
+t as (select node, max(tier) as tier from p group by node)"""
 
 
-@query("q133_dependency_tiers", f"""with recursive {_DAG}, p as (select distinct src as node, 0 as tier from g union all select g.dst, tier + 1 from p join g on g.src = p.node)
-select node, max(tier) as tier from p group by node""")
+@query("q133_dependency_tiers", f"with recursive {_TIERS} select node, tier from t")
 def q133(spark, sf):
     """Longest-path layers of an acyclic graph."""
-    g = sparse_edges(spark, sf).where("src < dst")
-    return G.layers(g)
+    return G.layers(hierarchy(spark, sf))
 
 
-@query("q134_topological_order", f"""with recursive {_DAG}, p as (select distinct src as node, 0 as tier from g union all select g.dst, tier + 1 from p join g on g.src = p.node),
-t as (select node, max(tier) as tier from p group by node), u as (select src, count(*) as unlocks from g group by 1)
+@query("q134_topological_order", f"""with recursive {_TIERS}, u as (select src, count(*) as unlocks from g group by 1)
 select row_number() over (order by tier, coalesce(unlocks, 0) desc, node) as pos, node from t left join u on node = src""")
 def q134(spark, sf):
     """An order that respects dependencies, what unlocks most first within a tier."""
-    g = sparse_edges(spark, sf).where("src < dst")
+    g = hierarchy(spark, sf)
     u = g.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("unlocks"))
-    t = G.layers(g).join(u, "node", "left").na.fill(0, ["unlocks"])
-    return t.select(F.row_number().over(W.orderBy("tier", F.desc("unlocks"), "node")).cast("long").alias("pos"), "node")
+    t = G.layers(g).join(u, "node", "left").select("node", "tier", (-F.coalesce("unlocks", F.lit(0))).alias("less"), F.substring("node", 1, 4).alias("part"))
+    return R.running(t, ["tier", "less", "part"], ["node"], pos=F.lit(1)).select((F.col("pos") + 1).alias("pos"), "node")
 
 
 @query("q135_greedy_set_cover")
@@ -68,17 +75,19 @@ def q135(spark, sf):
     return G.set_cover(kills(spark, sf))
 
 
-@query("q137_closure", f"""with recursive {_DAG}, c as (select src, dst, 1 as d from g union all select c.src, g.dst, d + 1 from c join g on c.dst = g.src) select distinct src, dst from c""")
+@query("q137_closure", f"""with recursive {HIERARCHY}, c as (select src, dst from g union select c.src, g.dst from c join g on c.dst = g.src) select src, dst from c""")
 def q137(spark, sf):
     """Transitive closure, by doubling paths until nothing is new."""
     from qualitylens.session import Scratch
 
     scratch = Scratch(spark)
-    closed = scratch.save(sparse_edges(spark, sf).where("src < dst").distinct())
+    closed = scratch.save(hierarchy(spark, sf))
     n = closed.count()
     while True:
         longer = closed.select("src", F.col("dst").alias("mid")).join(closed.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        closed = scratch.save(closed.union(longer).distinct())
+        wider = scratch.save(closed.union(longer).distinct())
+        scratch.drop(closed)
+        closed = wider
         if (m := closed.count()) == n:
             return closed
         n = m
@@ -136,13 +145,23 @@ def q143(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sig.alias("sig")).where("sig is not null").select("doc_id", F.substring(F.sha2("sig", 256), 1, 16).alias("key"))
 
 
-@query("q144_token_overlap", """with t as (select p_partkey, unnest(list_distinct(list_filter(string_split(lower(p_type), ' '), lambda x: len(x) >= 3))) as t from part where p_partkey < 300)
-select a.p_partkey as a, b.p_partkey as b, count(*) as shared from t a join t b on a.t = b.t and a.p_partkey < b.p_partkey group by all having count(*) >= 2""")
+_TYPES = """c as (select lower(p_type) as s, count(*) as n from part group by 1),
+t as (select s, n, unnest(list_distinct(list_filter(string_split(s, ' '), lambda x: len(x) >= 3 and x not in ('the', 'and', 'plated')))) as t from c)"""
+
+
+@query("q144_token_overlap", f"""with {_TYPES}, m as (select a.s as a, b.s as b, a.n as na, b.n as nb, count(*) as shared from t a join t b on a.t = b.t and a.s < b.s group by all)
+select a, b, na, nb, shared from m where shared >= 2 or (length(a) >= 12 and contains(b, a)) or (length(b) >= 12 and contains(a, b))
+union all select s, s, n, n, 0 from c where n > 1 and length(s) >= 7""")
 def q144(spark, sf):
-    """Pairs that share at least two tokens."""
-    t = table(spark, sf, "part").where("p_partkey < 300").select("p_partkey", F.explode(F.array_distinct(F.filter(F.split(F.lower("p_type"), " "), lambda x: F.length(x) >= 3))).alias("t"))
-    a, b = t.select(F.col("p_partkey").alias("a"), "t"), t.select(F.col("p_partkey").alias("b"), "t")
-    return a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    """Texts that match: equal ones, one row per text with its copies, and pairs of
+    different texts that share two tokens, stop words aside, or hold one another."""
+    c = table(spark, sf, "part").groupBy(F.lower("p_type").alias("s")).agg(F.count("*").alias("n"))
+    plain = lambda x: (F.length(x) >= 3) & ~x.isin("the", "and", "plated")
+    t = c.select("s", "n", F.explode(F.array_distinct(F.filter(F.split("s", " "), plain))).alias("t"))
+    a, b = t.select(F.col("s").alias("a"), F.col("n").alias("na"), "t"), t.select(F.col("s").alias("b"), F.col("n").alias("nb"), "t")
+    m = a.join(b, "t").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    m = m.where("shared >= 2 or (length(a) >= 12 and contains(b, a)) or (length(b) >= 12 and contains(a, b))").select("a", "b", "na", "nb", "shared")
+    return m.union(c.where("n > 1 and length(s) >= 7").select("s", "s", "n", "n", F.lit(0).cast("long")))
 
 
 @query("q145_claim_scoring", """select doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+')) + 2 * len(regexp_extract_all(text, '[Ll]icen[sc]e')) as score from documents""")

@@ -149,11 +149,11 @@ def q112(spark, sf):
     return table(spark, sf, "documents").select("source", "doc_id", F.row_number().over(w).alias("rn"), F.sum("n_chars").over(w).alias("total")).where("rn <= 2 and total <= 150").select("source", "doc_id")
 
 
-@query("q113_severity_sort", f"""with {FINDINGS} select row_number() over (order by case severity when 'blocking' then 0 when 'warning' then 1 else 2 end, file, ord) as pos, ord from f where run = '2024-01-05'""")
+@query("q113_severity_sort", f"""with {FINDINGS} select run, row_number() over (partition by run order by case severity when 'blocking' then 0 when 'warning' then 1 else 2 end, file, ord) as pos, ord from f""")
 def q113(spark, sf):
-    """Rows of a run in the order of a report."""
+    """The rows of every run in the order of its report."""
     rank = F.when(F.col("severity") == "blocking", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return findings(spark, sf).where("run = '2024-01-05'").select(F.row_number().over(W.orderBy(rank, "file", "ord")).cast("long").alias("pos"), "ord")
+    return findings(spark, sf).select("run", F.row_number().over(W.partitionBy("run").orderBy(rank, "file", "ord")).cast("long").alias("pos"), "ord")
 
 
 @query("q115_top_partners", """with s as (select distinct l_orderkey, p_brand from lineitem join part on l_partkey = p_partkey), c as (select x.p_brand as a, y.p_brand as b, count(*) as n from s x join s y on x.l_orderkey = y.l_orderkey and x.p_brand < y.p_brand group by all)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qualitylens.operators.sequence import once_within, pieces
 from qualitylens.plans.registry import query
 from qualitylens.session import table
 
@@ -14,10 +15,16 @@ def _by_user():
     return W.partitionBy("user_id").orderBy("ts", "event_id")
 
 
-def folded(events: DataFrame, value: Column, start: float, step) -> DataFrame:
-    """user_id, state: ``step`` folded over a user's values in order."""
-    seq = F.array_sort(F.collect_list(F.struct("ts", "event_id", value.alias("v"))))
-    return events.groupBy("user_id").agg(F.aggregate(seq, F.lit(start), lambda a, x: step(a, x["v"])).alias("state"))
+def machine(events: DataFrame, value: Column, start: int, entries: list[int], unit: int, step) -> DataFrame:
+    """user_id, state: ``step`` folded over a user's values in order.
+
+    A state is a count of ``unit`` plus one of ``entries``, the machine's own
+    states. A stretch of events is folded from each of them, and the stretches'
+    results are then followed one after the other."""
+    effect = lambda s: F.array(*[F.aggregate(s, F.lit(e), step) for e in entries])
+    rows = pieces(events, "user_id", ["ts", "event_id"], value, effect)
+    at = lambda a: F.array_position(F.array(*[F.lit(e) for e in entries]), (a % unit).cast("int")).cast("int")
+    return rows.select("user_id", F.aggregate("pieces", F.lit(start), lambda a, x: (a - a % unit + F.element_at(x, at(a))).cast("int")).alias("state"))
 
 
 def _sql_fold(value: str, start: str, step: str, out: str) -> str:
@@ -33,12 +40,18 @@ def q160(spark, sf):
     return r.groupBy("user_id").agg(F.array_join(F.transform(ring, lambda x: x["event_type"]), ",").alias("ring"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
-@query("q161_hypothesis_update", _sql_fold("case event_type when 'purchase' then 0.15::double when 'error' then -0.10::double else 0.0::double end", "0.5::double", "greatest(0.0::double, least(1.0::double, a + x))", "round(state, 4) as confidence, state >= 0.7 as confirmed"))
+@query("q161_hypothesis_update", _sql_fold("case event_type when 'purchase' then 3 when 'error' then -2 else 0 end", "10", "greatest(0, least(20, a + x))", "round(state / 20.0::double, 4) as confidence, state >= 14 as confirmed"))
 def q161(spark, sf):
-    """A confidence that rises and falls, kept between 0 and 1."""
-    v = F.when(F.col("event_type") == "purchase", 0.15).when(F.col("event_type") == "error", -0.10).otherwise(0.0)
-    s = folded(table(spark, sf, "events"), v, 0.5, lambda a, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), a + x)))
-    return s.select("user_id", F.round("state", 4).alias("confidence"), (F.col("state") >= 0.7).alias("confirmed"))
+    """A confidence that rises by 0.15 and falls by 0.10, kept between 0 and 1,
+    in units of 0.05. A stretch of events is a shift between a least and a
+    greatest outcome."""
+    v = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "error", -2).otherwise(0)
+    clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(20), x))
+    step = lambda a, x: F.struct(clamp(a["lo"] + x).alias("lo"), clamp(a["hi"] + x).alias("hi"), (a["shift"] + x).alias("shift"))
+    effect = lambda s: F.aggregate(s, F.struct(F.lit(0).alias("lo"), F.lit(20).alias("hi"), F.lit(0).alias("shift")), step)
+    s = pieces(table(spark, sf, "events"), "user_id", ["ts", "event_id"], v, effect)
+    state = F.aggregate("pieces", F.lit(10), lambda a, x: F.least(x["hi"], F.greatest(x["lo"], a + x["shift"])))
+    return s.select("user_id", F.round(state / 20.0, 4).alias("confidence"), (state >= 14).alias("confirmed"))
 
 
 @query("q162_prediction_check", """with n as (select user_id, event_type, first_value(case when event_type in ('purchase', 'error') then event_type end ignore nulls) over (partition by user_id order by ts, event_id rows between 1 following and 10 following) as outcome from events)
@@ -62,14 +75,15 @@ def q163(spark, sf):
         off = F.when(x == 1, F.when(a % 1000 == 1, a - a % 10000 + 11000).otherwise(a + 1)).otherwise(a - a % 1000)
         return F.when(a % 10000 >= 1000, on).otherwise(off)
 
-    s = folded(table(spark, sf, "events"), v, 0, step)
+    s = machine(table(spark, sf, "events"), v, 0, [0, 1, 1000], 10_000, step)
     return s.select("user_id", F.expr("cast(state div 10000 as int)").alias("entries"), (F.col("state") % 10000 >= 1000).alias("active"))
 
 
-@query("q164_cooldown", _sql_fold("(event_type = 'error')::int", "10", "case when x = 1 and a % 1000 >= 10 then a - a % 1000 + 1000 else a + 1 end", "(state // 1000)::int as fires"))
+@query("q164_cooldown", _sql_fold("(event_type = 'error')::int", "10", "case when x = 1 and a % 1000 >= 10 then a - a % 1000 + 1000 else a - a % 1000 + least(a % 1000 + 1, 10) end", "(state // 1000)::int as fires"))
 def q164(spark, sf):
     """Fires only if ten events have passed since it last did."""
-    s = folded(table(spark, sf, "events"), (F.col("event_type") == "error").cast("int"), 10, lambda a, x: F.when((x == 1) & (a % 1000 >= 10), a - a % 1000 + 1000).otherwise(a + 1))
+    step = lambda a, x: F.when((x == 1) & (a % 1000 >= 10), a - a % 1000 + 1000).otherwise(a - a % 1000 + F.least(a % 1000 + 1, F.lit(10)))
+    s = machine(table(spark, sf, "events"), (F.col("event_type") == "error").cast("int"), 10, list(range(11)), 1000, step)
     return s.select("user_id", F.expr("cast(state div 1000 as int)").alias("fires"))
 
 
@@ -97,12 +111,15 @@ def q167(spark, sf):
     return d.withColumn("delta", F.col("v") - F.lag("v").over(W.partitionBy("user_id").orderBy("day"))).where("n >= 3 and v > 60 and abs(delta) > 20").select("user_id", "day")
 
 
-@query("q168_ttl_dedup", "with g as (select event_id, epoch(ts) - epoch(lag(ts) over (partition by user_id, event_type order by ts, event_id)) as gap from events) select event_id from g where gap is null or gap >= 86400")
+@query("q168_ttl_dedup", """with recursive s as (select user_id, event_type, event_id, epoch(ts) as t, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events),
+r as (select user_id, event_type, event_id, rn, t as kept_at, true as kept from s where rn = 1
+  union all select s.user_id, s.event_type, s.event_id, s.rn, case when s.t - kept_at >= 86400 then s.t else kept_at end, s.t - kept_at >= 86400 from r join s on s.user_id = r.user_id and s.event_type = r.event_type and s.rn = r.rn + 1)
+select event_id from r where kept""")
 def q168(spark, sf):
-    """Deliveries of a key that was not seen within the day before."""
-    s = F.col("ts").cast("timestamp").cast("double")
-    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("event_id", (s - F.lag(s).over(w)).alias("gap")).where("gap is null or gap >= 86400").select("event_id")
+    """Deliveries of a key that was not stored within the day before. Only a
+    delivery that is new stores its key, so a repeated one does not prolong its life."""
+    e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    return once_within(e, ["user_id", "event_type"], "at", "event_id", 86_400).select("event_id")
 
 
 @query("q169_daily_counter", "with r as (select event_id, row_number() over (partition by cast(ts as date) order by ts, event_id) as rn from events) select event_id from r where rn <= 140")
