@@ -80,16 +80,18 @@ def terms(text: str) -> list[str]:
     return sorted(set(re.findall(r"[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))))
 
 
-def _terms(text: Column) -> Column:
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _terms(lower: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(lower, "[^a-z0-9]+")), "")
 
 
 def _segments(files: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Per text (h, whole) its segments: words (those that no window before has),
     template terms, and number of other terms."""
-    plain = F.array(*[F.lit(t) for t in vocabulary])
-    line_words = F.transform(F.split("text", "\n"), lambda x: F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
+    line_words = F.transform(F.split(_lower(F.col("text")), "\n"), lambda x: F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
     cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - SPAN) / STEP), F.lit(0)).cast("int")), lambda k: F.slice(w, k * STEP + 1, SPAN))
     pieces = F.flatten(F.transform(F.filter(line_words, lambda w: F.get(w, F.lit(0)) != ""), cut))
     # a segment counts the words up to the next one's start
@@ -97,7 +99,7 @@ def _segments(files: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     def segment(w: Column) -> Column:
         found = _terms(F.array_join(w, " "))
-        known = F.array_intersect(found, plain)
+        known = F.filter(found, lambda t: t.isin(*vocabulary))  # a hash set made once, not per segment
         return F.struct(F.least(F.size(w), F.lit(STEP)).alias("words"), known.alias("known"), (F.size(found) - F.size(known)).alias("others"))
 
     return rows.select("h", "whole", F.transform("pieces", segment).alias("segments"))
