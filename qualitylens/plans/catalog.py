@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from qualitylens.plans import aggregates, graphs, joins, projections, sequences, state  # noqa: F401
+from qualitylens.plans import aggregates, graphs, joins, projections, resolution, sequences, state  # noqa: F401
 from qualitylens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -145,7 +145,7 @@ def q143(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sig.alias("sig")).where("sig is not null").select("doc_id", F.substring(F.sha2("sig", 256), 1, 16).alias("key"))
 
 
-_TYPES = """c as (select lower(p_type) as s, count(*) as n from part group by 1),
+_TYPES = """c as (select lower(p_name || ' ' || p_type) as s, count(*) as n from part group by 1),
 t as (select s, n, unnest(list_distinct(list_filter(string_split(s, ' '), lambda x: len(x) >= 3 and x not in ('the', 'and', 'plated')))) as t from c)"""
 
 
@@ -155,7 +155,7 @@ union all select s, s, n, n, 0 from c where n > 1 and length(s) >= 7""")
 def q144(spark, sf):
     """Texts that match: equal ones, one row per text with its copies, and pairs of
     different texts that share two tokens, stop words aside, or hold one another."""
-    c = table(spark, sf, "part").groupBy(F.lower("p_type").alias("s")).agg(F.count("*").alias("n"))
+    c = table(spark, sf, "part").groupBy(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("s")).agg(F.count("*").alias("n"))
     plain = lambda x: (F.length(x) >= 3) & ~x.isin("the", "and", "plated")
     t = c.select("s", "n", F.explode(F.array_distinct(F.filter(F.split("s", " "), plain))).alias("t"))
     a, b = t.select(F.col("s").alias("a"), F.col("n").alias("na"), "t"), t.select(F.col("s").alias("b"), F.col("n").alias("nb"), "t")

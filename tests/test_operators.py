@@ -50,3 +50,33 @@ def test_scalars(spark):
     assert [round(r.x, 6) for r in df.select(X.noisy_or(F.col("c")).alias("x")).collect()] == [0.75, 0.0, 1.0]
     g = spark.createDataFrame([([0.25, 1.0, None],), ([0.0, 1.0],), ([None],)], "c array<double>")
     assert [r.x and round(r.x, 6) for r in g.select(X.geometric_mean(F.col("c")).alias("x")).collect()] == [0.5, 0.0, None]
+
+
+def test_set_cover_is_greedy(spark):
+    import random
+
+    for seed in range(2):
+        r = random.Random(seed)
+        kills = {t: {r.randrange(60) for _ in range(r.randint(1, 9))} for t in range(25)}
+        left, want = set().union(*kills.values()), []
+        while left:
+            t = min(kills, key=lambda t: (-len(kills[t] & left), t))  # noqa: B023
+            want.append((len(want) + 1, t, len(kills[t] & left)))
+            left -= kills[t]
+        df = spark.createDataFrame([(m, t) for t, ms in kills.items() for m in ms] + [(None, 3)], "mutant long, test long")
+        assert sorted(map(tuple, G.set_cover(df).collect())) == want
+    assert G.set_cover(df.where("false")).count() == 0
+
+
+def test_folds_in_stretches_and_large_groups(spark):
+    r = [((k * 37) % 50, k, float((k * 7919) % 13)) for k in range(300)]
+    one = spark.createDataFrame([(1, t, i, v) for t, i, v in r], "k int, t int, i int, v double")
+    want = None
+    for *_, v in sorted(r):
+        want = v if want is None else 0.7 * v + 0.3 * want
+    assert round(S.ewma(one, "k", ["t", "i"], "v").collect()[0].ewma, 9) == round(want, 9)
+    big = spark.createDataFrame([(g, f"{i:03}") for g in (1, 2) for i in range(600)] + [(3, "000"), (3, "001")], "g int, i string")
+    got = R.pair_counts(big, "g", "i").groupBy("n").count().collect()
+    assert {x.n: x["count"] for x in got} == {2: 600 * 599 // 2 - 1, 3: 1}
+    late = spark.createDataFrame([("a", 0.0, 1), ("a", 50.0, 2), ("a", 90.0, 3), ("a", 120.0, 4), ("a", 191.0, 5), ("b", 60.0, 6), (None, 1.0, 7)], "k string, at double, id int")
+    assert sorted(x.id for x in S.once_within(late, ["k"], "at", "id", 100).collect()) == [1, 4, 6, 7]
