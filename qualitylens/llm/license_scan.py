@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qualitylens.llm.common import SPACE, SPACE_CHARS, word_count
+from qualitylens.llm.common import SPACE, SPACE_CHARS
 from qualitylens.session import Scratch
 
 THRESHOLD = 0.6
@@ -92,22 +92,24 @@ def _segments(files: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Per text (h, whole) its segments: words (those that no window before has),
     template terms, and number of other terms."""
     line_words = F.transform(F.split(_lower(F.col("text")), "\n"), lambda x: F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - SPAN) / STEP), F.lit(0)).cast("int")), lambda k: F.slice(w, k * STEP + 1, SPAN))
+    last = lambda w: F.greatest(F.ceil((F.size(w) - SPAN) / STEP), F.lit(0)).cast("int")
+    window = lambda w, k: F.struct(F.slice(w, k * STEP + 1, SPAN).alias("w"), F.when(k < last(w), STEP).otherwise(F.size(w) - k * STEP).alias("words"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda k: window(w, k))
     pieces = F.flatten(F.transform(F.filter(line_words, lambda w: F.get(w, F.lit(0)) != ""), cut))
     # a segment counts the words up to the next one's start
     rows = files.select("h", "whole", pieces.alias("pieces"))
 
-    def segment(w: Column) -> Column:
-        found = _terms(F.array_join(w, " "))
+    def segment(x: Column) -> Column:
+        found = _terms(F.array_join(x["w"], " "))
         known = F.filter(found, lambda t: t.isin(*vocabulary))  # a hash set made once, not per segment
-        return F.struct(F.least(F.size(w), F.lit(STEP)).alias("words"), known.alias("known"), (F.size(found) - F.size(known)).alias("others"))
+        return F.struct(x["words"].alias("words"), known.alias("known"), (F.size(found) - F.size(known)).alias("others"))
 
     return rows.select("h", "whole", F.transform("pieces", segment).alias("segments"))
 
 
 def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Units of ``files`` (h, whole, text; a row per text) that match a template:
-    h, unit, words, license, score. Unit 2k is segment k, unit 2k + 1 the block
+    h, n_words, unit, words, license, score. Unit 2k is segment k, unit 2k + 1 the block
     that begins with it, unit -1 the whole text where ``whole`` is true. Each
     unit has its best template; of equal ones the first."""
     spark = files.sparkSession
@@ -147,7 +149,10 @@ def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     scored = dots.join(sizes, ["h", "unit"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6))
     scored = scored.where(F.col("score") >= threshold)
     best = F.max_by(F.struct("license", "score"), F.struct(F.col("score"), -F.col("template")))
-    return scored.groupBy("h", "unit", "words").agg(best.alias("best")).select("h", "unit", "words", "best.license", "best.score")
+    sums = F.aggregate("segments", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    of = taken.select("h", sums.alias("n_words")).dropDuplicates(["h"])
+    out = scored.groupBy("h", "unit", "words").agg(best.alias("best")).join(of, "h")
+    return out.select("h", "n_words", "unit", "words", "best.license", "best.score")
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,11 +176,10 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     # notices take the words of the segments that match, or of the block that matches best
     top = F.max_by(F.struct("license", "score", "unit", "words"), F.struct(F.col("score"), -F.col("unit")))
     single = F.coalesce(F.sum(F.when(F.col("unit") % 2 == 0, F.col("words"))), F.lit(0))
-    own = found.groupBy("h").agg(top.alias("own"), single.alias("single"))
-    own = own.select("h", "own", F.greatest("single", F.when(F.col("own.unit") > 0, F.col("own.words"))).alias("notice_words"))
+    own = found.groupBy("h", "n_words").agg(top.alias("own"), single.alias("single"))
+    own = own.select("h", "n_words", "own", F.greatest("single", F.when(F.col("own.unit") > 0, F.col("own.words"))).alias("notice_words"))
     own = scratch.save(own)
-    keys = rows.select("doc_id", "path", "h", word_count(F.col("text")).alias("n_words"))
-    keys = scratch.save(keys.join(own, "h", "left").drop("h"))
+    keys = scratch.save(rows.select("doc_id", "path", "h").join(own, "h", "left").drop("h"))
 
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     is_license = F.coalesce(F.col("path").rlike(LICENSE_FILE) | (F.col("notice_words") >= FILE_SHARE * F.col("n_words")), F.lit(False))

@@ -9,8 +9,11 @@ def cut(text):
     for line in (text or "").split("\n"):
         w = re.findall(r"[^\x20\x09-\x0D]+", line)
         if w:
-            out += [w[k * S.STEP : k * S.STEP + S.SPAN] for k in range(max(0, math.ceil((len(w) - S.SPAN) / S.STEP)) + 1)]
-    return [(min(len(w), S.STEP), set(S.terms(" ".join(w)))) for w in out]
+            last = max(0, math.ceil((len(w) - S.SPAN) / S.STEP))
+            for k in range(last + 1):
+                part = w[k * S.STEP : k * S.STEP + S.SPAN]
+                out.append((S.STEP if k < last else len(part), set(S.terms(" ".join(part)))))
+    return out
 
 
 def brute(files):
