@@ -4,8 +4,11 @@ A partition's documents form one stream of ids, each document closed by the
 end id. Windows of at most ``seq_len`` ids are cut from the stream in order.
 Cuts lie at the ends of documents or sentences, and within a sentence only
 where it is long. A window costs its padding, none if its length is a power
-of two, plus a penalty if its end truncates a document. With f the least cost
-of the stream up to a cut,
+of two of at least ``LEAST`` ids, plus a penalty if its end truncates a
+document. Before the stream's end there is also a cut every ``LEAST`` ids, so
+that the programme can close the stream with powers of two; a stream shorter
+than a window may have to be padded. With f the least cost of the stream up to
+a cut,
 
     f(j) = penalty(j) + min( min over i in reach of f(i) + pos(i)  + seq_len - pos(j),
                              min over powers of two of f(at pos(j) - power) )
@@ -43,6 +46,8 @@ END_ID = 1
 SENTENCE_PENALTY, INNER_PENALTY = 8, 64
 #: Within a longer sentence, so many ids lie between possible cuts.
 GRID = 128
+#: The shortest window that is not padded.
+LEAST = 32
 BLOCK = 256 * SEQ_LEN
 #: Words, and parts of words, whose ids a worker remembers; then it starts anew.
 CACHE_WORDS = 500_000
@@ -150,7 +155,7 @@ def padding(length: int, seq_len: int) -> int:
 def cut_windows(pos: list[int], penalty: list[int], seq_len: int) -> list[int]:
     """Ends of the cheapest windows over cuts ``pos`` (increasing, from 0 to
     the stream's length, no gap above ``seq_len``)."""
-    powers = [1 << k for k in range(5, seq_len.bit_length()) if 1 << k < seq_len]
+    powers = [1 << k for k in range(seq_len.bit_length()) if LEAST <= 1 << k < seq_len]
     at = {p: i for i, p in enumerate(pos)}
     cost, back = [0] * len(pos), [0] * len(pos)
     queue = deque([(0, 0)])  # (cost + position, index), increasing in both
@@ -179,22 +184,6 @@ def cut_windows(pos: list[int], penalty: list[int], seq_len: int) -> list[int]:
     return ends[::-1]
 
 
-def split_powers(ends: list[int], seq_len: int, inner: int) -> list[int]:
-    """Split windows whose padding costs more than cuts into powers of two."""
-    out, before = [], 0
-    for end in ends:
-        n = end - before
-        if padding(n, seq_len) > inner * (n.bit_count() - 1):
-            for k in range(n.bit_length() - 1, 0, -1):
-                if n >> k & 1:
-                    before += 1 << k
-                    out.append(before)
-        if not out or out[-1] != end:
-            out.append(end)
-        before = end
-    return out
-
-
 class Packer:
     """The stream of one partition: what is not packed yet, and its documents."""
 
@@ -210,7 +199,7 @@ class Packer:
         self.ids = np.concatenate([self.ids, ids])
         self.docs += [[name, 0, n, n] for name, n in zip(names, sizes.tolist(), strict=True)]
 
-    def cuts(self) -> tuple[list[int], list[int]]:
+    def cuts(self, last: bool) -> tuple[list[int], list[int]]:
         total = len(self.ids)
         doc_ends = np.cumsum([d[2] for d in self.docs])
         pos = np.unique(np.concatenate([[0], self.inner, doc_ends]))
@@ -220,6 +209,8 @@ class Packer:
             n = (gaps[long] - 1) // GRID
             more = np.repeat(pos[long], n) + GRID * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
             pos = np.unique(np.concatenate([pos, more]))
+        if last:
+            pos = np.union1d(pos, np.arange(total, max(0, total - 2 * self.seq_len), -LEAST))
         penalty = np.full(len(pos), INNER_PENALTY)
         penalty[np.isin(pos, self.inner)] = SENTENCE_PENALTY
         penalty[np.isin(pos, doc_ends)] = 0
@@ -230,10 +221,9 @@ class Packer:
         """Pack what is there; unless ``last``, keep back the final windows."""
         if not len(self.ids):
             return None
-        ends = cut_windows(*self.cuts(), self.seq_len)
+        ends = cut_windows(*self.cuts(last), self.seq_len)
         if not last:
             ends = [e for e in ends if e <= len(self.ids) - 4 * self.seq_len]
-        ends = split_powers(ends, self.seq_len, INNER_PENALTY)
         if not ends:
             return None
         done = ends[-1]
@@ -277,7 +267,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = SEQ_LEN,
     unsigned 32 bit), doc_tokens (with the end id), sequence_id, offset (in the
     sequence). Null and empty texts are the end id alone; a null doc_id stays
     null; rows that repeat are packed each; an empty table gives no rows. A
-    document of any length is cut over as many windows as it needs.
+    document of any length is cut over as many windows as it needs. No window
+    of fewer than ``LEAST`` ids is cut off to save padding; only a stream's
+    last may be that short.
     """
     path = tokenizer or default_tokenizer()
     arrow_batches(docs.sparkSession)

@@ -103,3 +103,14 @@ def test_windows_are_cheapest():
             cost += (0 if n & (n - 1) == 0 and n >= 32 else 256 - n) + by[e]
             a = e
         assert cost == brute(pos, penalty, 256)
+
+
+def test_no_crumbs_at_the_end_of_a_stream(spark):
+    # one document whose ids are no sum of few powers: only windows of LEAST ids or more are unpadded
+    for n in (700, 2500, 5003):
+        docs = spark.createDataFrame([(1, "word " * n)], "doc_id long, text string").coalesce(1)
+        rows = packing.pack(docs, seq_len=256).collect()
+        got, want, pad, total = check(rows, [(1, "word " * n)], 256)
+        assert got == want and total == n + 1
+        lengths = [sum(r.length for r in rows if r.sequence_id == s) for s in sorted({r.sequence_id for r in rows})]
+        assert all(k >= packing.LEAST for k in lengths[:-1]) and pad <= 256
