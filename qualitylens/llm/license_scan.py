@@ -90,21 +90,33 @@ def _terms(lower: Column) -> Column:
 
 def _segments(files: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Per text (h, whole) its segments: words (those that no window before has),
-    template terms, and number of other terms."""
+    template terms, and number of other terms.
+
+    Terms are found once per stretch of ``STEP`` words; a window is two
+    stretches. What a lambda uses twice is bound by a ``transform`` of its own,
+    as expressions inside a lambda are evaluated wherever they stand."""
+    none = F.array().cast("array<string>")
+    last = lambda n: F.greatest(F.ceil((n - SPAN) / STEP), F.lit(0)).cast("int")
     line_words = F.transform(F.split(_lower(F.col("text")), "\n"), lambda x: F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
-    last = lambda w: F.greatest(F.ceil((F.size(w) - SPAN) / STEP), F.lit(0)).cast("int")
-    window = lambda w, k: F.struct(F.slice(w, k * STEP + 1, SPAN).alias("w"), F.when(k < last(w), STEP).otherwise(F.size(w) - k * STEP).alias("words"))
-    cut = lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda k: window(w, k))
-    pieces = F.flatten(F.transform(F.filter(line_words, lambda w: F.get(w, F.lit(0)) != ""), cut))
-    # a segment counts the words up to the next one's start
-    rows = files.select("h", "whole", pieces.alias("pieces"))
+    line_words = F.filter(line_words, lambda w: F.get(w, F.lit(0)) != "")
+
+    def stretches(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), ((F.size(w) - 1) / STEP).cast("int"))
+        return F.struct(F.size(w).alias("n"), F.transform(starts, lambda k: _terms(F.array_join(F.slice(w, k * STEP + 1, STEP), " "))).alias("terms"))
+
+    def known(x: Column) -> Column:
+        mark = lambda t: F.struct(F.filter(t, lambda v: v.isin(*vocabulary)).alias("known"), t.alias("all"))  # noqa: E731  a hash set made once
+        return F.struct(x["n"].alias("n"), F.transform(x["terms"], mark).alias("at"))
 
-    def segment(x: Column) -> Column:
-        found = _terms(F.array_join(x["w"], " "))
-        known = F.filter(found, lambda t: t.isin(*vocabulary))  # a hash set made once, not per segment
-        return F.struct(x["words"].alias("words"), known.alias("known"), (F.size(found) - F.size(known)).alias("others"))
+    def windows(x: Column) -> Column:
+        both = lambda k, name: F.array_union(F.get(x["at"], k)[name], F.coalesce(F.get(x["at"], k + 1)[name], none))
+        # a window counts the words up to the next one's start
+        words = lambda k: F.when(k < last(x["n"]), STEP).otherwise(x["n"] - k * STEP)
+        return F.transform(F.sequence(F.lit(0), last(x["n"])), lambda k: F.struct(words(k).alias("words"), both(k, "known").alias("known"), F.size(both(k, "all")).alias("all")))
 
-    return rows.select("h", "whole", F.transform("pieces", segment).alias("segments"))
+    segments = F.flatten(F.transform(F.transform(F.transform(line_words, stretches), known), windows))
+    counted = F.transform(segments, lambda x: F.struct(x["words"].alias("words"), x["known"].alias("known"), (x["all"] - F.size(x["known"])).alias("others")))
+    return files.select("h", "whole", counted.alias("segments"))
 
 
 def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,7 +133,7 @@ def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     # rarity is counted over all segments
     df = lines.select(F.explode("known").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = taken.agg(F.coalesce(F.sum(F.size("segments")), F.lit(0)).alias("n"))
-    every = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(df, "term", "left")
+    every = spark.range(1).select(F.explode(F.split(F.lit(" ".join(vocabulary)), " ")).alias("term")).join(df, "term", "left")
     idf = every.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"), (F.log(F.col("n") + 1.0) + 1).alias("rarest"))
     idf = scratch.save(idf)  # a row per template term
     # Texts that repeat count in the rarity but are weighed once.
@@ -138,7 +150,8 @@ def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     units = units.union(blocks.select("h", 2 * F.col("pos") + 1, "words", "known", "others")).union(texts.select("h", F.lit(-1), "words", "known", "others"))
     units = scratch.save(units.where(may("known", "others")))
 
-    wanted = spark.createDataFrame([(i, license, t) for i, (license, notice) in enumerate(templates) for t in terms(notice)], "template int, license string, term string")
+    given = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(license).alias("license"), F.lit(" ".join(terms(notice))).alias("terms")) for i, (license, notice) in enumerate(templates)])
+    wanted = spark.range(1).select(F.explode(given).alias("t")).select("t.template", "t.license", F.explode(F.split("t.terms", " ")).alias("term"))
     weights = wanted.join(idf, "term")
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     weights = scratch.save(weights.join(norms, "template").select("template", "license", "term", "norm"))
