@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qualitylens.llm import chat, embed_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from qualitylens.llm import chat, embed_dedup, importance, license_scan, line_dedup, mixing, packing, preference, quality, simhash, spelling, toxicity, url_filter
 from qualitylens.llm.common import word_count
 from qualitylens.session import table
 
@@ -68,6 +68,22 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
+def op11_importance(spark, sf_dir):
+    """Weight, score and place in the draw of every document."""
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_preference(spark, sf_dir):
+    """Score and verdict of every document, learnt from preference pairs."""
+    return preference.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark, sf_dir):
+    """Neighbours, form and root of every word."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -79,9 +95,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_importance": op11_importance,
+    "op12_preference": op12_preference,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op3_mixing": mixing.MIXING_ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
