@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qualitylens.session import Scratch
+
 
 def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by ``order``; null keys are equal. Only one
     candidate per key and task is shuffled: the best is an aggregate."""
-    ranked = df.withColumn("__rank", F.struct(*order)).withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    best = ranked.groupBy(*keys).agg(F.min_by("__row", "__rank").alias("__row"))
-    return best.select("__row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("key"), F.struct(*order).alias("rank"), row.alias("row"))
+    return rows.groupBy("key").agg(F.min_by("row", "rank").alias("row")).select("row.*")
 
 
 def bag_delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,15 +44,61 @@ def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start:
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str, value: str, sep: str = "/") -> DataFrame:
-    """``value`` of the longest ``prefix`` that is a leading stretch of each
-    row's ``path``: an equality join on all stretches, not a nested loop."""
+    """``rows`` with ``value`` of the longest ``prefix`` that is a leading stretch
+    of each row's ``path``, null if there is none: an equality join on all
+    stretches, not a nested loop. A column ``value`` of the rows is replaced; of
+    equal prefixes the greatest value counts."""
     from qualitylens.functions.scalar import path_prefixes
 
-    paths = rows.select(path).distinct()
-    tries = paths.select(path, F.explode(path_prefixes(F.col(path), sep)).alias("__p"))
-    hits = tries.join(prefixes.select(F.col(prefix).alias("__p"), value), "__p")
-    best = hits.groupBy(path).agg(F.max_by(value, F.length("__p")).alias(value))
-    return rows.join(best, path, "left")
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{path}`").alias("path"))
+    tries = packed.select("path").distinct().select("path", F.explode(path_prefixes(F.col("path"), sep)).alias("p"))
+    hits = tries.join(prefixes.select(F.col(f"`{prefix}`").alias("p"), F.col(f"`{value}`").alias("v")), "p")
+    best = hits.groupBy("path").agg(F.max(F.struct(F.length("p").alias("n"), "v"))["v"].alias("v"))
+    return packed.join(best, "path", "left").select(F.col("row").withField(value, F.col("v")).alias("row")).select("row.*")
+
+
+#: Sets that are asked first, and how many times more each further time.
+FIRST_SETS, MORE_SETS = 1024, 32
+
+
+def first_superset(sets: DataFrame, name: str, items: str, weight: str) -> DataFrame:
+    """``name`` (a number), superset: for every set of items (an array) that
+    another set of more ``weight`` holds, the least name of such a set. Sets that
+    none holds, and empty ones, give no row.
+
+    Sets that are equal in items and weight are one class. Every class is listed
+    under all its items and asks at the item that fewest classes have, bounded
+    by size and weight and by a mask of 63 hashed items, before items are
+    compared. Answers are sought in order of names, a stretch of classes after
+    the other, each ``MORE_SETS`` times as long, and a class that has its answer
+    asks no more; nothing leaves the joins but a minimum a class."""
+    scratch = Scratch(sets.sparkSession)
+    col = lambda c: F.col(f"`{c}`")
+    rows = sets.select(col(name).alias("name"), F.array_sort(F.array_distinct(col(items))).alias("items"), col(weight).alias("w"))
+    rows = rows.where("name is not null and w is not null and size(items) > 0")
+    each = rows.groupBy("items", "w").agg(F.min("name").alias("first")).withColumn("item", F.explode("items"))
+    rare = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    each = each.join(rare, "item").withColumn("bit", F.expr("shiftleft(1L, cast(pmod(xxhash64(item), 63) as int))"))
+    classes = each.groupBy("items", "w", "first").agg(F.min_by("item", F.struct("n", "item")).alias("item"), F.bit_or("bit").alias("mask"))
+    classes = scratch.save(classes)
+    lists = classes.withColumn("item", F.explode("items"))
+    total, upto, shares = classes.count(), FIRST_SETS, []
+    while upto < total:
+        shares.append(upto / total)
+        upto *= MORE_SETS
+    # where the stretches end need not be exact; it is a handful of names
+    cuts = classes.agg(F.percentile_approx("first", shares, 10_000)).first()[0] if shares else []
+    left = classes.select(F.col("w").alias("mine"), F.col("items").alias("own"), F.col("mask").alias("bits"), "item")
+    found, low = None, None
+    for high in [*cuts, None]:
+        part = lists if low is None else lists.where(F.col("first") > F.lit(low))
+        part = part if high is None else part.where(F.col("first") <= F.lit(high))
+        near = left.join(part, "item").where("w > mine and size(items) >= size(own) and (bits & ~mask) = 0")
+        hits = scratch.save(near.where(F.size(F.array_except("own", "items")) == 0).groupBy("own", "mine").agg(F.min("first").alias("superset")))
+        left = left.join(hits, ["own", "mine"], "left_anti")
+        found, low = hits if found is None else found.union(hits), high
+    answers = found.select(F.col("own").alias("items"), F.col("mine").alias("w"), "superset")
+    return rows.join(answers, ["items", "w"]).select(F.col("name").alias(name), "superset")
 
 
 #: Items of a group that are paired within a row.

@@ -135,19 +135,14 @@ def q056(spark, sf):
     return added.union(before.join(after, ["f", "p"], "left_anti").withColumn("change", F.lit("removed"))).join(both, "f", "left_semi")
 
 
-@query("q057_containment_join", """with s as (select o_custkey as k, list_sort(list_distinct(list(o_orderpriority || o_orderstatus))) as items from orders group by 1), c as (select items, count(*) as n from s group by 1)
-select array_to_string(x.items, ',') as a, array_to_string(y.items, ',') as b, x.n as na, y.n as nb from c x join c y on len(x.items) < len(y.items) and len(x.items) >= 4 and list_has_all(y.items, x.items)""")
+@query("q057_containment_join", """with s as (select o_custkey as k, list_distinct(list(o_orderpriority || o_orderstatus)) as items, count(*) as n from orders group by 1)
+select x.k as subsumed, min(y.k) as superset, any_value(x.n) as tests from s x join s y on y.n > x.n and list_has_all(y.items, x.items) group by x.k""")
 def q057(spark, sf):
-    """Sets properly within another, each with the number of customers that have
-    it: equal sets are one class, a smaller set meets the larger ones at its rarest item."""
-    s = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat("o_orderpriority", "o_orderstatus"))).alias("items"))
-    c = Scratch(spark).save(s.groupBy("items").agg(F.count("*").alias("n")))
-    each = c.select("items", "n", F.explode("items").alias("item"))
-    rare = each.groupBy("item").agg(F.count("*").alias("sets"))
-    small = each.where(F.size("items") >= 4).join(rare, "item").groupBy("items", "n").agg(F.min_by("item", F.struct("sets", "item")).alias("item"))
-    small = small.select(F.col("items").alias("x"), F.col("n").alias("na"), "item")
-    hits = small.join(each.select(F.col("items").alias("y"), F.col("n").alias("nb"), "item"), "item").where((F.size("x") < F.size("y")) & (F.size(F.array_except("x", "y")) == 0))
-    return hits.select(F.array_join("x", ",").alias("a"), F.array_join("y", ",").alias("b"), "na", "nb")
+    """Customers all whose kinds of orders another customer with more orders
+    has, and the first such customer."""
+    s = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set(F.concat("o_orderpriority", "o_orderstatus")).alias("items"), F.count("*").alias("n"))
+    s = Scratch(spark).save(s)
+    return R.first_superset(s, "o_custkey", "items", "n").join(s, "o_custkey").select(F.col("o_custkey").alias("subsumed"), "superset", F.col("n").alias("tests"))
 
 
 @query("q059_impact_join", f"""with {EDGES} select distinct n_name as changed, dst from g join nation on n_nationkey = src where n_regionkey = 1""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qualitylens.functions.scalar import clamp, linear_decay
 from qualitylens.operators import relational as R
 from qualitylens.operators import sequence as S
+from qualitylens.operators.selection import quantiles
 from qualitylens.plans.adapters import FINDINGS, findings
 from qualitylens.plans.registry import query
 from qualitylens.session import table
@@ -15,6 +16,11 @@ from qualitylens.session import table
 _ORDER = ["ts", "event_id"]
 
 
+def _timed(spark, sf):
+    """Events with their time in seconds."""
+    return table(spark, sf, "events").select("user_id", "event_id", "ts", F.col("ts").cast("timestamp").cast("double").alias("at"))
+
+
 @query("q095_half_trend", """with d as (select event_type, cast(ts as date) as day, cast(count(*) as double) as n from events group by all),
 r as (select *, row_number() over (partition by event_type order by day) - 1 as i, count(*) over (partition by event_type) as m from d),
 g as (select event_type, any_value(m) as n, avg(n) filter (i < m // 2) as a, avg(n) filter (i >= m // 2) as b from r group by 1)
@@ -144,16 +150,19 @@ def q111(spark, sf):
 
 @query("q112_char_budget", """with r as (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars, doc_id) as rn, sum(n_chars) over (partition by source order by n_chars, doc_id) as total from documents) select source, doc_id from r where rn <= 2 and total <= 150""")
 def q112(spark, sf):
-    """The first two within a budget of characters."""
+    """The first two within a budget of characters: tasks keep two rows a
+    source before they meet."""
     w = W.partitionBy("source").orderBy("n_chars", "doc_id")
-    return table(spark, sf, "documents").select("source", "doc_id", F.row_number().over(w).alias("rn"), F.sum("n_chars").over(w).alias("total")).where("rn <= 2 and total <= 150").select("source", "doc_id")
+    first = table(spark, sf, "documents").select("source", "doc_id", "n_chars", F.row_number().over(w).alias("rn")).where("rn <= 2")
+    return first.withColumn("total", F.sum("n_chars").over(w)).where("total <= 150").select("source", "doc_id")
 
 
 @query("q113_severity_sort", f"""with {FINDINGS} select run, row_number() over (partition by run order by case severity when 'blocking' then 0 when 'warning' then 1 else 2 end, file, ord) as pos, ord from f""")
 def q113(spark, sf):
     """The rows of every run in the order of its report."""
     rank = F.when(F.col("severity") == "blocking", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return findings(spark, sf).select("run", F.row_number().over(W.partitionBy("run").orderBy(rank, "file", "ord")).cast("long").alias("pos"), "ord")
+    rows = S.Dealt(findings(spark, sf).select("run", rank.alias("rank"), "file", "ord"), ["run"], ["rank", "file", "ord"])
+    return rows.total(pos=lambda r: F.lit(1)).rows().select("run", "pos", "ord")
 
 
 @query("q115_top_partners", """with s as (select distinct l_orderkey, p_brand from lineitem join part on l_partkey = p_partkey), c as (select x.p_brand as a, y.p_brand as b, count(*) as n from s x join s y on x.l_orderkey = y.l_orderkey and x.p_brand < y.p_brand group by all)
@@ -179,8 +188,8 @@ def q117(spark, sf):
 @query("q118_p90_cut", "select o_orderkey, o_totalprice from orders where o_totalprice > (select quantile_cont(o_totalprice, 0.9) from orders) order by o_totalprice desc, o_orderkey limit 5")
 def q118(spark, sf):
     o = table(spark, sf, "orders")
-    p = o.agg(F.percentile("o_totalprice", 0.9).alias("p90"))
-    return o.crossJoin(F.broadcast(p)).where("o_totalprice > p90").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey", "o_totalprice")
+    (p90,) = quantiles(o, "o_totalprice", [0.9])
+    return o.where(F.col("o_totalprice") > F.lit(p90)).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey", "o_totalprice")
 
 
 @query("q119_bounded_eviction", "with r as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as rn from customer) select c_nationkey, c_custkey from r where rn <= 20")
@@ -222,8 +231,8 @@ def q154(spark, sf):
 
 @query("q155_staleness", """with g as (select user_id, epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) select user_id, count(*) filter (gap > 14400) as session_gaps, round(least(1.0, max(gap) / 86400), 4) as staleness from g group by 1""")
 def q155(spark, sf):
-    s = F.col("ts").cast("timestamp").cast("double")
-    g = table(spark, sf, "events").select("user_id", (s - F.lag(s).over(W.partitionBy("user_id").orderBy(*_ORDER))).alias("gap"))
+    """Long gaps between a user's events, and the longest."""
+    g = S.Dealt(_timed(spark, sf), ["user_id"], _ORDER).previous(was=lambda r: r["at"]).rows().select("user_id", (F.col("at") - F.col("was")).alias("gap"))
     return g.groupBy("user_id").agg(F.count_if(F.col("gap") > 14400).alias("session_gaps"), F.round(clamp(F.max("gap") / 86400), 4).alias("staleness"))
 
 
@@ -249,5 +258,5 @@ def q158(spark, sf):
 @query("q159_debounce", "select event_id, coalesce(epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) < 3600, false) as suppressed from events")
 def q159(spark, sf):
     """Suppressed if the user was seen within the hour before."""
-    s = F.col("ts").cast("timestamp").cast("double")
-    return table(spark, sf, "events").select("event_id", F.coalesce(s - F.lag(s).over(W.partitionBy("user_id").orderBy(*_ORDER)) < 3600, F.lit(False)).alias("suppressed"))
+    rows = S.Dealt(_timed(spark, sf), ["user_id"], _ORDER).previous(was=lambda r: r["at"]).rows()
+    return rows.select("event_id", F.coalesce(F.col("at") - F.col("was") < 3600, F.lit(False)).alias("suppressed"))

@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qualitylens.operators.sequence import once_within, pieces
+from qualitylens.operators.sequence import Dealt, asof_join, once_within, pieces
 from qualitylens.plans.registry import query
-from qualitylens.session import table
-
-
-def _by_user():
-    return W.partitionBy("user_id").orderBy("ts", "event_id")
+from qualitylens.session import Scratch, table
 
 
 def machine(events: DataFrame, value: Column, start: int, entries: list[int], unit: int, step) -> DataFrame:
@@ -54,14 +50,32 @@ def q161(spark, sf):
     return s.select("user_id", F.round(state / 20.0, 4).alias("confidence"), (state >= 14).alias("confirmed"))
 
 
-@query("q162_prediction_check", """with n as (select user_id, event_type, first_value(case when event_type in ('purchase', 'error') then event_type end ignore nulls) over (partition by user_id order by ts, event_id rows between 1 following and 10 following) as outcome from events)
-select user_id, count(outcome) as checked, count(*) filter (outcome = 'purchase') as confirmed, case when count(outcome) >= 5 then round(count(*) filter (outcome = 'purchase') / cast(count(outcome) as double), 4) end as accuracy from n where event_type = 'view' group by 1""")
+#: Fixed value: events after which a prediction that nothing has met expires.
+_EXPIRY = 20
+
+
+@query("q162_prediction_check", f"""with e as (select *, row_number() over (partition by user_id order by ts, event_id) as pos, cast(json_extract_string(props, '$.k') as int) % 4 as sig from events),
+o as (select user_id, sig, pos, event_type from e where event_type in ('purchase', 'error')), l as (select user_id, max(pos) as last from o group by 1),
+p as (select p.user_id, p.pos, o.pos as met, o.event_type as outcome from e p asof left join o on p.user_id = o.user_id and p.sig = o.sig and p.pos < o.pos where p.event_type = 'view'),
+s as (select user_id, case when met - pos <= {_EXPIRY} then case outcome when 'purchase' then 'confirmed' else 'falsified' end when last - pos > {_EXPIRY} then 'expired' else 'pending' end as status from p left join l using (user_id))
+select user_id, count(*) filter (status = 'confirmed') as confirmed, count(*) filter (status = 'falsified') as falsified, count(*) filter (status = 'expired') as expired, count(*) filter (status = 'pending') as pending,
+  case when count(*) filter (status in ('confirmed', 'falsified')) >= 5 then round(count(*) filter (status = 'confirmed') / cast(count(*) filter (status in ('confirmed', 'falsified')) as double), 4) end as accuracy from s group by 1""")
 def q162(spark, sf):
-    """Each view predicts a purchase; the next outcome within ten events tells."""
-    outcome = F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type"))
-    n = table(spark, sf, "events").withColumn("outcome", F.first(outcome, ignorenulls=True).over(_by_user().rowsBetween(1, 10))).where("event_type = 'view'")
-    g = n.groupBy("user_id").agg(F.count("outcome").alias("checked"), F.count_if(F.col("outcome") == "purchase").alias("confirmed"))
-    return g.withColumn("accuracy", F.when(F.col("checked") >= 5, F.round(F.col("confirmed") / F.col("checked"), 4)))
+    """A view predicts that the next outcome of its signature is a purchase. The
+    next outcome of the same user and signature tells, if it comes within
+    ``_EXPIRY`` of the user's events; a later outcome of any kind finds the
+    prediction expired."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", (F.get_json_object("props", "$.k").cast("int") % 4).alias("sig"))
+    e = Scratch(spark).save(Dealt(e, ["user_id"], ["ts", "event_id"]).total(pos=lambda r: F.lit(1)).rows())
+    o = e.where(F.col("event_type").isin("purchase", "error")).select("user_id", "sig", "pos", "event_type")
+    p = asof_join(e.where("event_type = 'view'").select("user_id", "sig", "pos"), o, ["user_id", "sig"], "pos", "pos", name="met", forward=True, strict=True, tolerance=_EXPIRY)
+    p = p.join(o.groupBy("user_id").agg(F.max("pos").alias("last")), "user_id", "left")
+    told = F.when(F.col("met.event_type") == "purchase", "confirmed").when(F.col("met").isNotNull(), "falsified")
+    p = p.select("user_id", F.coalesce(told, F.when(F.col("last") - F.col("pos") > _EXPIRY, "expired"), F.lit("pending")).alias("status"))
+    kinds = ("confirmed", "falsified", "expired", "pending")
+    g = p.groupBy("user_id").agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds])
+    checked = F.col("confirmed") + F.col("falsified")
+    return g.withColumn("accuracy", F.when(checked >= 5, F.round(F.col("confirmed") / checked, 4)))
 
 
 # the state is one number: entries * 10000 + mode * 1000 + rows in a row
@@ -91,7 +105,8 @@ def q164(spark, sf):
 c as (select user_id, epoch_no, count(*) filter (event_type = 'error') as n from r group by all) select user_id, max(n) as worst, arg_max(n, epoch_no) as open_errors from c group by 1""")
 def q165(spark, sf):
     """Errors since the last success, now and at worst."""
-    r = table(spark, sf, "events").withColumn("epoch_no", F.count_if(F.col("event_type") == "purchase").over(_by_user()))
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    r = Dealt(e, ["user_id"], ["ts", "event_id"]).total(epoch_no=lambda r: (r["event_type"] == "purchase").cast("int")).rows()
     c = r.groupBy("user_id", "epoch_no").agg(F.count_if(F.col("event_type") == "error").alias("n"))
     return c.groupBy("user_id").agg(F.max("n").alias("worst"), F.max_by("n", "epoch_no").alias("open_errors"))
 
@@ -100,9 +115,10 @@ def q165(spark, sf):
 select user_id, session, count(*) as events from s group by all""")
 def q166(spark, sf):
     """Sessions that end after four hours without an event."""
-    s = F.col("ts").cast("timestamp").cast("double")
-    g = table(spark, sf, "events").withColumn("fresh", F.coalesce(s - F.lag(s).over(_by_user()) > 14400, F.lit(True)))
-    return g.withColumn("session", F.count_if("fresh").over(_by_user())).groupBy("user_id", "session").agg(F.count("*").alias("events"))
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    d = Dealt(e, ["user_id"], ["ts", "event_id"]).previous(was=lambda r: r["at"])
+    fresh = lambda r: F.coalesce(r["at"] - r["was"] > 14400, F.lit(True)).cast("int")
+    return d.total(session=fresh).rows().groupBy("user_id", "session").agg(F.count("*").alias("events"))
 
 
 @query("q167_compaction_gate", """with d as (select user_id, cast(cast(ts as date) as varchar) as day, count(*) as n, avg(value) as v from events group by all), x as (select *, v - lag(v) over (partition by user_id order by day) as delta from d) select user_id, day from x where n >= 3 and v > 60 and abs(delta) > 20""")
