@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qualitylens.functions import commands as C
 from qualitylens.functions.scalar import noisy_or
 from qualitylens.operators import graph as G
 from qualitylens.operators import relational as R
@@ -137,12 +138,22 @@ def q141(spark, sf):
     return r.where("rn <= 5").select("item_id", "doc_id", "cosine")
 
 
-@query("q143_error_signature", """with l as (select doc_id, regexp_replace(lower(left(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[-1], 200)), '\\s+', ' ', 'g') as sig from documents) select doc_id, substr(sha256(sig), 1, 16) as key from l where sig is not null""")
+#: What an error output adds after a document's text, by its id.
+_TAILS = "case doc_id % 6 when 0 then '' when 1 then '{n}========{n}exit code: 1{n}' when 2 then '{n}2026-02-22T10:30:00.123 FATAL: crash {n}  {n}' when 3 then '{n}[12:34] Error in /home/u/proj/src/é_module.py:  bad{n}--- ###{n}Exit_Status=2' when 4 then '{n}status 7{n}exit status of all' else '{n}Done at /tmp/a/b.c and /x/y' end"
+_BLANK = r"[\s\x1c-\x1f\x{0085}\p{Z}]+"
+
+
+@query("q143_error_signature", rf"""with e as (select doc_id, coalesce(text, '') || {_TAILS.replace("{n}", "' || chr(10) || '")} as err from documents),
+l as (select doc_id, list_filter(list_transform(string_split_regex(err, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{0085}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_BLANK}|{_BLANK}$', '', 'g')),
+  lambda x: not regexp_matches(x, '^[-=_*#]*$') and not regexp_matches(x, '{C.STATUS}'))[-1] as line from e),
+s as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(line, ''), '{C.PATH}', '\1', 'g'), '{C.TIME}', '', 'g'), '{C.MARK}', '', 'g')[1:200] as sig from l),
+k as (select doc_id, sig, trim(regexp_replace(lower(sig), '{_BLANK}', ' ', 'g')) as plain from s)
+select doc_id, length(sig) as n, case when plain = '' then '' else substr(sha256(plain), 1, 16) end as key from k""")
 def q143(spark, sf):
-    """Key of the last line that says something."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    sig = F.regexp_replace(F.lower(F.substring(F.try_element_at(lines, F.lit(-1)), 1, 200)), r"\s+", " ")
-    return table(spark, sf, "documents").select("doc_id", sig.alias("sig")).where("sig is not null").select("doc_id", F.substring(F.sha2("sig", 256), 1, 16).alias("key"))
+    """Key of the last line that says something, without folders and times."""
+    err = F.concat(F.coalesce("text", F.lit("")), F.expr(_TAILS.replace("{n}", r"\n")))
+    d = table(spark, sf, "documents").select("doc_id", C.error_signature(err).alias("sig"))
+    return d.select("doc_id", F.length("sig").cast("long").alias("n"), C.error_key(F.col("sig")).alias("key"))
 
 
 _TYPES = """c as (select lower(p_name || ' ' || p_type) as s, count(*) as n from part group by 1),
