@@ -72,19 +72,68 @@ def layers(edges: DataFrame) -> DataFrame:
         parts = _gathered([*parts, free], scratch)
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, root: the strongly connected component of every node of ``edges``,
+    named by its least node; a node on no cycle is its own.
+
+    Edges that cannot be on a cycle are trimmed: those from nodes that nothing
+    points to, and those to nodes that point nowhere. Then the least node that
+    reaches it colours each node, and what leads back to a colour's own node
+    within the colour is a component. Edges between colours, and those of the
+    components found, go, until none are left. One flag a round reaches the driver."""
+    scratch = Scratch(edges.sparkSession)
+    nodes = scratch.save(edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct())
+    left = scratch.save(edges.where("src <> dst").select("src", "dst").distinct())
+    parts: list[DataFrame] = []
+    while left.limit(1).count():
+        trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        trimmed = scratch.save(trimmed.select("src", "dst"))
+        scratch.drop(left)
+        colour = scratch.save(trimmed.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")).withColumn("new", F.lit(True)))
+        while colour.where("new").limit(1).count():
+            came = trimmed.join(colour.where("new").select(F.col("node").alias("src"), F.col("c").alias("least")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("least"))
+            after = colour.join(came, "node", "left").select("node", F.least("c", "least").alias("c"), F.coalesce(F.col("least") < F.col("c"), F.lit(False)).alias("new"))
+            after = scratch.save(after)
+            scratch.drop(colour)
+            colour = after
+        ends = lambda n: colour.select(F.col("node").alias(n), F.col("c").alias(f"c_{n}"))  # noqa: E731, B023
+        same = scratch.save(trimmed.join(ends("src"), "src").join(ends("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
+        back = reachable(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = c").select("node"))
+        found = scratch.save(back.select("node").join(colour.select("node", F.col("c").alias("root")), "node"))
+        parts = _gathered([*parts, found], scratch)
+        out = found.select("node")
+        left = scratch.save(same.join(out.withColumnRenamed("node", "src"), "src", "left_anti").join(out.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if not parts:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(_union(parts), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
-    """All simple cycles of up to ``longest`` nodes, as arrays from their
-    least node: a complete search by that many joins."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    paths = e.where("src < dst").select(F.array("src", "dst").alias("path"))
+    """All simple cycles of up to ``longest`` nodes, as arrays from their least
+    node.
+
+    Paths grow by a join a step, within strongly connected components only, from
+    the node of a cycle that has most edges and over nodes of fewer, so that no
+    path leads through a hub. The last step is a join on both its ends."""
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.save(edges.where("src <> dst").select("src", "dst").distinct())
+    c = scratch.save(strong_components(e))
+    end = lambda n: c.select(F.col("node").alias(n), F.col("root").alias(f"r_{n}"))
+    e = scratch.save(e.join(end("src"), "src").join(end("dst"), "dst").where("r_src = r_dst").select("src", "dst"))
+    degree = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    rank = lambda n, to: degree.select(F.col("node").alias(n), F.struct("n", "node").alias(to))
+    e = scratch.save(e.join(rank("src", "a"), "src").join(rank("dst", "b"), "dst"))
+    paths = e.where("a > b").select(F.array("src", "dst").alias("path"), F.col("a").alias("top"), F.col("dst").alias("last"), F.col("src").alias("first"))
+    closing = e.select(F.col("src").alias("last"), F.col("dst").alias("first"))
     out = None
     for n in range(2, longest + 1):
-        closing = paths.join(e, (F.element_at("path", -1) == F.col("src")) & (F.element_at("path", 1) == F.col("dst"))).select("path")
-        out = closing if out is None else out.union(closing)
+        closed = paths.join(closing, ["last", "first"]).select("path")
+        out = closed if out is None else out.union(closed)
         if n < longest:
-            step = paths.join(e, F.element_at("path", -1) == F.col("src")).where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
-            paths = step.select(F.concat("path", F.array("dst")).alias("path"))
-    return out
+            step = paths.join(e.select(F.col("src").alias("last"), F.col("dst").alias("next"), "b"), "last").where((F.col("b") < F.col("top")) & ~F.array_contains("path", F.col("next")))
+            paths = scratch.save(step.select(F.concat("path", F.array("next")).alias("path"), "top", F.col("next").alias("last"), "first"))
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    return out.select(F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at - 1)).alias("path"))
 
 
 def set_cover(kills: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qualitylens.session import Scratch
+
 #: Bins of a pass, and the values that are fetched once a bin has no more.
 BINS = 1024
 FEW = 4096
@@ -77,3 +80,43 @@ def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | No
     ranks = sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))})
     known = dict(zip(ranks, order_statistics(df, value, ranks), strict=True))
     return [known[int(p)] + (p - int(p)) * (known[min(int(p) + 1, n - 1)] - known[int(p)]) for p in places]
+
+
+def quantiles_by(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """``key``, q: per key the values at ``shares`` (0 to 1), as an array, between
+    two neighbours in proportion. Nulls and NaN are left out, keys without other
+    values give no row, null is a key.
+
+    Each round counts a key's values in ``BINS`` stretches of the interval that
+    holds a rank and goes on with the one stretch; at ``FEW`` values they are
+    sorted. A key never meets in one task but as counts. One flag a round
+    reaches the driver."""
+    scratch = Scratch(df.sparkSession)
+    rows = df.select(F.struct(F.col(f"`{key}`").alias("key")).alias("k"), F.col(f"`{value}`").cast("double").alias("v")).where(_inner(F.col("v")))
+    whole = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    place = lambda s: s * (F.col("n") - 1)
+    wanted = [F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), F.least(F.floor(place(s)) + up, F.col("n") - 1).alias("rank"), (place(s) - F.floor(place(s))).alias("part")) for i, s in enumerate(shares) for up in (0, 1)]
+    now = whole.select("k", "lo", "hi", "n", F.lit(0).cast("long").alias("before"), F.explode(F.array(*wanted)).alias("w")).select("k", "w.*", "lo", "hi", "n", "before")
+    found = []
+    while True:
+        now = scratch.save(now)
+        found.append(now.where(f"lo = hi or n <= {FEW}"))
+        large = now.where(f"lo < hi and n > {FEW}")
+        if not large.limit(1).count():
+            break
+        step = (F.col("hi") / 2 - F.col("lo") / 2) / BINS
+        b = F.when(step > 0, F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / step), F.lit(BINS - 1))).otherwise(F.when(F.col("v") == F.col("lo"), 0).otherwise(1))
+        inside = rows.join(large, "k").where("v between lo and hi").withColumn("bin", b)
+        bins = inside.groupBy("k", "i", "up", "rank", "part", "before", "bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+        earlier = W.partitionBy("k", "i", "up").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+        bins = bins.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        now = bins.where("rank >= before and rank < before + n").select("k", "i", "up", "rank", "part", "lo", "hi", "n", "before")
+    last = found[0]
+    for part in found[1:]:
+        last = last.unionByName(part)
+    same = last.where("lo = hi").select("k", "i", "up", "part", F.col("lo").alias("x"))
+    few = rows.join(last.where("lo < hi"), "k").where("v between lo and hi").groupBy("k", "i", "up", "part", "rank", "before")
+    few = few.agg(F.array_sort(F.collect_list("v")).alias("vs")).select("k", "i", "up", "part", F.get("vs", (F.col("rank") - F.col("before")).cast("int")).alias("x"))
+    each = same.union(few).groupBy("k", "i").agg(F.max("part").alias("part"), F.max(F.when(F.col("up") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("up") == 1, F.col("x"))).alias("b"))
+    q = F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("q")))), lambda x: x["q"])
+    return each.groupBy("k").agg(q.alias("q")).select(F.col("k.key").alias(key), "q")

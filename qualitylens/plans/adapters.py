@@ -59,6 +59,19 @@ PARTS = """g as (select distinct a.l_partkey as src, b.l_partkey as dst from lin
   on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber where a.l_partkey <> b.l_partkey)"""
 
 
+def first_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: the first and the second part of an order, distinct. Some six
+    edges a part at every size, with cycles of all lengths."""
+    li = table(spark, sf_dir, "lineitem")
+    a = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src"))
+    b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
+    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+
+
+FIRST = """g as (select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b
+  on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2 where a.l_partkey <> b.l_partkey)"""
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: what each region, nation, customer and order is made of, down
     to parts. Acyclic as it is; the edges grow with the tables."""

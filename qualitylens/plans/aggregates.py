@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qualitylens.functions.scalar import fingerprint, severity_rank
 from qualitylens.operators import relational as R
+from qualitylens.operators.selection import quantiles_by
 from qualitylens.plans.adapters import FINDINGS, KILLS, findings, kills
 from qualitylens.plans.registry import query
 from qualitylens.session import table
@@ -259,8 +260,8 @@ def q085(spark, sf):
   quantile_cont(o_totalprice, 0.9) >= 5 * median(o_totalprice) as skewed from orders group by 1""")
 def q086(spark, sf):
     """Median, linear 90th percentile and skew per priority."""
-    g = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.5).alias("m"), F.percentile("o_totalprice", 0.9).alias("p"))
-    return g.select("o_orderpriority", F.round("m", 2).alias("med"), F.round("p", 2).alias("p90"), (F.col("p") >= 5 * F.col("m")).alias("skewed"))
+    g = quantiles_by(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", [0.5, 0.9])
+    return g.select("o_orderpriority", F.col("q")[0].alias("m"), F.col("q")[1].alias("p")).select("o_orderpriority", F.round("m", 2).alias("med"), F.round("p", 2).alias("p90"), (F.col("p") >= 5 * F.col("m")).alias("skewed"))
 
 
 @query("q087_fan_in_out", """with g as (select distinct c_nationkey as src, s_nationkey as dst from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey)

@@ -9,9 +9,9 @@ from qualitylens.functions import commands as C
 from qualitylens.functions.scalar import noisy_or
 from qualitylens.operators import graph as G
 from qualitylens.operators import relational as R
-from qualitylens.plans.adapters import EDGES, FINDINGS, HIERARCHY, PARTS, edges, findings, hierarchy, kills, part_edges
+from qualitylens.plans.adapters import EDGES, FINDINGS, FIRST, HIERARCHY, PARTS, edges, findings, first_edges, hierarchy, kills, part_edges
 from qualitylens.plans.registry import query
-from qualitylens.session import table
+from qualitylens.session import Scratch, table
 
 
 @query("q129_components", """with recursive l as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length(line) >= 60),
@@ -29,12 +29,13 @@ def q129(spark, sf):
     return d.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component"))
 
 
-@query("q130_cycles", f"""with {PARTS} select a.src as a, a.dst as b, cast(null as bigint) as c from g a join g b on a.dst = b.src and b.dst = a.src where a.src < a.dst
-union all select a.src, a.dst, b.dst from g a join g b on a.dst = b.src join g c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.src < b.dst and b.dst <> a.dst""")
+@query("q130_cycles", f"""with recursive {FIRST}, p as (select src as first, dst as last, [src, dst] as path from g where src < dst
+union all select first, dst, list_append(path, dst) from p join g on src = last where dst > first and not list_contains(path, dst) and len(path) < 5)
+select len(path) as nodes, array_to_string(path, '-') as path from p join g on src = last and dst = first""")
 def q130(spark, sf):
-    """All cycles of two and three nodes."""
-    c = G.cycles(part_edges(spark, sf), 3)
-    return c.select(F.col("path")[0].alias("a"), F.col("path")[1].alias("b"), F.get("path", 2).alias("c"))
+    """All simple cycles of up to five nodes, each from its least node."""
+    c = G.cycles(first_edges(spark, sf), 5)
+    return c.select(F.size("path").cast("long").alias("nodes"), F.array_join("path", "-").alias("path"))
 
 
 @query("q131_direct_imports", f"with {EDGES} select src, count(*) as imports, count(*) filter (n_regionkey = 0) as outside from g join nation on dst = n_nationkey group by src")
@@ -79,8 +80,6 @@ def q135(spark, sf):
 @query("q137_closure", f"""with recursive {HIERARCHY}, c as (select src, dst from g union select c.src, g.dst from c join g on c.dst = g.src) select src, dst from c""")
 def q137(spark, sf):
     """Transitive closure, by doubling paths until nothing is new."""
-    from qualitylens.session import Scratch
-
     scratch = Scratch(spark)
     closed = scratch.save(hierarchy(spark, sf))
     n = closed.count()
@@ -108,6 +107,8 @@ def q140(spark, sf):
     return d.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("source").alias("files")).where("n >= 3 and files >= 2")
 
 
+#: Fixed value: the least cosine of a match.
+_CUT = 0.15
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))"
 
 
@@ -118,22 +119,36 @@ wn as (select doc_id, sqrt(sum(w * w)) as s from w group by 1), qn as (select it
 c as (select item_id, doc_id, sum(q.w * w.w) as dot from q join w using (t) group by all), z as (select item_id, doc_id, round(dot / (qn.s * wn.s), 4) as cosine from c join qn using (item_id) join wn using (doc_id)),
 r as (select *, row_number() over (partition by item_id order by cosine desc, doc_id) as rn from z where cosine >= 0.15) select item_id, doc_id, cosine from r where rn <= 5""")
 def q141(spark, sf):
-    """The most similar texts of each query, by an equality join on shared terms."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), 0))
-    b = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("ws"))
-    d = table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("ws"))
-    terms = d.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("t"))
-    df = terms.groupBy("t").agg(F.count("*").alias("df"))
-    m = d.agg(F.count("*").alias("m"))
-    idf = lambda x: F.log((F.col("m") + 1.0) / (x + 1)) + 1
-    # only the terms of the queries meet; the norms need all terms
-    queries = b.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("t")).join(df, "t", "left").crossJoin(F.broadcast(m))
-    q = queries.select("item_id", "t", (idf(F.coalesce("df", F.lit(0))) / F.col("n")).alias("qw"))
-    w = terms.join(df, "t").crossJoin(F.broadcast(m)).select("doc_id", "t", (idf(F.col("df")) / F.col("n")).alias("w"))
-    wn = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s"))
-    qn = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qs"))
-    z = q.join(w, "t").groupBy("item_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot")).join(qn, "item_id").join(wn, "doc_id")
-    z = z.select("item_id", "doc_id", F.round(F.col("dot") / (F.col("qs") * F.col("s")), 4).alias("cosine")).where("cosine >= 0.15")
+    """The most similar texts of each query, at a cosine of ``_CUT`` or more.
+
+    A vector's scale cancels, so a weight is a term's rarity alone. A query's
+    terms go from the rarest on, and those whose remaining weights, all taken
+    together, cannot reach the cut do not join (a text's share of them is at most
+    their norm). Texts that meet a query are dropped if even the bound, with a
+    norm of at least the root of their number of terms, is below the cut; the
+    others are weighed whole. Each table is read once."""
+    scratch = Scratch(spark)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("ws")
+    d = scratch.save(table(spark, sf, "documents").select("doc_id", words))
+    m = d.count()
+    rarity = F.log((m + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    df = scratch.save(d.select(F.explode("ws").alias("t")).groupBy("t").agg(F.count("*").alias("df")))
+    q = table(spark, sf, "benchmark").select("item_id", words).select("item_id", F.explode("ws").alias("t")).join(df, "t", "left").select("item_id", "t", rarity.alias("x"))
+    rest = W.partitionBy("item_id").orderBy("x", "t")
+    q = q.withColumn("rest", F.sqrt(F.sum(F.col("x") * F.col("x")).over(rest))).withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("item_id"))))
+    q = scratch.save(q)
+    # rest: the norm of this term and all more frequent ones
+    probes = q.where(F.col("rest") >= F.col("norm") * _CUT).select("item_id", "t", "x")
+    left = q.groupBy("item_id").agg(F.max("norm").alias("norm"), F.coalesce(F.max(F.when(F.col("rest") < F.col("norm") * _CUT, F.col("rest"))), F.lit(0.0)).alias("left"))
+    met = d.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("t")).join(probes, "t").groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("part"))
+    met = met.join(left, "item_id").where(F.col("part") / F.sqrt("n") + F.col("left") >= F.col("norm") * (_CUT - 1e-6))
+    met = scratch.save(met.select("item_id", "doc_id", "norm"))
+    some = d.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("ws").alias("t")).join(df, "t").select("doc_id", "t", rarity.alias("x"))
+    some = scratch.save(some)
+    norms = some.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
+    dots = some.select("doc_id", "t").join(q.select("item_id", "t", "x"), "t").groupBy("item_id", "doc_id").agg(F.sum(F.col("x") * F.col("x")).alias("dot"))
+    z = dots.join(met, ["item_id", "doc_id"]).join(norms, "doc_id")
+    z = z.select("item_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("s")), 4).alias("cosine")).where(F.col("cosine") >= _CUT)
     r = z.withColumn("rn", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id")))
     return r.where("rn <= 5").select("item_id", "doc_id", "cosine")
 

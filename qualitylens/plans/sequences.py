@@ -105,9 +105,9 @@ def q103(spark, sf):
 select user_id, count(*) filter (event_type = 'view') as views, count(*) filter (event_type = 'click') as clicks, round(median(gap) filter (rn <= 10), 3) as median_gap, count(distinct event_type) as kinds from r where rn <= 20 group by 1""")
 def q104(spark, sf):
     """Shares and gaps over the last twenty rows of a user."""
-    w = W.partitionBy("user_id").orderBy(*_ORDER)
-    gap = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(w)
-    r = table(spark, sf, "events").withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(*[F.desc(c) for c in _ORDER]))).withColumn("gap", gap).where("rn <= 20")
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    r = S.Dealt(e, ["user_id"], _ORDER).previous(was=lambda r: r["at"]).rows().withColumn("gap", F.col("at") - F.col("was"))
+    r = r.withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(*[F.desc(c) for c in _ORDER]))).where("rn <= 20")  # tasks keep twenty a user before they meet
     is_ = lambda t: F.count_if(F.col("event_type") == t)
     return r.groupBy("user_id").agg(is_("view").alias("views"), is_("click").alias("clicks"), F.round(F.percentile(F.when(F.col("rn") <= 10, F.col("gap")), 0.5), 3).alias("median_gap"), F.countDistinct("event_type").alias("kinds"))
 

@@ -80,3 +80,42 @@ def test_folds_in_stretches_and_large_groups(spark):
     assert {x.n: x["count"] for x in got} == {2: 600 * 599 // 2 - 1, 3: 1}
     late = spark.createDataFrame([("a", 0.0, 1), ("a", 50.0, 2), ("a", 90.0, 3), ("a", 120.0, 4), ("a", 191.0, 5), ("b", 60.0, 6), (None, 1.0, 7)], "k string, at double, id int")
     assert sorted(x.id for x in S.once_within(late, ["k"], "at", "id", 100).collect()) == [1, 4, 6, 7]
+
+
+def test_components_and_cycles_to_five(spark):
+    import itertools
+    import random
+
+    r = random.Random(8)
+    # a ring of five, one of six, a hub that much leads to and from, random edges, chains
+    e = [(k, (k + 1) % 5) for k in range(5)] + [(10 + k, 10 + (k + 1) % 6) for k in range(6)] + [(20 + k, 50) for k in range(25)] + [(50, 60 + k) for k in range(25)] + [(60, 20), (61, 21), (4, 10), (85, 86), (86, 87), (87, 88)]
+    e += [(r.randrange(100, 125), r.randrange(100, 125)) for _ in range(45)] + [(7, 7)]
+    df = spark.createDataFrame(e, "src long, dst long")
+    ahead = {}
+    for a, b in e:
+        ahead.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in ahead.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    nodes = {x for pair in e for x in pair}
+    to = {n: reach(n) for n in nodes}
+    assert {x.node: x.root for x in G.strong_components(df).collect()} == {n: min(m for m in to[n] if n in to[m]) for n in nodes}
+
+    def walks(path):
+        for b in ahead.get(path[-1], ()):
+            if b == path[0] and len(path) > 1:
+                yield path
+            elif b > path[0] and b not in path and len(path) < 5:
+                yield from walks([*path, b])
+
+    want = sorted(itertools.chain.from_iterable(walks([n]) for n in nodes))
+    assert [0, 1, 2, 3, 4] in want and not any(n in p for p in want for n in range(10, 16))
+    assert sorted(x.path for x in G.cycles(df, 5).collect()) == want
+    assert G.cycles(df.where("false"), 3).count() == 0
