@@ -9,6 +9,7 @@ from qualitylens.functions import commands as C
 from qualitylens.functions.scalar import noisy_or
 from qualitylens.operators import graph as G
 from qualitylens.operators import relational as R
+from qualitylens.operators.patterns import pattern_hits
 from qualitylens.plans.adapters import EDGES, FINDINGS, FIRST, HIERARCHY, PARTS, edges, findings, first_edges, hierarchy, kills, part_edges
 from qualitylens.plans.registry import query
 from qualitylens.session import Scratch, table
@@ -98,13 +99,22 @@ def q139(spark, sf):
     return table(spark, sf, "part").groupBy(F.regexp_extract("p_type", "^[^ ]+", 0).alias("prefix")).agg(F.count("*").alias("files"), F.countDistinct("p_brand").alias("brands")).where("files >= 3")
 
 
-@query("q140_pattern_mining", """with c as (select 'license' as pattern, doc_id, source from documents where contains(text, 'icense') union all select 'pipes', doc_id, source from documents where contains(text, ' | ') union all select 'shout', doc_id, source from documents where contains(text, '!! '))
-select pattern, count(*) as n, count(distinct source) as files from c group by 1 having count(*) >= 3 and count(distinct source) >= 2""")
+@query("q140_pattern_mining", """with c as (select item_id as pattern, unnest(list_distinct(list_filter(string_split(text, ' ')[1:6], lambda x: length(x) >= 4))) as call from benchmark),
+s as (select item_id as pattern, unnest(list_distinct(list_filter(string_split(text, ' ')[7:12], lambda x: length(x) >= 3))) as structure from benchmark),
+nc as (select doc_id, pattern, count(*) as calls from documents join c on contains(text, call) group by all), ns as (select distinct doc_id, pattern from documents join s on contains(text, structure))
+select pattern, count(*) as n, count(distinct source) as files from nc join ns using (doc_id, pattern) join documents using (doc_id) where calls >= 2 group by 1 having count(*) >= 3 and count(distinct source) >= 2""")
 def q140(spark, sf):
-    """Patterns of a catalogue found often enough in files enough, in one scan."""
-    hits = F.array_compact(F.array(*[F.when(F.col("text").contains(s), F.lit(n)) for n, s in (("license", "icense"), ("pipes", " | "), ("shout", "!! "))]))
-    d = table(spark, sf, "documents").select("doc_id", "source", F.explode(hits).alias("pattern"))
-    return d.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("source").alias("files")).where("n >= 3 and files >= 2")
+    """Patterns of a catalogue found often enough in files enough: a text has a
+    pattern with two of its required calls and any of its structures. All
+    patterns are looked for in one pass over the texts."""
+    b = table(spark, sf, "benchmark")
+    some = lambda at, n, role: b.select(F.col("item_id").alias("pattern"), F.lit(role).alias("role"), F.explode(F.array_distinct(F.filter(F.slice(F.split("text", " "), at, 6), lambda x: F.length(x) >= n))).alias("literal"))
+    catalogue = some(1, 4, "call").union(some(7, 3, "structure"))
+    hits = pattern_hits(table(spark, sf, "documents").select("doc_id", "source", "text"), "text", catalogue, "literal")
+    found = hits.select("doc_id", "source", F.explode("hits.pattern").alias("literal")).join(catalogue, "literal")
+    role = lambda r: F.count_if(F.col("role") == r)
+    have = found.groupBy("doc_id", "source", "pattern").agg(role("call").alias("calls"), role("structure").alias("structures")).where("calls >= 2 and structures >= 1")
+    return have.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("source").alias("files")).where("n >= 3 and files >= 2")
 
 
 #: Fixed value: the least cosine of a match.

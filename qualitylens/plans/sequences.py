@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qualitylens.functions.scalar import clamp, linear_decay
 from qualitylens.operators import relational as R
 from qualitylens.operators import sequence as S
+from qualitylens.operators.patterns import first_rule, pattern_hits
 from qualitylens.operators.selection import quantiles
 from qualitylens.plans.adapters import FINDINGS, findings
 from qualitylens.plans.registry import query
@@ -206,12 +207,14 @@ def q120(spark, sf):
     return d.withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("lang", "doc_id")
 
 
-@query("q121_keyword_retrieval", """select doc_id, score from (select doc_id, (contains(lower(text), 'license'))::int + (contains(lower(text), 'idiot'))::int + (contains(lower(text), 'nation'))::int as score from documents) where score > 0 order by score desc, doc_id limit 20""")
+@query("q121_keyword_retrieval", """with k as (select distinct w from (select unnest(string_split(text, ' ')[2:4]) as w from benchmark) where length(w) >= 5),
+h as (select doc_id, count(*) as score from documents join k on contains(text, w) group by 1) select doc_id, score from h order by score desc, doc_id limit 20""")
 def q121(spark, sf):
-    """The texts with most of the keywords."""
-    low = F.lower("text")
-    score = sum((low.contains(k).cast("int") for k in ("license", "idiot", "nation")), F.lit(0))
-    return table(spark, sf, "documents").select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
+    """The texts with most of the keywords, of a table of any number of them."""
+    words = F.slice(F.split("text", " "), 2, 3)
+    k = table(spark, sf, "benchmark").select(F.explode(words).alias("w")).where("length(w) >= 5").distinct()
+    hits = pattern_hits(table(spark, sf, "documents").select("doc_id", "text"), "text", k, "w")
+    return hits.select("doc_id", F.size("hits").cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query("q153_linear_decay", "select event_id, round(0.6 * greatest(0.0, 1 - event_id / 50.0), 4) as alpha from events")
@@ -249,10 +252,29 @@ def q157(spark, sf):
     return g.select("event_type", "failures", backoff(F.lit(30.0), F.expr("failures div 100")).alias("wait"))
 
 
-@query("q158_waiver_expiry", """select o_orderkey, case when o_orderdate + interval 365 day < timestamp '1998-01-01' then 'expired' when o_orderpriority like '1%' then 'waived' else 'open' end as state from orders""")
+#: Fixed value: the day on which waivers are judged.
+_TODAY = "1998-01-01"
+_WAIVERS = """select s_suppkey as id, case s_suppkey % 6 when 0 then 'F/1-URGENT::' || s_suppkey when 1 then 'F/1*::*' || s_suppkey when 2 then 'O/?-H*::' || s_suppkey || '*' when 3 then '*::' || s_suppkey || '?' when 4 then 'P/[!12]*::*' || s_suppkey else 'O/*' || s_suppkey end as symbol,
+  case when s_suppkey % 11 = 0 then '' else s_name end as reason, case when s_suppkey % 5 = 0 then null when s_suppkey % 7 = 0 then 'soon' when s_suppkey % 3 = 0 then '1997-06-30' else '1999-12-31' end as expires from supplier"""
+
+
+@query("q158_waiver_expiry", f"""with w as (select * from ({_WAIVERS}) where symbol <> '' and reason <> ''), d as (select *, try_cast(expires as date) as day from w),
+l as (select * from d where expires is null or day >= date '{_TODAY}'), o as (select o_orderkey, o_orderstatus || '/' || o_orderpriority || '::' || o_orderkey as symbol from orders),
+x as (select symbol, max(id) as id from l where not contains(symbol, '*') group by 1), g as (select o.o_orderkey, min(l.id) as id from o join l on contains(l.symbol, '*') and o.symbol glob l.symbol group by 1),
+m as (select o.o_orderkey, coalesce(x.id, g.id) as waiver from o left join x on x.symbol = o.symbol left join g on g.o_orderkey = o.o_orderkey)
+select o_orderkey, waiver, case when waiver is null then 'open' else 'waived' end as state from m union all select null, id, 'expired' from d where day < date '{_TODAY}'""")
 def q158(spark, sf):
-    s = F.when(F.expr("o_orderdate + interval 365 days < timestamp_ntz'1998-01-01 00:00:00'"), "expired").when(F.col("o_orderpriority").startswith("1"), "waived").otherwise("open")
-    return table(spark, sf, "orders").select("o_orderkey", s.alias("state"))
+    """What waivers remove: whole names first, then patterns in order; expired
+    waivers are listed, those with a date that does not parse, or without a
+    symbol or a reason, do not count."""
+    table(spark, sf, "supplier").createOrReplaceTempView("supplier")
+    w = spark.sql(_WAIVERS).where("symbol <> '' and reason <> ''").withColumn("day", F.try_to_date("expires", "yyyy-MM-dd"))
+    live = w.where(F.col("expires").isNull() | (F.col("day") >= F.lit(_TODAY).cast("date"))).select("id", "symbol")
+    symbol = F.concat("o_orderstatus", F.lit("/"), "o_orderpriority", F.lit("::"), F.col("o_orderkey").cast("string"))
+    m = first_rule(table(spark, sf, "orders").select("o_orderkey", symbol.alias("symbol")), live, "symbol", "symbol", "id")
+    m = m.select("o_orderkey", F.col("rule.id").alias("waiver"), F.when(F.col("rule").isNull(), "open").otherwise("waived").alias("state"))
+    expired = w.where(F.col("day") < F.lit(_TODAY).cast("date"))
+    return m.union(expired.select(F.lit(None).cast("long"), "id", F.lit("expired")))
 
 
 @query("q159_debounce", "select event_id, coalesce(epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) < 3600, false) as suppressed from events")
