@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qualitylens.functions.scalar import noisy_or
+from qualitylens.functions.versions import satisfies
 from qualitylens.plans.registry import query
 from qualitylens.session import shared_dir, table
 from qualitylens.sources import files as S
@@ -145,36 +145,19 @@ def q146(spark, sf):
     return m.select("item_id", F.round(net / F.col("total"), 4).alias("coherence"), F.when(net != 0, net > 0).alias("aligned"))
 
 
-def satisfies(version: Column, specifier: str) -> Column:
-    """Whether a release version (numbers and dots) is within a specifier such
-    as ``>=1.2,<2``, with ==, !=, <=, >=, <, >, ~= and a trailing ``.*``. What
-    does not parse is not satisfied."""
-    import re
-
-    release = F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))
-    padded = F.slice(F.concat(release, F.array_repeat(F.lit(0), 8)), 1, 8)
-    ok = version.rlike(r"^[0-9]+(\.[0-9]+)*$")
-    for part in specifier.split(","):
-        m = re.fullmatch(r"\s*(==|!=|<=|>=|<|>|~=)\s*([0-9]+(?:\.[0-9]+)*)(\.\*)?\s*", part)
-        if not m or (m[3] and m[1] not in ("==", "!=")):
-            return F.lit(False)
-        numbers = [int(x) for x in m[2].split(".")]
-        bound = F.array(*[F.lit(x) for x in [*numbers, *[0] * 8][:8]])
-        prefix = lambda n: F.slice(padded, 1, len(n)) == F.array(*[F.lit(x) for x in n])
-        if m[3]:
-            ok &= prefix(numbers) if m[1] == "==" else ~prefix(numbers)
-        elif m[1] == "~=":
-            ok &= (padded >= bound) & prefix(numbers[:-1]) if len(numbers) > 1 else F.lit(False)
-        else:
-            ok &= {"==": padded == bound, "!=": padded != bound, "<=": padded <= bound, ">=": padded >= bound, "<": padded < bound, ">": padded > bound}[m[1]]
-    return F.coalesce(ok, F.lit(False))
-
-
-@query("q152_version_satisfaction", """select p_partkey, p_size > 10 or (p_size = 10 and p_partkey % 10 >= 2) as least, p_size = 20 and p_partkey % 10 >= 1 as compatible, p_size = 5 as wild, false as odd from part""")
+_KINDS = "case p_partkey % 5 when 0 then '' when 1 then 'rc1' when 2 then '.post1' when 3 then '.dev2' else '+local' end"
+
+
+@query("q152_version_satisfaction", """select p_partkey, k not in (1, 3) and (s > 10 or (s = 10 and m >= 2)) as least, k not in (1, 3) and s = 20 and m >= 1 as compatible, k not in (1, 3) and s = 5 as wild, false as odd,
+  s < 30 and not (k in (1, 3) and s = 30) as early, k not in (1, 3) as any_release, k = 2 and s = 7 and m = 3 as exact, k not in (1, 3) and s = 40 and (m > 2 or (m = 2 and false)) or k not in (1, 3) and s > 40 as above
+from (select p_partkey, p_size as s, p_partkey % 10 as m, p_partkey % 5 as k from part)""")
 def q152(spark, sf):
-    v = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.lit(".0"))
-    names = {"least": ">=10.2", "compatible": "~=20.1", "wild": "==5.*", "odd": ">=new"}
-    return table(spark, sf, "part").select("p_partkey", *[satisfies(v, s).alias(n) for n, s in names.items()])
+    """Versions of every kind (final, candidate, post, development, local)
+    against specifiers; ``early`` takes pre-releases too."""
+    v = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.lit(".0"), F.expr(_KINDS))
+    names = {"least": ">=10.2", "compatible": "~=20.1", "wild": "==5.*", "odd": ">=new", "any_release": "", "exact": "===7.3.0.post1", "above": ">40.2"}
+    p = table(spark, sf, "part").select("p_partkey", v.alias("v"))
+    return p.select("p_partkey", *[satisfies(F.col("v"), s).alias(n) for n, s in names.items()], satisfies(F.col("v"), "<30", True).alias("early"))
 
 
 _LENSES = """select p_partkey as target, 'purity' as lens, 0.8::double as confidence, 'support' as signal from part where p_size <= 20

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +50,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/qualitylens-{uuid.uuid4().hex}"
-        self._made: dict[int, str] = {}
+        self._made: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+        self._count = 0
 
     def _path(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -57,7 +59,8 @@ class Scratch:
 
     def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """Write ``df`` and return a DataFrame reading it back."""
-        path = f"{self.root}/{len(self._made)}-{uuid.uuid4().hex[:8]}"
+        self._count += 1
+        path = f"{self.root}/{self._count}-{uuid.uuid4().hex[:8]}"
         writer = df.write.mode("overwrite")
         if by:
             writer = writer.partitionBy(by)
@@ -65,12 +68,12 @@ class Scratch:
         at = self._path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._made[id(out)] = path
+        self._made[out] = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by ``save`` that nothing will read again."""
-        path = self._made.get(id(df))
+        path = self._made.pop(df, None)
         if path:
             at = self._path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -113,3 +113,13 @@ def test_names_that_clash(spark):
     paths = spark.createDataFrame([("a/b", 7)], "path string, v int")
     rules = spark.createDataFrame([("a", 1), ("a", 2)], "prefix string, v int")
     assert [tuple(x) for x in R.longest_prefix(paths, rules, "path", "prefix", "v").collect()] == [("a/b", 2)]
+
+
+def test_interval_join_over_bins(spark):
+    r = random.Random(9)
+    points = [(r.choice([1, 1, 1, 2, None]), None if i % 60 == 0 else r.uniform(-50, 50), i) for i in range(400)]
+    spans = [(r.choice([1, 1, 2, None]), float(a := r.randrange(-50, 50)), a + r.choice([0.0, 1.0, 3.0, -1.0, 40.0]), i) for i in range(90)]
+    p, s = spark.createDataFrame(points, "k int, x double, i int"), spark.createDataFrame(spans, "k int, bin double, b double, j int")
+    got = Counter((x.i, x.j) for x in R.interval_join(p, s, "k", "x", "bin", "b").collect())
+    assert got == Counter((i, j) for k, x, i in points for m, a, b, j in spans if k is not None and k == m and x is not None and a <= x <= b)
+    assert R.interval_join(p, s.where("false"), "k", "x", "bin", "b").count() == 0
