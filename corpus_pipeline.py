@@ -23,7 +23,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Lines whose template recurs in other documents go, but for the first;
     documents that lose all their words go whole. n_chars follows the text."""
     names = docs.columns
-    rows = line_dedup.drop_lines(docs).where(~((F.col("n_dropped") > 0) & (F.btrim("text", F.lit(SPACE_CHARS)) == "")))
+    longest = max(names, key=len)  # two names that no column has
+    counts = (f"{longest}_lines", f"{longest}_dropped")
+    rows = line_dedup.drop_lines(docs, counts=counts).where(~((F.col(f"`{counts[1]}`") > 0) & (F.btrim("text", F.lit(SPACE_CHARS)) == "")))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{n}`") for n in names])

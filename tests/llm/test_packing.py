@@ -114,3 +114,14 @@ def test_no_crumbs_at_the_end_of_a_stream(spark):
         assert got == want and total == n + 1
         lengths = [sum(r.length for r in rows if r.sequence_id == s) for s in sorted({r.sequence_id for r in rows})]
         assert all(k >= packing.LEAST for k in lengths[:-1]) and pad <= 256
+
+
+def test_other_tokenizers_are_refused():
+    import pytest
+
+    from qualitylens.llm.packing import WordIds, default_tokenizer
+
+    path = default_tokenizer()
+    assert WordIds.of(path) is WordIds.of(path)
+    with pytest.raises(ValueError):
+        WordIds.of(path.replace("word_bpe_49k", "byte_bpe_50k"))

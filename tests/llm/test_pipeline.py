@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from qualitylens.llm import mixing, packing, quality
 
@@ -48,3 +50,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {i: ids[i] // n[i] for i in ids.index} == dict(Counter(mixed.doc_id))
     assert packed.groupby("sequence_id").length.sum().max() <= packing.SEQ_LEN
     assert P.run(spark, SF).count() > 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    text = " ".join(f"word{k} goes on in its own way" for k in range(40))
+    rows = [(k, f"{text} {k}\nshared line of more than eight words in all documents here\nown {k}", "en", "s", 1, 7, 7, "c") for k in range(6)]
+    rows += [(None, None, None, None, None, 7, 7, None), (2, None, "en", None, 0, 7, 7, None), (9, "", "en", "s", 0, 7, 7, "c"), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_dropped int, copies string")
+    docs = docs.withColumn("fp", F.col("doc_id")).withColumn("size", F.lit(5))
+    for table in (docs, docs.where("false")):
+        for name, stage in P.STAGES[1:]:
+            out = stage(spark, table, SF)
+            if name == "packing":
+                assert out.select("length").count() >= table.count()
+            else:
+                assert out.columns == docs.columns
+                assert {(r.n_lines, r.n_dropped, r["size"]) for r in out.collect()} <= {(7, 7, 5)}
+                table = out
