@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qualitylens.functions import commands as C
 from qualitylens.functions.scalar import noisy_or
 from qualitylens.functions.versions import satisfies
 from qualitylens.plans.registry import query
@@ -93,26 +94,23 @@ def q058(spark, sf):
     return j.select("page_id", target.alias("target"), via.alias("via"))
 
 
-#: Commands that only start others.
-_WRAPPERS = r"^(?:(?:uv[ ]+run|python3?[ ]+-m|sudo|nohup|time|nice|env(?:[ ]+[^ =]*=[^ ]*)*)[ ]+)*"
-_COMMAND = """case event_type when 'click' then 'uv run python -m pytest tests/test_' || user_id || '.py -v' when 'view' then 'git status' when 'error' then 'sudo /usr/bin/make -j 8 build.all'
-  when 'purchase' then 'env A=1 B=2 git commit -m x' else '' end"""
+#: A command line of each event, of all the forms that its signature must see through.
+_COMMAND = """case event_id % 17 when 0 then 'uv run python -m pytest tests/test_' || user_id || '.py -v' when 1 then 'git ' || event_type || ' -- src/' || user_id when 2 then 'sudo /usr/bin/make -j build.' || event_type
+  when 3 then 'env A=1 B=' || user_id || ' nohup git commit -m "fix ' || event_type || ' now"' when 4 then 'cat /usr/local/lib/m' || event_id || '.py' when 5 then 'curl token_' || (100000000 + event_id) || ' out.' || event_type
+  when 6 then '"my tool" ' || event_type || '.tar.gz' when 7 then 'sudo env' when 8 then 'echo "unclosed ' || event_type when 9 then props when 10 then '  git' || chr(9) || 'log --oneline ' when 11 then '' when 12 then 'ls .hidden ' || event_type
+  when 13 then '/usr/bin/env python3 -m mod_' || user_id when 14 then 'time nice python -m json.tool /a/b/c/' || event_id || '.json' when 15 then 'deploy ' || md5(event_type) || ' prod' || chr(39) || ' to' || chr(39) else event_type || ' /x/' || user_id || '.d/Key_' || event_id || 'abcdefgh' end"""
 
 
-def command_signature(command: Column) -> Column:
-    """binary:argument of a command, without wrappers, flags and paths."""
-    plain = F.regexp_replace(F.trim(command), _WRAPPERS, "")
-    binary = F.substring(F.regexp_extract(plain, "^(?:[^ ]*/)?([^ /]*)", 1), 1, 30)
-    arguments = F.filter(F.split(F.regexp_replace(plain, "^[^ ]*[ ]*", ""), "[ ]+"), lambda x: (x != "") & ~x.startswith("-"))
-    first = F.regexp_replace(F.regexp_extract(F.get(arguments, F.lit(0)), "^/?(?:[^/]*/)*?([^/]+)(?=/|$)", 1), r"[.][^.]*$", "")
-    return F.when(plain == "", "unknown:unknown").otherwise(F.concat_ws(":", binary, F.when(first != "", F.substring(first, 1, 30)).otherwise("default")))
-
-
-@query("q142_command_signature", f"""with c as (select event_id, {_COMMAND} as cmd from events)
-select event_id, case when cmd = '' then 'unknown:unknown' when cmd like 'uv run%' then 'pytest:tests' when cmd = 'git status' then 'git:status' when cmd like 'sudo%' then 'make:8' else 'git:commit' end as sig from c""")
+@query("q142_command_signature", rf"""with c as (select event_id, {_COMMAND} as cmd from events),
+w as (select event_id, case when regexp_full_match(cmd, '(?s)(?:[^"'']|"[^"]*"|''[^'']*'')*') then list_transform(regexp_extract_all(cmd, '(?:[^\s"'']|"[^"]*"|''[^'']*'')+'), lambda x: regexp_replace(x, '["'']', '', 'g')) else regexp_extract_all(cmd, '\S+') end as ws from c),
+p as (select event_id, regexp_replace(list_reduce(list_prepend('', ws), lambda a, x: a || x || chr(1)), '^(?:uv\x01run\x01|python3?\x01-m\x01|env\x01(?:[^\x01]*=[^\x01]*\x01)*|(?:sudo|nohup|time|nice)\x01)*', '') as rest from w),
+a as (select event_id, rest, string_split(rest, chr(1)) as ws from p),
+s as (select event_id, rest, regexp_extract(ws[1], '[^/]*$')[1:30] as bin, list_filter(list_transform(list_filter(ws[2:], lambda x: not starts_with(x, '-') and not regexp_matches(x, '(?i){C.SECRET}')),
+  lambda x: regexp_replace(regexp_replace(x, '{C.PATH}', '\1', 'g'), '[.][^.]*$', '')), lambda x: x <> '') as stems from a)
+select event_id, case when rest = '' then 'unknown:unknown' else bin || ':' || coalesce(stems[1], 'default')[1:30] end as sig from s""")
 def q142(spark, sf):
     """What a command runs, whatever starts it."""
-    return table(spark, sf, "events").select("event_id", command_signature(F.expr(_COMMAND)).alias("sig"))
+    return table(spark, sf, "events").select("event_id", C.command_signature(F.expr(_COMMAND)).alias("sig"))
 
 
 #: Words that endorse and that forbid.
