@@ -52,6 +52,31 @@ def first_rule(rows: DataFrame, rules: DataFrame, name: str, pattern: str, order
     out = packed.join(exact, "name", "left").join(found, "name", "left")
     return out.select(F.col("row").withField(match, F.coalesce("whole", "glob")).alias("row")).select("row.*")
 
+def exempted(rows: DataFrame, rules: DataFrame, linter: str, kind: str, file: str, aliases: dict[str, tuple[str, ...]], name: str = "exempt") -> DataFrame:
+    """``rows`` with ``name``: whether an exemption covers each row.
+
+    ``rules``: section, file, codes (array). The sections of a row are its
+    linter, the linter's aliases and its kind, in that order; the first one that
+    knows the file, by its base name before its whole path, decides: all kinds
+    are exempt if it states no codes, else those it states. Entries that repeat
+    count together. Rows without a file are not exempt; null names match nothing.
+
+    Each distinct (linter, kind, file) is decided once, by equality joins."""
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{linter}`").alias("linter"), F.col(f"`{kind}`").alias("kind"), F.col(f"`{file}`").alias("file"))
+    also = F.array().cast("array<string>")
+    for key, names in aliases.items():
+        also = F.when(F.col("linter") == key, F.array(*[F.lit(n) for n in names])).otherwise(also)
+    sections = F.array_distinct(F.array_compact(F.concat(F.array("linter"), also, F.array("kind"))))
+    asked = packed.select("linter", "kind", "file").where("file <> ''").distinct()
+    asked = asked.select("*", F.posexplode(sections).alias("at", "section"))
+    asked = asked.select("*", F.posexplode(F.array(F.substring_index("file", "/", -1), F.col("file"))).alias("by", "named"))
+    known = rules.select("section", F.col("file").alias("named"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
+    known = known.groupBy("section", "named").agg(F.bool_or(F.size("codes") == 0).alias("whole"), F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+    first = asked.join(known, ["section", "named"]).groupBy("linter", "kind", "file").agg(F.min_by(F.struct("whole", "codes"), F.struct("at", "by")).alias("rule"))
+    verdict = first.select(F.col("linter").alias("l"), F.col("kind").alias("k"), F.col("file").alias("f"), (F.col("rule.whole") | F.coalesce(F.array_contains("rule.codes", F.col("kind")), F.lit(False))).alias("yes"))
+    out = packed.join(verdict, F.col("linter").eqNullSafe(F.col("l")) & F.col("kind").eqNullSafe(F.col("k")) & (F.col("file") == F.col("f")), "left")
+    return out.select(F.col("row").withField(name, F.coalesce("yes", F.lit(False))).alias("row")).select("row.*")
+
 
 #: Characters of all patterns together that an automaton may hold: it is sent to every task.
 MAX_CHARS = 5_000_000

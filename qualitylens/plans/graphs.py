@@ -94,9 +94,19 @@ def q137(spark, sf):
         n = m
 
 
-@query("q139_prefix_packages", "select regexp_extract(p_type, '^[^ ]+', 0) as prefix, count(*) as files, count(distinct p_brand) as brands from part group by 1 having count(*) >= 3")
+@query("q139_prefix_packages", f"""with {FIRST}, f as (select p_partkey as module, p_brand as dir, string_split(p_name, ' ')[1] as prefix, p_size = 1 and p_type = 'PROMO' as is_package from part where contains(p_name, ' ')),
+i as (select a.dir, a.prefix, count(*) as edges from g join f a on a.module = g.src join f b on b.module = g.dst and b.dir = a.dir and b.prefix = a.prefix group by all)
+select dir, prefix, count(*) as files, max(edges) as edges from f join i using (dir, prefix) group by all having count(*) >= 3 and not bool_or(is_package)""")
 def q139(spark, sf):
-    return table(spark, sf, "part").groupBy(F.regexp_extract("p_type", "^[^ ]+", 0).alias("prefix")).agg(F.count("*").alias("files"), F.countDistinct("p_brand").alias("brands")).where("files >= 3")
+    """Files of a folder that share the name before the first separator: three or
+    more, with imports among them, and no package of that name yet."""
+    prefix = F.substring_index("p_name", " ", 1)
+    f = table(spark, sf, "part").where(F.col("p_name").contains(" ")).select(F.col("p_partkey").alias("module"), F.col("p_brand").alias("dir"), prefix.alias("prefix"), F.expr("p_size = 1 and p_type = 'PROMO'").alias("is_package"))
+    side = lambda end: f.select(F.col("module").alias(end), F.struct("dir", "prefix").alias(f"{end}_group"))
+    inner = first_edges(spark, sf).join(side("src"), "src").join(side("dst"), "dst").where("src_group = dst_group")
+    inner = inner.groupBy("src_group").agg(F.count("*").alias("edges")).select("src_group.*", "edges")
+    groups = f.groupBy("dir", "prefix").agg(F.count("*").alias("files"), F.bool_or("is_package").alias("is_package")).where("files >= 3 and not is_package")
+    return groups.join(inner, ["dir", "prefix"]).select("dir", "prefix", "files", "edges")
 
 
 @query("q140_pattern_mining", """with c as (select item_id as pattern, unnest(list_distinct(list_filter(string_split(text, ' ')[1:6], lambda x: length(x) >= 4))) as call from benchmark),
@@ -217,13 +227,26 @@ def q150(spark, sf):
     return a.join(b, "doc_id", "full").select("doc_id", s.alias("state"))
 
 
-@query("q151_link_integrity", """with l as (select page_id, lower(unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1))) as target from pages), k as (select distinct lower(split_part(text, ' ', 1)) as t from documents)
-select page_id, count(*) as links, count(*) filter (t is null) as broken from l left join k on target = t group by 1""")
+@query("q151_link_integrity", r"""with m as (select distinct split_part(text, ' ', 1) as name from documents), k as (select lower(name) as t from m union select 'home'),
+p as (select regexp_extract(html, '<title>([^ <]+)', 1) as page, regexp_extract_all(html, 'href="/([^"]+)"', 1) as links from pages), l as (select page, unnest(links) as target from p)
+select 'broken' as kind, page, target, count(*) as n from l where lower(target) not in (select t from k where t is not null) group by all
+union all select 'orphan', page, null, count(*) from p where page <> '' and lower(page) not in (select t from k where t is not null) group by page
+union all select 'missing', null, name, 1 from m where lower(name) <> 'home' and lower(name) not in (select lower(page) from p where page is not null)""")
 def q151(spark, sf):
-    """Links of each page, and those that lead nowhere."""
-    links = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("x")).select("page_id", F.lower("x").alias("t"))
-    known = table(spark, sf, "documents").select(F.lower(F.element_at(F.split("text", " "), 1)).alias("t")).distinct().withColumn("known", F.lit(1))
-    return links.join(known, "t", "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("known").isNull()).alias("broken"))
+    """Links to what the manifest (the documents' first words) does not name, pages
+    that it does not name, and names without a page; case does not count."""
+    title = F.regexp_extract("html", "<title>([^ <]+)", 1)
+    p = table(spark, sf, "pages").select(title.alias("page"), F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1).alias("links"))
+    m = table(spark, sf, "documents").select(F.substring_index("text", " ", 1).alias("name")).where("name is not null").distinct()
+    low = lambda df, c: df.withColumn("t", F.lower(c))
+    known = low(m, "name").select("t").union(spark.range(1).select(F.lit("home").alias("t")))
+    broken = low(p.select("page", F.explode("links").alias("target")), "target").join(known, "t", "left_anti")
+    orphan = low(p.where("page <> ''"), "page").join(known, "t", "left_anti")
+    missing = low(m, "name").where("t <> 'home'").join(low(p, "page").select("t"), "t", "left_anti")
+    none = F.lit(None).cast("string")
+    out = broken.groupBy("page", "target").agg(F.count("*").alias("n")).select(F.lit("broken").alias("kind"), "page", "target", "n")
+    out = out.union(orphan.groupBy("page").agg(F.count("*").alias("n")).select(F.lit("orphan"), "page", none, "n"))
+    return out.union(missing.select(F.lit("missing"), none, "name", F.lit(1).cast("long")))
 
 
 @query("q008_markdown_sections", r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as k, unnest(string_split(text, chr(10))) as line from documents),
@@ -321,5 +344,3 @@ def q177(spark, sf):
     r = d.withColumn("delta", F.col("v") - F.lag("v").over(w.orderBy("day"))).withColumn("rn", F.row_number().over(w.orderBy(F.desc("day"))))
     g = r.groupBy("c_nationkey").agg(F.sum("v").alias("s"), F.count("*").alias("n"), F.max(F.when(F.col("rn") <= 3, F.abs("delta"))).alias("m"))
     return g.select("c_nationkey", F.when(F.col("s") > 70000000, "threshold").when(F.col("n") > 600, "max_iterations").when(F.col("m") < 50000, "stall").otherwise("iterate").alias("halt"))
-
-

@@ -204,11 +204,40 @@ def q124(spark, sf):
     return g.where("channels >= 3").select("file", "run", "channels", F.when(F.col("worst") == 0, "warning").otherwise("kept").alias("action"))
 
 
-@query("q125_wiring_check", "select doc_id as missing from documents except select doc_id from labels")
+#: What channels (suppliers) publish, consume and report, and which ones are active; more keys than this are too many.
+_MANY = 10
+_WIRING = f"""with act as (select s_suppkey as channel from supplier where s_acctbal >= 0),
+pub as (select l_suppkey as channel, l_partkey as key, bool_or(l_tax > 0.06) as optional from lineitem where l_linenumber = 7 and l_returnflag = 'A' and l_linestatus = 'F' group by all),
+con as (select l_suppkey as channel, l_partkey as key, bool_or(l_linestatus = 'O') as optional from lineitem where l_linenumber = 1 and l_returnflag = 'R' group by all),
+got as (select distinct l_suppkey as channel, l_partkey as key from lineitem where l_linenumber < 4),
+pm as (select key, max(channel) as publisher from pub join act using (channel) group by 1),
+miss as (select channel, key from con where not optional and not exists (select 1 from pm where pm.key = con.key))
+select 'missing_publisher' as kind, channel, key, null::bigint as detail from miss join act using (channel)
+union all select 'chain_break', con.channel, con.key, miss.key from con join act using (channel) join pm using (key) join miss on miss.channel = pm.publisher
+union all select 'missing_metric', channel, key, null from pub join act using (channel) where not optional and not exists (select 1 from got where got.channel = pub.channel and got.key = pub.key)
+union all select 'schema_growth', channel, null, count(*) from pub group by channel having count(*) > {_MANY}"""
+
+
+@query("q125_wiring_check", _WIRING)
 def q125(spark, sf):
-    """Consumed and not published: documents that no label covers."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("missing")).distinct()
-    return d.join(table(spark, sf, "labels").select(F.col("doc_id").alias("missing")), "missing", "left_anti")
+    """Faults in what channels publish and consume: a required key that no active
+    channel publishes; a consumed key whose publisher lacks one itself; a
+    declared key that the channel's results lack; too many keys."""
+    li = table(spark, sf, "lineitem")
+    keys = lambda where: li.where(where).select(F.col("l_suppkey").alias("channel"), F.col("l_partkey").alias("key"), "l_tax", "l_linestatus")
+    active = table(spark, sf, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("channel"))
+    pub = keys("l_linenumber = 7 and l_returnflag = 'A' and l_linestatus = 'F'").groupBy("channel", "key").agg(F.bool_or(F.col("l_tax") > 0.06).alias("optional"))
+    con = keys("l_linenumber = 1 and l_returnflag = 'R'").groupBy("channel", "key").agg(F.bool_or(F.col("l_linestatus") == "O").alias("optional"))
+    scratch = Scratch(spark)
+    pub, con = scratch.save(pub), scratch.save(con)
+    by_key = pub.join(active, "channel").groupBy("key").agg(F.max("channel").alias("publisher"))
+    miss = scratch.save(con.where("not optional").join(by_key, "key", "left_anti").select("channel", "key"))
+    fault = lambda df, kind, detail: df.select(F.lit(kind).alias("kind"), "channel", "key", detail.cast("long").alias("detail"))
+    chain = con.join(active, "channel").join(by_key, "key").join(miss.select(F.col("channel").alias("publisher"), F.col("key").alias("upstream")), "publisher")
+    lacking = pub.where("not optional").join(active, "channel").join(keys("l_linenumber < 4").select("channel", "key"), ["channel", "key"], "left_anti")
+    wide = pub.groupBy("channel").agg(F.count("*").alias("n")).where(F.col("n") > _MANY).withColumn("key", F.lit(None).cast("long"))
+    none = F.lit(None)
+    return fault(miss.join(active, "channel"), "missing_publisher", none).union(fault(chain, "chain_break", F.col("upstream"))).union(fault(lacking, "missing_metric", none)).union(fault(wide, "schema_growth", F.col("n")))
 
 
 @query("q126_cross_file_duplicates", """select substr(sha256(lower(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 16) as hash, count(*) as copies, min(doc_id) as keeper from documents group by 1 having count(*) > 1""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qualitylens.functions.scalar import band, clamp, fingerprint, geometric_mean
+from qualitylens.operators.patterns import exempted
 from qualitylens.plans.adapters import FINDINGS, findings
 from qualitylens.plans.registry import query
 from qualitylens.session import table
@@ -99,9 +100,28 @@ def q021(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(exact[key], prefix[F.col("l_returnflag")], F.lit("default")).alias("severity"))
 
 
-@query("q022_exemption_filter", "select doc_id, source from documents where not exists (select 1 from labels where labels.doc_id = documents.doc_id)")
+#: Sections under which a linter's exemptions may stand too.
+_ALIASES = {"error": ("fault", "slip"), "view": ("look",)}
+
+
+@query("q022_exemption_filter", """with i as (select event_id, event_type as linter, 'K' || cast(json_extract_string(props, '$.k') as int) % 5 as kind, 'm' || user_id || '.py' as base, 'src/' || user_id % 7 || '/m' || user_id || '.py' as path from events),
+x as (select s as section, case when quality = 1 then 'm' || doc_id || '.py' else 'src/' || doc_id % 7 || '/m' || doc_id || '.py' end as name, case when doc_id % 4 > 0 then ['K' || doc_id % 5, 'K' || toxic] else [] end as codes
+  from labels, (select unnest(['error', 'slip', 'look', 'click', 'K1', 'K3']) as s) where (doc_id + length(s)) % 3 > 0),
+s as (select event_id, 0 as pos, linter as section from i union all select event_id, 1, case linter when 'error' then 'fault' else 'look' end from i where linter in ('error', 'view')
+  union all select event_id, 2, 'slip' from i where linter = 'error' union all select event_id, 3, kind from i),
+m as (select event_id, kind, arg_min(codes, pos * 2 + case when x.name = base then 0 else 1 end) as codes from s join i using (event_id) join x on x.section = s.section and x.name in (base, path) group by all)
+select event_id, linter, kind from i where event_id not in (select event_id from m where len(codes) = 0 or list_contains(codes, kind))""")
 def q022(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Findings that no exemption covers: its section is the linter, an alias or
+    the kind, its file a base name or a path, its codes all or some."""
+    k, user, doc = F.get_json_object("props", "$.k").cast("int"), F.col("user_id"), F.col("doc_id")
+    path = lambda n: F.concat(F.lit("src/"), n % 7, F.lit("/m"), n, F.lit(".py"))
+    i = table(spark, sf, "events").select("event_id", F.col("event_type").alias("linter"), F.concat(F.lit("K"), k % 5).alias("kind"), path(user).alias("file"))
+    sections = F.explode(F.array(*[F.lit(s) for s in ("error", "slip", "look", "click", "K1", "K3")]))
+    codes = F.when(doc % 4 > 0, F.array(F.concat(F.lit("K"), doc % 5), F.concat(F.lit("K"), F.col("toxic"))))
+    x = table(spark, sf, "labels").select("*", sections.alias("section")).where((doc + F.length("section")) % 3 > 0)
+    x = x.select("section", F.when(F.col("quality") == 1, F.concat(F.lit("m"), doc, F.lit(".py"))).otherwise(path(doc)).alias("file"), codes.alias("codes"))
+    return exempted(i, x, "linter", "kind", "file", _ALIASES).where("not exempt").select("event_id", "linter", "kind")
 
 
 @query("q023_suppress_downgrade", f"""with {FINDINGS}, n as (select channel, file, count(*) as seen from f group by all)
@@ -256,5 +276,3 @@ def q039(spark, sf):
 def q040(spark, sf):
     t = F.col("p_type")
     return table(spark, sf, "part").select("p_partkey", F.when(t.contains("STEEL"), "security").when(t.startswith("SMALL") | t.startswith("ECONOMY"), "mechanical").when(F.col("p_size") > 40, "structural").otherwise("other").alias("triage"))
-
-

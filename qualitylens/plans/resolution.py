@@ -9,7 +9,7 @@ from qualitylens.functions import commands as C
 from qualitylens.functions.scalar import noisy_or
 from qualitylens.functions.versions import satisfies
 from qualitylens.plans.registry import query
-from qualitylens.session import shared_dir, table
+from qualitylens.session import scratch_folder, table
 from qualitylens.sources import files as S
 
 
@@ -20,14 +20,27 @@ def q001(spark, sf):
     return p.where(F.col("path").contains("/en/") & ~F.col("path").contains(".org/"))
 
 
+@query("q005_coverage_json", """with l as (select distinct l_orderkey, l_partkey, l_linenumber as line, l_returnflag as f, l_suppkey % 9 - 2 as t from lineitem)
+select 'part/' || l_partkey as file, count(*) filter (f = 'N') as executed, count(*) filter (f = 'R') as missing, count(*) filter (f = 'A') as excluded, count(*) filter (f = 'R' and t >= 0) as branches, coalesce(sum(t) filter (f = 'R' and t >= 0), 0)::bigint as targets from l group by 1""")
+def q005(spark, sf):
+    """Coverage reports, one an order, written as JSON and read back: lines of each
+    state and branches never taken, by file."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("part/"), "l_partkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("f"), (F.col("l_suppkey") % 9 - 2).alias("t")).distinct()
+    lines = lambda f: F.collect_list(F.when(F.col("f") == f, F.col("line")))
+    branches = F.collect_list(F.when(F.col("f") == "R", F.array(F.col("line"), F.col("t"))))
+    c = li.groupBy("l_orderkey", "file").agg(F.struct(lines("N").alias("executed_lines"), lines("R").alias("missing_lines"), lines("A").alias("excluded_lines"), branches.alias("missing_branches")).alias("c"))
+    root = scratch_folder(spark, "coverage")
+    c.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("file", "c"))).alias("files")).select("files").write.json(root)
+    n = lambda s: F.count_if(F.col("state") == s).alias(s)
+    states = S.coverage_json(spark, root, False).groupBy("file").agg(n("executed"), n("missing"), n("excluded"))
+    taken = S.coverage_branches(spark, root, False).groupBy("file").agg(F.count("*").alias("branches"), F.sum("to_line").alias("targets"))
+    return states.join(taken, "file", "left").na.fill(0, ["branches", "targets"])
+
+
 @query("q011_jsonl_append", "select event_type as event, count(*) as n from events group by 1")
 def q011(spark, sf):
     """Rows appended to their day's JSON lines, and read back."""
-    import uuid
-
-    root = f"{shared_dir(spark)}/telemetry-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    root = scratch_folder(spark, "telemetry")
     rows = table(spark, sf, "events").select(F.col("event_type").alias("event"), F.lit("p").alias("project"))
     S.append_telemetry(rows, root)
     return S.telemetry(spark, root).groupBy("event").agg(F.count("*").alias("n"))

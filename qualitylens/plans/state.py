@@ -145,13 +145,43 @@ def q169(spark, sf):
     return table(spark, sf, "events").select("event_id", F.row_number().over(w).alias("rn")).where("rn <= 140").select("event_id")
 
 
-@query("q172_signal_detectors", """with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events)
-select user_id, count(*) filter (event_type = 'error') >= 5 as error_burst, count(distinct event_type) <= 3 as narrow, count(*) filter (event_type = 'view') > 2 * count(*) filter (event_type = 'click') as stuck from r where rn <= 20 group by 1""")
+#: The signals of a session, their weight, and what fires them over its last fifty actions (rn 1 is the newest; far: seconds before it).
+#: Commands are clicks and errors (which fail), reads views, checks purchases, plans and edits signups. Sample actions lie hours apart, so windows are in days.
+_ACTIONS, _DAY = 50, 86_400
+_BASH = "event_type in ('click', 'error')"
+_SIGNALS = {
+    "approach_cycling": ("hard", f"count(distinct case when event_type = 'error' and far <= 2 * {_DAY} then sig end) >= 3"),
+    "failure_amnesia": ("hard", "max(case when event_type = 'error' and rn <= 30 then same30 end) >= 2"),
+    "brute_force_escalation": ("hard", f"count(distinct case when {_BASH} then sig end) > count(distinct case when event_type = 'purchase' then sig end)"),
+    "integration_verification_debt": ("hard", "sum(case when event_type = 'signup' and rn < check_rn then 1 else 0 end) >= case when max(case when rn = 1 then event_type end) = 'click' then 1 else 5 end"),
+    "premature_action": ("soft", f"sum(case when {_BASH} and rn <= 10 then 1 else 0 end) > 3 * greatest(sum(case when event_type = 'view' and rn <= 10 then 1 else 0 end), 1) and 2 * sum(case when event_type = 'error' and rn <= 10 then 1 else 0 end) > sum(case when {_BASH} and rn <= 10 then 1 else 0 end)"),
+    "tool_repetition": ("soft", f"max(case when far <= 3 * {_DAY} then near end) >= 4"),
+    "serial_discovery": ("soft", "count(distinct case when event_type = 'error' then sig end) >= 3 and sum(case when event_type = 'purchase' and rn <= 10 then 1 else 0 end) = 0"),
+    "verification_debt": ("soft", "sum(case when rn < calm_rn then 1 else 0 end) >= 8"),
+    "mass_delegation": ("soft", f"sum(case when event_type = 'signup' and far <= {_DAY} then 1 else 0 end) >= 3"),
+    "redundant_planning": ("soft", "max(case when event_type = 'purchase' then rn end) > min(case when event_type = 'signup' then rn end)"),
+    "consecutive_failures": ("nudge", "sum(case when event_type = 'error' and rn < done_rn then 1 else 0 end) >= 3"),
+}
+_LATEST = "coalesce(min(case when {} then rn end) over (partition by user_id), 99) as {}"
+_SEEN = [
+    "count(case when rn <= 30 then 1 end) over (partition by user_id, sig, event_type) as same30", f"count(case when far <= 3 * {_DAY} then 1 end) over (partition by user_id, sig, event_type) as near",
+    _LATEST.format("event_type = 'purchase'", "check_rn"), _LATEST.format("event_type = 'click'", "done_rn"), _LATEST.format("event_type in ('view', 'purchase')", "calm_rn"),
+]
+
+
+@query("q172_signal_detectors", f"""with e as (select user_id, event_type, epoch(ts) as t, cast(json_extract_string(props, '$.k') as int) % 12 as sig, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events),
+r as (select *, max(t) over (partition by user_id) - t as far from e where rn <= {_ACTIONS}), s as (select *, {', '.join(_SEEN)} from r)
+{' union all '.join(f"select user_id, '{n}' as signal, '{w}' as weight from s group by user_id having {c}" for n, (w, c) in _SIGNALS.items())}""")
 def q172(spark, sf):
-    """Several detectors in one pass over the last twenty rows."""
-    r = table(spark, sf, "events").withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 20")
-    n = lambda t: F.count_if(F.col("event_type") == t)
-    return r.groupBy("user_id").agg((n("error") >= 5).alias("error_burst"), (F.countDistinct("event_type") <= 3).alias("narrow"), (n("view") > 2 * n("click")).alias("stuck"))
+    """The signals that a session's last actions give, by weight, in one pass:
+    tasks keep fifty actions of each session before they are shuffled."""
+    newest = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    e = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"), (F.get_json_object("props", "$.k").cast("int") % 12).alias("sig"), F.row_number().over(newest).alias("rn"))
+    r = e.where(F.col("rn") <= _ACTIONS).withColumn("far", F.max("t").over(W.partitionBy("user_id")) - F.col("t"))
+    s = r.selectExpr("*", *_SEEN)
+    fired = s.groupBy("user_id").agg(*[F.expr(c).alias(n) for n, (_, c) in _SIGNALS.items()])
+    rows = F.array(*[F.when(F.col(n), F.struct(F.lit(n).alias("signal"), F.lit(w).alias("weight"))) for n, (w, _) in _SIGNALS.items()])
+    return fired.select("user_id", F.explode(F.array_compact(rows)).alias("s")).select("user_id", "s.*")
 
 
 @query("q114_ordered_channels", """with g as (select event_type as name, round(sum(value), 2) as weight from events group by 1) select name, row_number() over (order by -weight, name) as pos from g""")

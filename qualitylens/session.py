@@ -38,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one, deleted when the driver's file system closes."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return root
+
+
 class Scratch:
     """Intermediate tables written as Parquet under the shared folder.
 

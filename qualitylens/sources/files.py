@@ -47,13 +47,24 @@ def json_documents(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return df.where("_corrupt_record is null").drop("_corrupt_record")
 
 
-def coverage_json(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, state (executed, missing, excluded) of a coverage report."""
-    lines = "array<int>"
-    schema = f"files map<string, struct<executed_lines: {lines}, missing_lines: {lines}, excluded_lines: {lines}>>"
-    files = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("files").alias("file", "c"))
+def _coverage(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    parts = ", ".join(f"{s}_lines: array<int>" for s in ("executed", "missing", "excluded"))
+    schema = f"files map<string, struct<{parts}, missing_branches: array<array<int>>>>"
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path).select(F.explode("files").alias("file", "c"))
+
+
+def coverage_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """file, line, state (executed, missing, excluded) of coverage reports: one a
+    file, or one a line without ``multi_line``; reports that do not parse are skipped."""
     states = F.map_from_arrays(F.array(*[F.lit(s) for s in ("executed", "missing", "excluded")]), F.array("c.executed_lines", "c.missing_lines", "c.excluded_lines"))
-    return files.select("file", F.explode(states).alias("state", "lines")).select("file", F.explode("lines").alias("line"), "state")
+    return _coverage(spark, path, multi_line).select("file", F.explode(states).alias("state", "lines")).select("file", F.explode("lines").alias("line"), "state")
+
+
+def coverage_branches(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """file, from_line, to_line: branches never taken, as far as they are pairs;
+    those to a line below 0 are made up by the tool and left out."""
+    b = _coverage(spark, path, multi_line).select("file", F.explode("c.missing_branches").alias("b")).where(F.size("b") == 2)
+    return b.select("file", F.col("b")[0].alias("from_line"), F.col("b")[1].alias("to_line")).where("to_line >= 0")
 
 
 def decode_numbits(bits: Column) -> Column:

@@ -55,6 +55,39 @@ def test_set_cover_is_greedy(spark):
     assert [(r.test, r.new) for r in catalog.QUERIES["q135_greedy_set_cover"](spark, SF).orderBy("step").collect()] == want
 
 
+def test_signals_by_hand(spark):
+    """Every session's last fifty actions walked from the newest on."""
+    import json
+
+    users, want = {}, set()
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        users.setdefault(r.user_id, []).append((r.ts.timestamp(), r.event_type, json.loads(r.props)["k"] % 12))
+    for user, acts in users.items():
+        acts = acts[-50:][::-1]
+        kinds = [k for _, k, _ in acts]
+        within = lambda days: [a for a in acts if acts[0][0] - a[0] <= days * 86_400]
+        sigs = lambda *k: {s for _, kind, s in acts if kind in k}
+        before = lambda *k: next((i for i, kind in enumerate(kinds) if kind in k), len(kinds))
+        repeats = lambda some: max((some.count(x) for x in some), default=0)
+        edits = kinds[: before("purchase")].count("signup")
+        runs = [k for k in kinds[:10] if k in ("click", "error")]
+        fired = {
+            "approach_cycling": len({s for _, k, s in within(2) if k == "error"}) >= 3,
+            "failure_amnesia": repeats([s for _, k, s in acts[:30] if k == "error"]) >= 2,
+            "brute_force_escalation": len(sigs("click", "error")) > len(sigs("purchase")),
+            "integration_verification_debt": edits >= 5 or (edits > 0 and kinds[0] == "click"),
+            "premature_action": len(runs) > 3 * max(kinds[:10].count("view"), 1) and 2 * runs.count("error") > len(runs),
+            "tool_repetition": repeats([(k, s) for _, k, s in within(3)]) >= 4,
+            "serial_discovery": len(sigs("error")) >= 3 and "purchase" not in kinds[:10],
+            "verification_debt": before("view", "purchase") >= 8,
+            "mass_delegation": [k for _, k, _ in within(1)].count("signup") >= 3,
+            "redundant_planning": "signup" in kinds and "purchase" in kinds[kinds.index("signup") :],
+            "consecutive_failures": kinds[: before("click")].count("error") >= 3,
+        }
+        want |= {(user, name) for name, yes in fired.items() if yes}
+    assert {(r.user_id, r.signal) for r in catalog.QUERIES["q172_signal_detectors"](spark, SF).collect()} == want
+
+
 def test_flagship_and_entry(spark):
     import __spark_entry__
 

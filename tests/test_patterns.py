@@ -42,3 +42,21 @@ def test_pattern_hits(spark, monkeypatch):
     monkeypatch.setattr(P, "MAX_CHARS", 3)
     with pytest.raises(ValueError):
         P.pattern_hits(df, "t", table, "p")
+
+
+def test_exemptions(spark):
+    rules = [
+        ("complexity", "a.py", None), ("radon", "src/a.py", ["K1"]), ("K9", "b.py", []), ("ruff", "b.py", ["K2"]), ("ruff", "b.py", ["K3"]),
+        ("ruff", "c.py", ["K2"]), ("ruff", "src/c.py", None), (None, "d.py", None), ("ruff", None, None),
+    ]
+    rules = spark.createDataFrame(rules, "section string, file string, codes array<string>")
+    cases = {
+        ("radon", "K1", "x/a.py"): True, ("radon", "K2", "src/a.py"): False, ("radon", "K1", "src/a.py"): True, ("other", "K2", "a.py"): False,
+        ("ruff", "K9", "b.py"): False, ("mypy", "K9", "b.py"): True, ("ruff", "K3", "b.py"): True, ("ruff", None, "b.py"): False,
+        ("ruff", "K1", "src/c.py"): False, ("ruff", "K2", "src/c.py"): True, (None, "K1", "d.py"): False, (None, "K9", "b.py"): True,
+        ("ruff", "K2", None): False, ("ruff", "K2", ""): False, (None, None, "a.py"): False,
+    }
+    rows = spark.createDataFrame([(*k, 0) for k in cases for _ in range(2)], "l string, k string, f string, rule int")
+    got = P.exempted(rows, rules, "l", "k", "f", {"radon": ("complexity",)}).collect()
+    assert sorted((str(r.l), str(r.k), str(r.f), r.exempt) for r in got) == sorted((*map(str, k), v) for k, v in cases.items() for _ in range(2))
+    assert P.exempted(rows.limit(0), rules, "l", "k", "f", {}).count() == 0 and not any(r.exempt for r in P.exempted(rows, rules.limit(0), "l", "k", "f", {}).collect())

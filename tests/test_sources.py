@@ -35,9 +35,10 @@ def test_documents_coverage_and_log(spark, tmp_path):
     (tmp_path / "d" / "1.json").write_text(json.dumps({"a": 1}))
     (tmp_path / "d" / "2.json").write_text("{no")
     assert [r.a for r in S.json_documents(spark, str(tmp_path / "d"), "a int").collect()] == [1]
-    (tmp_path / "c.json").write_text(json.dumps({"files": {"x.py": {"executed_lines": [1, 2], "missing_lines": [3], "excluded_lines": []}}}))
+    (tmp_path / "c.json").write_text(json.dumps({"files": {"x.py": {"executed_lines": [1, 2], "missing_lines": [3], "excluded_lines": [], "missing_branches": [[1, 2], [2, -1], [3], [4, 0]]}}}))
     got = sorted((r.file, r.line, r.state) for r in S.coverage_json(spark, str(tmp_path / "c.json")).collect())
     assert got == [("x.py", 1, "executed"), ("x.py", 2, "executed"), ("x.py", 3, "missing")]
+    assert sorted(map(tuple, S.coverage_branches(spark, str(tmp_path / "c.json")).collect())) == [("x.py", 1, 2), ("x.py", 4, 0)]
     (tmp_path / "log").write_text("COMMIT 1\nb.py\na.py\n\nCOMMIT 2\na.py\n")
     got = {r.commit: r.files for r in S.commit_log(spark, str(tmp_path / "log")).collect()}
     assert got == {"1": ["a.py", "b.py"], "2": ["a.py"]}
