@@ -12,9 +12,11 @@ that is within range. Hits are verified by the cosine in double precision, so
 no link is false. A pair is found for both if either finds the other, and it
 is counted in the first shard that both are in, so links are symmetrical.
 
-Recall is audited against brute force for a sample of classes, by number of
-links. A result that falls short is redone with more overlap and a wider beam,
-and at last with all pairs of every block instead of the graph.
+While it runs, recall is audited against brute force for a bounded sample of
+classes, by number of links. A result that falls short is redone with more
+overlap and a wider beam, ``RETRIES`` times, and then with all pairs of blocks,
+each width one shard, instead of the graph. ``measured_recall`` is the whole
+measurement: it asks every vector whose id is divisible by 100.
 
 A shard above ``MAX_SHARD`` classes is dealt into blocks, and each pair of
 blocks is a task of its own, so a hot region costs more tasks, not a larger
@@ -45,6 +47,10 @@ BEAM = 12
 #: The search expands nodes somewhat out of range too, as paths may leave it.
 SLACK = 0.05
 RECALL = 0.95
+#: Searches by the graph with double overlap and beam before all pairs are compared.
+RETRIES = 3
+#: Every how many ids one is asked, queries and classes of a task of ``measured_recall``.
+EVERY, ASKED, AGAINST = 100, 1024, 16_384
 #: Queries that a task searches together, and pairs that it scores at a time.
 TOGETHER, PAIRS = 512, 100_000
 
@@ -296,7 +302,8 @@ def _centroids(classes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _search(classes: DataFrame, centroids, ways: int, threshold: float, beam: int, by_graph: bool, scratch: Scratch) -> DataFrame:
-    """cid, hits, least of every task."""
+    """cid, hits, least of every task. Without the graph each width is one
+    shard, so a class is copied once for each block of its width."""
 
     def assign(frames):
         for frame in frames:
@@ -309,7 +316,12 @@ def _search(classes: DataFrame, centroids, ways: int, threshold: float, beam: in
                 at = np.repeat(np.arange(len(f)), near.shape[1])
                 yield pd.DataFrame({"shard": near.ravel(), "shards": list(full[at]), "cid": f["cid"].to_numpy()[at], "vec": f["vec"].iloc[at].to_numpy(), "m": f["m"].to_numpy()[at]})
 
-    dealt = scratch.save(classes.select("cid", "vec", "m", "width").mapInPandas(assign, "shard long, shards array<long>, cid long, vec array<double>, m long"))
+    if by_graph:
+        dealt = classes.select("cid", "vec", "m", "width").mapInPandas(assign, "shard long, shards array<long>, cid long, vec array<double>, m long")
+    else:
+        shard = F.shiftleft(F.col("width").cast("long"), 32)
+        dealt = classes.select(shard.alias("shard"), F.array(shard).alias("shards"), "cid", "vec", "m")
+    dealt = scratch.save(dealt)
     sizes = dealt.groupBy("shard").count().select("shard", F.ceil(F.col("count") / MAX_SHARD).alias("blocks"))
     dealt = dealt.join(scratch.save(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
 
@@ -379,17 +391,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     found = _centroids(classes)
     most = max(map(len, found.values()))
     centroids = spark.sparkContext.broadcast(found)  # bounded by MAX_CLUSTERS, and one more per width
-    beam, by_graph = BEAM, True
+    beam, by_graph, tried = BEAM, True, 0
     while True:
         tasks = scratch.save(_search(classes, centroids, min(overlap, most), threshold, beam, by_graph, scratch))
         hits = scratch.save(tasks.groupBy("cid").agg(F.sum("hits").alias("hits")))
         reached = audit(classes, hits, threshold)
         log.info("recall %.4f with overlap %d, beam %d, %s", reached, min(overlap, most), beam, "graph" if by_graph else "all pairs")
-        if reached >= recall or (overlap >= most and not by_graph):
+        if reached >= recall or not by_graph:
             break
-        # with every class in every shard, all pairs of the blocks are brute force
-        by_graph = by_graph and overlap < most
+        tried += 1
+        by_graph = tried <= RETRIES and overlap < most
         overlap, beam = 2 * overlap, 2 * beam
+        scratch.drop(tasks)
+        scratch.drop(hits)
     links = tasks.where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
     groups = components(links, scratch)
     labels = classes.select("cid", "vec", "rep", "m").join(groups.withColumnRenamed("node", "cid"), "cid", "left").join(hits, "cid", "left")
@@ -400,3 +414,51 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     known = F.col("n_links").isNotNull()
     component = F.when(known, F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def measured_recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = EVERY) -> DataFrame:
+    """How many of the true links of every vector whose id is divisible by
+    ``every`` the rows ``found`` (what ``near_duplicates`` gave) count.
+
+    Returns at most four rows: band (``1-3``, ``4-30``, ``31+`` links, and
+    ``all``), queries (that have links), links (true ones), met (of them
+    counted), recall (met / links) and least_recall, the worst of its vectors.
+    Queries without a link are in no row; no link at all gives no rows. Ids
+    that repeat are summed up as one query, null ids are not asked.
+
+    Each task compares at most about ``ASKED`` queries with ``AGAINST``
+    classes, so nothing is collected or broadcast; the comparisons grow as
+    rows x rows / ``every``, so this is a measurement of its own and no part
+    of the operator.
+    """
+    spark = vectors.sparkSession
+    arrow_batches(spark, 2000)
+    scratch = Scratch(spark)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
+    classes = _classes(rows, scratch)
+    asked = rows.where(F.col("vec_id") % every == 0).join(classes.select(F.col("vec").alias("e"), "cid", "width"), "e")
+    asked = scratch.save(asked.select(F.monotonically_increasing_id().alias("q"), "vec_id", "cid", "width", F.col("e").alias("vec")))
+    # one row a width: the numbers of blocks on either side
+    parts = lambda df, size: df.groupBy("width").agg(F.ceil(F.count("*") / size).alias("n"))
+    grid = scratch.save(parts(asked, ASKED).withColumnRenamed("n", "across").join(parts(classes, AGAINST).withColumnRenamed("n", "down"), "width"))
+    dealt = lambda df, key, own, other: df.join(grid, "width").withColumn("own", F.pmod(F.xxhash64(key), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+    none = F.lit(None).cast("long")
+    one = dealt(asked, "q", "across", "down").select("width", F.col("own").alias("i"), F.col("other").alias("j"), "q", "vec", F.lit(1).cast("long").alias("m"))
+    two = dealt(classes, "cid", "down", "across").select("width", F.col("other").alias("i"), F.col("own").alias("j"), none.alias("q"), "vec", "m")
+
+    def count(key, f: pd.DataFrame) -> pd.DataFrame:
+        mine = f["q"].notna().to_numpy()
+        x, q, m = units(f["vec"][~mine]), units(f["vec"][mine]), f["m"].to_numpy()[~mine]
+        n = np.zeros(len(q), np.int64)
+        for a in range(0, len(q), 256):
+            n[a : a + 256] = (q[a : a + 256] @ x.T >= threshold) @ m if len(x) else 0
+        return pd.DataFrame({"q": f["q"][mine].astype(np.int64), "n": n})
+
+    true = one.union(two).groupBy("width", "i", "j").applyInPandas(count, "q long, n long").groupBy("q").agg((F.sum("n") - 1).alias("n"))
+    true = asked.select("q", "vec_id").join(true, "q").groupBy("vec_id").agg(F.sum("n").alias("links"))
+    got = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.sum("n_links").alias("met"))
+    both = true.join(got, "vec_id", "left").where("links > 0").select("links", F.least("links", F.coalesce("met", F.lit(0))).alias("met"))
+    own = F.when(F.col("links") <= 3, "1-3").when(F.col("links") <= 30, "4-30").otherwise("31+")
+    both = both.withColumn("band", F.explode(F.array(own, F.lit("all"))))
+    out = both.groupBy("band").agg(F.count("*").alias("queries"), F.sum("links").alias("links"), F.sum("met").alias("met"), F.min(F.col("met") / F.col("links")).alias("least_recall"))
+    return out.select("band", "queries", "links", "met", (F.col("met") / F.col("links")).alias("recall"), "least_recall")

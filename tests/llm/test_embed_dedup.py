@@ -92,3 +92,38 @@ def test_audited_recall(spark):
 
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_all_pairs_are_the_last_resort(spark, monkeypatch):
+    """A recall that no graph reaches ends in all pairs of blocks, each class
+    in one shard, and those are whole."""
+    monkeypatch.setattr(E, "TARGET", 100)
+    monkeypatch.setattr(E, "MAX_SHARD", 64)
+    monkeypatch.setattr(E, "RETRIES", 0)
+    seen, plain = [], E._search
+    monkeypatch.setattr(E, "_search", lambda *a: (seen.append(a[5]), plain(*a))[1])
+    monkeypatch.setattr(E, "audit", lambda *a: 0.0)
+    rows = [(i, v) for i, v in make(3) if v and v[0] is not None and np.isfinite(v).all() and any(v) and 1e-100 < np.abs(v).max() < 1e100]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert seen == [True, False]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_measured_recall(spark, monkeypatch):
+    monkeypatch.setattr(E, "ASKED", 16)
+    monkeypatch.setattr(E, "AGAINST", 100)
+    rows = [(i, v) for i, v in make(4) if v is None or not v or v[0] is None or not np.isfinite(v).all() or not any(v) or 1e-100 < np.abs(v).max() < 1e100]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    true = {}
+    for i, n, _ in brute(rows):
+        if i is not None and i % 5 == 0:
+            true[i] = true.get(i, 0) + n
+    true = {i: n for i, n in true.items() if n}
+    halved = spark.createDataFrame([(i, n // 2) for i, n in true.items()], "vec_id long, n_links long")
+    out = {r.band: r for r in E.measured_recall(df, halved, every=5).collect()}
+    assert (out["all"].queries, out["all"].links, out["all"].met) == (len(true), sum(true.values()), sum(n // 2 for n in true.values()))
+    assert out["all"].least_recall == min(n // 2 / n for n in true.values())
+    assert sum(out[b].queries for b in out if b != "all") == len(true)
+    whole = {r.band: r.recall for r in E.measured_recall(df, E.near_duplicates(df), every=5).collect()}
+    assert whole["all"] >= 0.95
+    assert not E.measured_recall(df.limit(0), halved).count()
