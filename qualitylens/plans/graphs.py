@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qualitylens.functions import claims as CL
 from qualitylens.functions import commands as C
 from qualitylens.functions.scalar import noisy_or
 from qualitylens.operators import graph as G
 from qualitylens.operators import relational as R
+from qualitylens.operators.freshness import staleness
 from qualitylens.operators.patterns import pattern_hits
 from qualitylens.plans.adapters import EDGES, FINDINGS, FIRST, HIERARCHY, PARTS, edges, findings, first_edges, hierarchy, kills, part_edges
 from qualitylens.plans.registry import query
@@ -210,21 +212,58 @@ def q144(spark, sf):
     return m.union(c.where("n > 1 and length(s) >= 7").select("s", "s", "n", "n", F.lit(0).cast("long")))
 
 
-@query("q145_claim_scoring", """select doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+')) + 2 * len(regexp_extract_all(text, '[Ll]icen[sc]e')) as score from documents""")
-def q145(spark, sf):
-    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), 0))
-    return table(spark, sf, "documents").select("doc_id", (n("[A-Z][a-z]+") + 2 * n("[Ll]icen[sc]e")).cast("long").alias("score"))
+#: What a note adds after a document's text, by its id: paragraphs of prose, a table, a checklist.
+_NOTES = """case doc_id % 7 when 0 then '' when 1 then '{n}{n}The key principle is called **late binding**. It enables reuse because we define it once.{n}Then next steps follow.'
+  when 2 then '{n} {n}| because | a table |{n}| hence | no claim |{n}{n}- [ ] therefore a checklist' when 3 then '{n}{n}Why not a monolith? Batch work over streams was chosen. This would break the workflow! Premature tuning can fail'
+  when 4 then '{n}{n}  The goal is clear: a correct order. out of scope. Our channel provides analysis, unlike a linter.' when 5 then '{n}{n}**Rationale** modular parts{n}are easier to test than large ones. **Lesson** the fix was a retry.' else ' Since {n}then. Thus' end"""
+_CLAIM_BLANK = CL.BLANK.replace("\\x0B", "\\v")
+_CLAIM_SCORES = ", ".join(
+    f"{{'facet': '{f}', 'score': " + " + ".join(f"case when regexp_matches(s, '{p}') then {w} else 0 end" for of, w, p in CL.RULES if of in (None, f)) + "}" for f in CL.FACETS
+)
 
 
-@query("q150_content_freshness", """with a as (select doc_id, sha256(text) as h from documents where doc_id % 10 <> 0), b as (select doc_id, sha256(case when doc_id % 7 = 0 then text || '!' else text end) as h from documents where doc_id % 9 <> 0)
-select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.h is null then 'new' when b.h is null then 'removed' when a.h <> b.h then 'changed' else 'fresh' end as state from a full join b on a.doc_id = b.doc_id""")
+@query("q145_claim_scoring", rf"""with t as (select doc_id, coalesce(text, '') || {_NOTES.replace("{n}", "' || chr(10) || '")} as text from documents),
+j as (select doc_id, regexp_replace(regexp_replace(text, '([^\n]|^)\n([^\n]|$)', '\1 \2', 'g'), '([^\n]|^)\n([^\n]|$)', '\1 \2', 'g') as text from t),
+p as (select doc_id, list_filter(list_transform(string_split_regex(text, '\n{_CLAIM_BLANK}*\n'), lambda x: regexp_replace(x, '^{_CLAIM_BLANK}+|{_CLAIM_BLANK}+$', '', 'g')), lambda x: x <> '' and x[1] <> '|' and x[1:3] <> '- [') as ps from j),
+l as (select doc_id, flatten(list_transform(ps, lambda x: string_split(regexp_replace(x, '([.!?]){_CLAIM_BLANK}+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))) as ss from p),
+s as (select doc_id, generate_subscripts(ss, 1) as k, unnest(ss) as s from l),
+c as (select doc_id, k, s, unnest([{_CLAIM_SCORES}], recursive := true) from s)
+select doc_id, facet, count(*) as claims, max(score)::int as score, first(s order by score desc, k) as claim from c where score >= 1 group by 1, 2""")
+def q145(spark, sf):
+    """The likely claims of each document and facet, and the strongest, the first of equals."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.expr(_NOTES.replace("{n}", r"\n")))
+    s = table(spark, sf, "documents").select("doc_id", F.posexplode(CL.sentences(text)).alias("k", "s"))
+    c = s.select("doc_id", "k", "s", F.explode(CL.claim_scores(F.col("s"))).alias("c")).where("c.score >= 1")
+    best = F.max(F.struct("c.score", -F.col("k"), "s")).alias("best")
+    g = c.groupBy("doc_id", F.col("c.facet").alias("facet")).agg(F.count("*").alias("claims"), best)
+    return g.select("doc_id", "facet", "claims", "best.score", F.col("best.s").alias("claim"))
+
+
+#: A document's text when its stored state was made, by its id.
+_BEFORE = "case when doc_id % 7 = 0 then regexp_replace(text, '^[^{n}]*{n}', '') when doc_id % 11 = 0 then concat(text, {br}, text) when doc_id % 5 = 0 then replace(text, 'th', 'ht') else text end"
+
+
+@query("q150_content_freshness", rf"""with d as (select doc_id, string_split(text, chr(10)) as now, string_split(case when text is not null then {_BEFORE.replace("{n}", chr(92) + "n").replace("{br}", "chr(10)")} end, chr(10)) as old, doc_id % 10 <> 0 as known from documents),
+a as (select doc_id, k, sha256(array_to_string(now[4 * k + 1 : 4 * k + 4], chr(10))) as h from (select doc_id, now, unnest(range((len(now) + 3) // 4)) as k from d where known)),
+b as (select doc_id, k, sha256(array_to_string(old[4 * k + 1 : 4 * k + 4], chr(10))) as h from (select doc_id, old, unnest(range((len(old) + 3) // 4)) as k from d where known)),
+j as (select coalesce(a.doc_id, b.doc_id) as doc_id, 's' || coalesce(a.k, b.k) as key, a.h as x, b.h as y from a full join b on a.doc_id = b.doc_id and a.k = b.k),
+g as (select doc_id, count(*) filter (y is null) as new, count(*) filter (x is null) as removed, string_agg(key, ',' order by key) filter (x <> y) as changed from j group by 1),
+o as (select d.doc_id, not known as unknown, known and d.doc_id % 13 = 0 as version_changed, known and d.doc_id % 17 = 0 as manifest_changed, coalesce(new, 0) as n_new, coalesce(removed, 0) as n_removed, coalesce(changed, '') as changed from d left join g on d.doc_id = g.doc_id)
+select *, unknown or version_changed or manifest_changed or n_new > 0 or n_removed > 0 or changed <> '' as stale from o""")
 def q150(spark, sf):
-    """Hash maps of two states, compared by key."""
+    """Pages, in sections of four lines, against the states stored for them:
+    sections new, gone and changed, another version or manifest entry, no state."""
     d = table(spark, sf, "documents")
-    a = d.where("doc_id % 10 <> 0").select("doc_id", F.sha2("text", 256).alias("a"))
-    b = d.where("doc_id % 9 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("b"))
-    s = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("fresh")
-    return a.join(b, "doc_id", "full").select("doc_id", s.alias("state"))
+    lines = lambda t: F.split(t, "\n")
+    part = lambda t, k: F.struct(F.concat(F.lit("s"), k.cast("string")), F.sha2(F.array_join(F.slice(lines(t), 4 * k + 1, 4), "\n"), 256))
+    sections = lambda t: F.map_from_entries(F.transform(F.sequence(F.lit(0), F.floor((F.size(lines(t)) + 3) / 4).cast("int") - 1), lambda k: part(t, k)))
+    state = lambda t, manifest, version: [F.when(t.isNotNull(), sections(t)).alias("sections"), F.md5(manifest).alias("manifest"), version.alias("version")]
+    source = F.concat_ws("|", "lang", "source")
+    old = d.where("doc_id % 10 <> 0").withColumn("before", F.expr(_BEFORE.replace("{n}", r"\n").replace("{br}", r"'\n'")))
+    old = old.select("doc_id", *state(F.col("before"), F.when(F.col("doc_id") % 17 == 0, F.concat(source, F.lit("|"))).otherwise(source), F.when(F.col("doc_id") % 13 == 0, 1).otherwise(2)))
+    out = staleness(d.select("doc_id", *state(F.col("text"), source, F.lit(2))), old, "doc_id")
+    n = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return out.select("doc_id", "unknown", "version_changed", "manifest_changed", n("new"), n("removed"), F.array_join("changed", ",").alias("changed"), "stale")
 
 
 @query("q151_link_integrity", r"""with m as (select distinct split_part(text, ' ', 1) as name from documents), k as (select lower(name) as t from m union select 'home'),

@@ -6,10 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qualitylens.functions import commands as C
-from qualitylens.functions.scalar import noisy_or
 from qualitylens.functions.versions import satisfies
+from qualitylens.operators import lenses as L
 from qualitylens.plans.registry import query
-from qualitylens.session import scratch_folder, table
+from qualitylens.session import Scratch, scratch_folder, table
 from qualitylens.sources import files as S
 
 
@@ -171,31 +171,90 @@ def q152(spark, sf):
     return p.select("p_partkey", *[satisfies(F.col("v"), s).alias(n) for n, s in names.items()], satisfies(F.col("v"), "<30", True).alias("early"))
 
 
-_LENSES = """select p_partkey as target, 'purity' as lens, 0.8::double as confidence, 'support' as signal from part where p_size <= 20
-union all select p_partkey, 'mutation', least(p_size / 50.0::double, 1.0), 'support' from part where p_size / 50.0::double >= 0.3
-union all select p_partkey, 'specification', 1.0 - (p_partkey % 10) / 10.0::double, 'support' from part where p_type = 'ECONOMY' and p_partkey % 10 < 5
-union all select p_partkey, 'specification', (p_partkey % 10) / 10.0::double, 'oppose' from part where not (p_type = 'ECONOMY' and p_partkey % 10 < 5) and p_partkey % 10 >= 7
-union all select l_partkey, 'fan_in', least(count(*) / 100.0::double, 1.0), 'oppose' from lineitem group by 1 having count(*) >= 5"""
-
-
-@query("q178_lens_fusion", f"""with e as ({_LENSES}), g as (select target, 1 - coalesce(product(1 - confidence) filter (signal = 'support'), 1) as s, 1 - coalesce(product(1 - confidence) filter (signal = 'oppose'), 1) as o, count(distinct lens) filter (signal = 'support') as n from e group by 1)
-select target, round(greatest(s - o, 0), 4) as net, n as lenses, case when greatest(s - o, 0) >= 0.75 and n >= 3 then 'EXTRACT' when greatest(s - o, 0) >= 0.5 and n >= 2 then 'SPLIT' else 'INVESTIGATE' end as verdict from g""")
+_FUSED = """k as (select target, lens, signal, {c} as c, count(*) as n from e group by all),
+g as (select target, 1 - list_reduce(list_prepend(1.0::double, list(pow(1 - c, n) order by lens, c) filter (signal = 'support')), lambda x, y: x * y) as s,
+  1 - list_reduce(list_prepend(1.0::double, list(pow(1 - c, n) order by lens, c) filter (signal = 'oppose')), lambda x, y: x * y) as o, count(distinct lens) filter (signal = 'support') as lenses from k group by 1),
+u as (select target, lenses, greatest(s - o, 0) as net from g)"""
+_PARTS = """l as (select l_partkey, count(*) as n, count(*) filter (l_returnflag = 'R') / count(*)::double as ret, count(distinct l_suppkey) as sup, count(*) filter (l_linenumber = 1) as firsts, count(*) filter (l_linenumber = 7) as lasts from lineitem group by 1),
+p as (select *, p_partkey % 10 / 10.0::double as level from part left join l on p_partkey = l_partkey),
+f as (select a.l_partkey as a, b.l_partkey as b, count(*) as c from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2 group by all),
+e as (select p_partkey::varchar as target, 'purity' as lens, 0.8::double as confidence, 'support' as signal from p where p_size <= 20
+  union all select p_partkey::varchar, 'mutation', ret, 'support' from p where ret >= 0.3
+  union all select p_partkey::varchar, 'specification', 1 - level, 'support' from p where p_type in ('ECONOMY', 'STANDARD') and level < 0.5
+  union all select p_partkey::varchar, 'specification', level, 'oppose' from p where level >= 0.7
+  union all select p_partkey::varchar, 'composition_gap', least((n - 30) / 5.0::double, 1.0), 'support' from p where n > 30
+  union all select p_partkey::varchar, 'cohesion', greatest(1 - sup / n::double, 0.1), 'support' from p where sup / n::double < 0.5 or p_size % 3 > 1
+  union all select p_partkey::varchar, 'fan_in', least((n - 30) / 10.0::double, 1.0), 'oppose' from p where n - 30 >= 5
+  union all select p_partkey::varchar, 'fan_in', 0.4, 'support' from p where n - 30 <= 0
+  union all select p_partkey::varchar, 'dep_clustering', 0.5, 'support' from p where p_retailprice > 950
+  union all select p_partkey::varchar, 'assertion_quality', greatest(1 - (1 - ret), 0.1), 'support' from p where 1 - ret < 0.8 or ret > 0.4 or (ret is not null and p_size % 2 > 0)
+  union all select p_partkey::varchar, 'algebraic', 0.6, 'support' from p where p_partkey % 3 = 0 and p_size % 5 > 0
+  union all select p_partkey::varchar, 'algebraic', 0.5, 'oppose' from p where p_partkey % 3 = 1
+  union all select p_partkey::varchar, 'import_tracing', 0.6, 'oppose' from p where p_name like '%ring%'
+  union all select p_partkey::varchar, 'import_tracing', 0.4, 'support' from p where p_name not like '%ring%' and p_size % 5 <= 2 and p_partkey % 7 <= 3
+  union all select p_partkey::varchar, 'call_graph', least(sup / 16.0::double, 1.0), 'support' from p where sup >= 8
+  union all select p_partkey::varchar, 'contract_coverage', 0.5, 'support' from p where firsts > 0 and lasts = 0
+  union all select p_partkey::varchar, 'cross_channel', 0.5, 'support' from p where p_brand like '%1'
+  union all select a || '<->' || b, 'cochange', c / firsts::double, 'oppose' from f join p on a = p_partkey where c / firsts::double >= 0.4
+  union all select a || '<->' || b, 'cochange', greatest(1 - c / firsts::double, 0.1), 'support' from f join p on a = p_partkey where c / firsts::double < 0.4)"""
+
+
+@query("q178_lens_fusion", f"""with {_PARTS}, {_FUSED.replace("{c}", "confidence")}
+select target, round(net, 4) as net, lenses, case when net >= 0.75 and lenses >= 3 then 'EXTRACT' when net >= 0.5 and lenses >= 2 then 'SPLIT' else 'INVESTIGATE' end as verdict from u""")
 def q178(spark, sf):
-    """Wide metrics of a target turned into rows of evidence by lens, for and
-    against, united, and fused into a verdict."""
-    p = table(spark, sf, "part")
-    level, rate = (F.col("p_partkey") % 10) / 10.0, F.col("p_size") / 50.0
-    under = (F.col("p_type") == "ECONOMY") & (level < 0.5)
-    evidence = lambda lens, c, signal: F.struct(F.lit(lens).alias("lens"), c.cast("double").alias("confidence"), F.lit(signal).alias("signal"))
+    """Wide metrics of parts, and of pairs that open an order, turned into rows
+    of evidence by fourteen lenses, and fused into a verdict per target."""
+    li = table(spark, sf, "lineitem")
+    n = lambda cond, c: F.count_if(F.col(cond[0]) == cond[1]).alias(c)
+    by_supplier = li.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), n(("l_returnflag", "R"), "ret"), n(("l_linenumber", 1), "firsts"), n(("l_linenumber", 7), "lasts"))
+    by_part = by_supplier.groupBy(F.col("l_partkey").alias("p_partkey")).agg(*[F.sum(c).alias(c) for c in ("n", "ret", "firsts", "lasts")], F.count("*").alias("sup"))
+    p = Scratch(spark).save(table(spark, sf, "part").join(by_part, "p_partkey", "left"))
+    c, key = F.col, F.col("p_partkey")
+    share = c("ret") / c("n")
     lenses = [
-        F.when(F.col("p_size") <= 20, evidence("purity", F.lit(0.8), "support")),
-        F.when(rate >= 0.3, evidence("mutation", F.least(rate, F.lit(1.0)), "support")),
-        F.when(under, evidence("specification", 1 - level, "support")).when(level >= 0.7, evidence("specification", level, "oppose")),
+        L.purity(c("p_size") <= 20),
+        L.mutation(share),
+        L.specification((key % 10) / 10.0, F.when(c("p_type").isin("ECONOMY", "STANDARD"), "B").otherwise("A")),
+        L.composition_gap(c("n") - 30),
+        L.cohesion(c("sup") / c("n"), c("p_size") % 3),
+        L.fan_in(c("n") - 30),
+        L.dep_clustering(c("p_retailprice") > 950),
+        L.assertion_quality(1 - share, F.when(share > 0.4, 1).when(share.isNotNull(), c("p_size") % 2)),
+        L.algebraic(F.when(key % 3 == 0, "safe").when(key % 3 == 1, "unsafe").otherwise("unknown"), c("p_size") % 5),
+        L.import_tracing(c("p_name").contains("ring"), c("p_size") % 5, key % 7),
+        L.call_graph(c("sup")),
+        L.contract_coverage(c("firsts") > 0, c("lasts") > 0),
+        L.cross_channel(c("p_brand").endswith("1")),
     ]
-    e = p.select(F.col("p_partkey").alias("target"), F.explode(F.array_compact(F.array(*lenses))).alias("e")).select("target", "e.*")
-    n = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("target")).agg(F.count("*").alias("n")).where("n >= 5")
-    e = e.union(n.select("target", F.lit("fan_in"), F.least(F.col("n") / 100.0, F.lit(1.0)), F.lit("oppose")))
-    side = lambda s: noisy_or(F.collect_list(F.when(F.col("signal") == s, F.col("confidence"))))
-    g = e.groupBy("target").agg(F.greatest(side("support") - side("oppose"), F.lit(0.0)).alias("net"), F.countDistinct(F.when(F.col("signal") == "support", F.col("lens"))).alias("lenses"))
+    e = L.evidence(p, key.cast("string"), lenses)
+    a = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("a"))
+    b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("b"))
+    pairs = a.join(b, "l_orderkey").groupBy("a", "b").agg(F.count("*").alias("c")).join(p.select(key.alias("a"), "firsts"), "a")
+    e = e.union(L.evidence(pairs, F.concat_ws("<->", "a", "b"), [L.cochange(c("c") / c("firsts"))]))
+    g = L.fuse(e)
     verdict = F.when((F.col("net") >= 0.75) & (F.col("lenses") >= 3), "EXTRACT").when((F.col("net") >= 0.5) & (F.col("lenses") >= 2), "SPLIT").otherwise("INVESTIGATE")
     return g.select("target", F.round("net", 4).alias("net"), "lenses", verdict.alias("verdict"))
+
+
+_FILES = """f as (select p_brand || '/' || p_type as target, count(*) as m, count(distinct p_name) as names, count(*) filter (p_size > 30) as big from part group by 1),
+e as (select target, 'cohesion' as lens, greatest(1 - names / m::double, 0.1) as confidence, 'support' as signal from f where names / m::double < 0.5 or big % 4 > 1
+  union all select target, 'fan_in', least(m % 12 / 10.0::double, 1.0), 'oppose' from f where m % 12 >= 5
+  union all select target, 'fan_in', 0.4, 'support' from f where m % 12 <= 1
+  union all select target, 'cochange', big / m::double, 'oppose' from f where big / m::double >= 0.4
+  union all select target, 'cochange', greatest(1 - big / m::double, 0.1), 'support' from f where big / m::double < 0.4
+  union all select target, 'import_tracing', 0.6, 'oppose' from f where names % 5 = 0
+  union all select target, 'import_tracing', 0.4, 'support' from f where names % 5 <> 0 and m % 4 <= 2 and big % 5 <= 3)"""
+_WEIGHTED = "least(confidence * case lens when 'cohesion' then 2.0::double when 'fan_in' then 1.5::double else 1.0::double end, 1.0)"
+
+
+@query("q178_file_lenses", f"""with {_FILES}, {_FUSED.replace("{c}", _WEIGHTED)}
+select target, round(net, 4) as net, lenses, case when names / m::double < 0.3 and big % 4 >= 3 and net >= 0.5 and lenses >= 2 then 'SPLIT' when net >= 0.75 and lenses >= 3 then 'SPLIT' else 'INVESTIGATE' end as verdict from u join f using (target)""")
+def q178_files(spark, sf):
+    """The four lenses on files, weighted, and whether a file is to be split."""
+    p = table(spark, sf, "part").withColumn("target", F.concat_ws("/", "p_brand", "p_type"))
+    names = p.groupBy("target", "p_name").agg(F.count("*").alias("m"), F.count_if(F.col("p_size") > 30).alias("big"))
+    f = names.groupBy("target").agg(F.sum("m").alias("m"), F.count("*").alias("names"), F.sum("big").alias("big"))
+    m, big, n = F.col("m"), F.col("big"), F.col("names")
+    e = L.evidence(f, F.col("target"), [L.cohesion(n / m, big % 4), L.fan_in(m % 12, few=1), L.cochange(big / m), L.import_tracing(n % 5 == 0, m % 4, big % 5)])
+    u = L.fuse(e, L.FILE_WEIGHTS).join(f, "target")
+    return u.select("target", F.round("net", 4).alias("net"), "lenses", L.file_verdict(F.col("net"), F.col("lenses"), n / m, big % 4).alias("verdict"))
