@@ -6,6 +6,10 @@ driver. Graphs are edge tables (src, dst).
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,26 +140,78 @@ def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     return out.select(F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at - 1)).alias("path"))
 
 
-def set_cover(kills: DataFrame) -> DataFrame:
+#: Pairs of test and mutant that one task may hold.
+COVER_PAIRS = 4_000_000
+
+
+def _covered(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """The steps that greedy takes among the tests of a batch, until a test
+    outside (``edge_n``, ``edge_test``: the first of them) could come before."""
+    tests, t = np.unique(rows["test"].to_numpy(), return_inverse=True)
+    m = pd.factorize(rows["mutant"])[0]
+    by_test, by_mutant = np.argsort(t, kind="stable"), np.argsort(m, kind="stable")
+    of_test, of_mutant = m[by_test], t[by_mutant]
+    at_test, at_mutant = np.concatenate([[0], np.cumsum(np.bincount(t))]), np.concatenate([[0], np.cumsum(np.bincount(m))])
+    n, alive = np.bincount(t), np.ones(len(at_mutant) - 1, bool)
+    edge = rows["edge_n"].iloc[0]
+    edge = None if pd.isna(edge) else (-int(edge), rows["edge_test"].iloc[0])
+    heap = [(-int(c), k) for k, c in enumerate(n)]
+    heapq.heapify(heap)
+    steps = []
+    while heap:
+        c, k = heap[0]
+        if -c != n[k]:  # mutants have gone since
+            heapq.heapreplace(heap, (-int(n[k]), k)) if n[k] else heapq.heappop(heap)
+            continue
+        if edge is not None and (c, tests[k]) > edge:
+            break
+        heapq.heappop(heap)
+        steps.append((tests[k], -c))
+        hit = of_test[at_test[k] : at_test[k + 1]]
+        hit = hit[alive[hit]]
+        alive[hit] = False
+        np.subtract.at(n, np.concatenate([of_mutant[at_mutant[x] : at_mutant[x + 1]] for x in hit]), 1)
+    return pd.DataFrame(steps, columns=["test", "new"])
+
+
+def set_cover(kills: DataFrame, most: int = COVER_PAIRS) -> DataFrame:
     """Greedy cover: each step takes the test (least id of equals) that kills
     most of the mutants left. Returns step, test, new.
 
-    A round takes all tests that come first, by mutants left and then id, among
-    those that share any mutant left with them: greedy takes such a test with
-    just these mutants, whatever it takes elsewhere before. As the steps' counts
-    never rise, their order is that of new and then id. Nothing is collected.
+    Components that share no mutant do not touch each other, and as a step's
+    count never rises, the order of all steps is that of new and then id. A
+    round takes, of each component, the tests that come first by mutants left
+    and then id, up to ``most`` pairs, and greedy goes on among them within a
+    task until a test that stayed outside could come before; counts only fall, so
+    no other can. A component of up to ``most`` pairs is done in one round; a
+    first test with more pairs than that is the next step by itself. Nothing is
+    collected.
     """
     scratch = Scratch(kills.sparkSession)
-    left = scratch.save(kills.where("mutant is not null and test is not null").select("mutant", "test").distinct())
+    pairs = scratch.save(kills.where("mutant is not null and test is not null").select("mutant", "test").distinct())
+    least = pairs.groupBy("mutant").agg(F.min("test").alias("b"))
+    roots = components(pairs.join(least, "mutant").select(F.col("test").alias("a"), "b").distinct(), scratch)
+    left = scratch.save(pairs.join(roots.select(F.col("node").alias("test"), "root"), "test").select("root", "mutant", "test"))
+    scratch.drop(pairs)
+    kind = left.schema["test"].dataType.simpleString()
     parts = [scratch.save(left.where("false").select("test", F.lit(0).cast("long").alias("new")))]
     while left.limit(1).count():
-        n = left.groupBy("test").agg(F.count("*").alias("new"))
-        first = left.join(n, "test").groupBy("mutant").agg(F.min(F.struct(-F.col("new"), F.col("test"))).alias("first"))
-        won = first.groupBy(F.col("first.test").alias("test")).agg(F.count("*").alias("won"))
-        taken = scratch.save(n.join(won, "test").where("won = new").select("test", "new"))
+        n = left.groupBy("root", "test").agg(F.count("*").alias("n")).withColumn("less", -F.col("n"))
+        size = left.groupBy("root").agg(F.count("*").alias("size"))
+        # components of the first tests of all: whole, or cut at the last test that still fits
+        whole = n.join(size.where(F.col("size") <= most), "root").select("root", "test", "n", F.lit(None).cast("long").alias("edge_n"), F.lit(None).cast(kind).alias("edge_test"))
+        large = running(n.join(size.where(F.col("size") > most), "root").drop("size"), ["root", "less"], ["test"], upto=F.col("n"))
+        start = large.groupBy("root").agg(F.min("upto").alias("start"))
+        large = scratch.save(large.join(start, "root").withColumn("upto", F.col("upto") - F.col("start") + F.col("n")).select("root", "test", "n", "less", "upto"))
+        edge = large.where(F.col("upto") > most).groupBy("root").agg(F.min(F.struct("less", "test")).alias("edge"))
+        inside = large.where(F.col("upto") <= most).join(edge, "root").select("root", "test", "n", (-F.col("edge.less")).alias("edge_n"), F.col("edge.test").alias("edge_test"))
+        alone = large.where((F.col("upto") > most) & (F.col("upto") == F.col("n"))).select("test", F.col("n").alias("new"))
+        batch = left.join(whole.union(inside), ["root", "test"]).select("root", "mutant", "test", "edge_n", "edge_test")
+        taken = scratch.save(batch.groupBy("root").applyInPandas(_covered, f"test {kind}, new long").union(alone))
         gone = left.join(taken.select("test"), "test").select("mutant").distinct()
         after = scratch.save(left.join(gone, "mutant", "left_anti"))
         scratch.drop(left)
+        scratch.drop(large)
         left = after
         parts = _gathered([*parts, taken], scratch)
     steps = _union(parts).withColumn("first", -F.col("new"))

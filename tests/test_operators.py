@@ -68,6 +68,25 @@ def test_set_cover_is_greedy(spark):
     assert G.set_cover(df.where("false")).count() == 0
 
 
+def test_set_cover_takes_few_rounds_and_bounded_batches(spark, monkeypatch):
+    """Tests that all share mutants: not one step a round, and with small batches the same steps."""
+    import random
+
+    r, saved, save = random.Random(4), [], G.Scratch.save
+    monkeypatch.setattr(G.Scratch, "save", lambda self, df, by=None: (saved.append(1), save(self, df, by))[1])
+    kills = {f"{c}{t:02}": {(c, r.randrange(90)) for _ in range(r.randint(5, 20))} for c in "ab" for t in range(40)}
+    df = spark.createDataFrame([(f"{c}{m}", t) for t, ms in kills.items() for c, m in ms], "mutant string, test string")
+    left, want = set().union(*kills.values()), []
+    while left:
+        t = min(kills, key=lambda t: (-len(kills[t] & left), t))  # noqa: B023
+        want.append((len(want) + 1, t, len(kills[t] & left)))
+        left -= kills[t]
+    got = sorted(map(tuple, G.set_cover(df).collect()))
+    assert got == want and len(saved) < len(want)
+    for most in (12, 150):
+        assert sorted(map(tuple, G.set_cover(df, most).collect())) == want
+
+
 def test_folds_in_stretches_and_large_groups(spark):
     r = [((k * 37) % 50, k, float((k * 7919) % 13)) for k in range(300)]
     one = spark.createDataFrame([(1, t, i, v) for t, i, v in r], "k int, t int, i int, v double")
