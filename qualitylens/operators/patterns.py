@@ -1,25 +1,72 @@
-"""Joins with pattern tables: glob rules by their literal ends, and one pass of
+"""Joins with pattern tables: glob rules by their literals, and one pass of
 an automaton for many literal patterns."""
 
 from __future__ import annotations
 
-import fnmatch
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPECIAL = r"[*?\[]"
-
-
-def _fits(name: Column, pattern: Column) -> Column:
-    """Whether a file-name pattern (``*``, ``?``, ``[abc]``, ``[!abc]``) fits, in Arrow batches."""
-
-    @F.pandas_udf("boolean")
-    def run(names: pd.Series, patterns: pd.Series) -> pd.Series:
-        return pd.Series([fnmatch.fnmatchcase(n, p) for n, p in zip(names, patterns, strict=True)], index=names.index, dtype=bool)
-
-    return run(name, pattern)
+from qualitylens.session import Scratch
+
+_PARSED = "head string, head_n int, middle string, middle_n int, tail string, tail_n int, regex string"
+#: Heads of a shape that names are looked up in before they are keyed.
+HEADS = 64
+
+
+def _class(body: str) -> str:
+    """What ``[body]`` of a file-name pattern takes, as a regular expression."""
+    none, body, parts, k = body[0] == "!", body.removeprefix("!"), [], 0
+    esc = lambda c: c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}"
+    while k < len(body):
+        if k + 2 < len(body) and body[k + 1] == "-":
+            if body[k] <= body[k + 2]:
+                parts.append(f"{esc(body[k])}-{esc(body[k + 2])}")
+            elif not none and not parts and body[k + 3 :]:  # as if the empty range were not there
+                return _class(body[k + 3 :])
+            k += 3
+        else:
+            parts.append(esc(body[k]))
+            k += 1
+    if not parts:
+        return "." if none else "(?!)"
+    return f"[{'^' if none else ''}{''.join(parts)}]"
+
+
+def _glob(pattern: str) -> tuple:
+    """A file-name pattern (``*``, ``?``, ``[abc]``, ``[!abc]``) as ``_PARSED``:
+    the literals it begins and ends with, the longest one between, and the
+    regular expression of the whole."""
+    items, k = [], 0  # literals, stars, and what takes one character
+    while k < len(pattern):
+        c, k = pattern[k], k + 1
+        end = pattern.find("]", k + (pattern[k : k + 1] == "!") + 1) if c == "[" else -1
+        if end > 0:
+            items.append(("one", _class(pattern[k:end])))
+            k = end + 1
+        elif c == "*":
+            items += [("star", "")] if not items or items[-1][0] != "star" else []
+        elif c == "?":
+            items.append(("one", "."))
+        elif items and items[-1][0] == "text":
+            items[-1] = ("text", items[-1][1] + c)
+        else:
+            items.append(("text", c))
+    quoted = lambda t: "".join(c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}" for c in t)
+    runs = [[]]
+    for kind, x in items:
+        if kind == "star":
+            runs.append([])
+        else:
+            runs[-1].append(quoted(x) if kind == "text" else x)
+    runs = ["".join(r) for r in runs]
+    # the first place of a stretch between two stars is as good as any, so nothing is tried twice
+    regex = runs[0] + "".join(f"(?>.*?{r})" for r in runs[1:-1]) + (f".*{runs[-1]}" if len(runs) > 1 else "")
+    head = items[0][1] if items and items[0][0] == "text" else ""
+    tail = items[-1][1] if len(items) > 1 and items[-1][0] == "text" else ""
+    between = [x for kind, x in items[bool(head) : len(items) - bool(tail)] if kind == "text"]
+    middle = max(between, key=len, default="")
+    return head, len(head), middle, len(middle), tail, len(tail), rf"(?s)\A{regex}\z"
 
 
 def first_rule(rows: DataFrame, rules: DataFrame, name: str, pattern: str, order: str, match: str = "rule") -> DataFrame:
@@ -29,29 +76,51 @@ def first_rule(rows: DataFrame, rules: DataFrame, name: str, pattern: str, order
     patterns the first by ``order`` counts. Null names and null patterns match
     nothing; a column ``match`` of the rows is replaced.
 
-    Names and patterns meet at the patterns' literal beginnings, or, where a
-    pattern begins with a wildcard, at its literal end: an equality join on the
-    few lengths that occur, verified once per name. Only patterns that are
-    literal at neither end meet every name, as they must."""
+    Names and patterns meet where all literals of a pattern that are its
+    beginning, its end and the longest between agree with the name: an equality
+    join on the few shapes (three lengths) that occur, verified by the pattern's
+    regular expression. A name has a key for each place where a shape's middle
+    can stand. Only patterns of wildcards alone meet every name, as they must."""
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{name}`").alias("name"))
     p = F.col("p")
     rule = F.struct(*[F.col(f"`{c}`") for c in rules.columns])
     known = rules.select(rule.alias("rule"), F.col(f"`{pattern}`").alias("p"), F.col(f"`{order}`").alias("o")).where("p is not null")
     exact = known.where(~p.contains("*")).groupBy("p").agg(F.max_by("rule", "o").alias("whole")).withColumnRenamed("p", "name")
-    head, tail = F.regexp_extract(p, rf"(?s)^(.*?)(?:{_SPECIAL}|\z)", 1), F.regexp_extract(p, r"(?s)^.*[*?\]](.*)\z", 1)
-    globs = known.where(p.contains("*")).select("rule", "o", "p", F.when(F.length(head) > 0, F.struct(F.lit("head").alias("end"), head.alias("text"))).otherwise(F.struct(F.lit("tail").alias("end"), tail.alias("text"))).alias("key"))
-    ends = [(r.end, r.n) for r in globs.select("key.end", F.length("key.text").alias("n")).distinct().collect()]  # lengths of patterns
+
+    @F.pandas_udf(_PARSED)
+    def parsed(patterns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_glob(x) for x in patterns], columns=[c.split()[0] for c in _PARSED.split(", ")])
+
+    shape = ["head_n", "middle_n", "tail_n"]
+    globs = Scratch(rows.sparkSession).save(known.where(p.contains("*")).select("rule", "o", parsed(p).alias("g")).select("rule", "o", "g.*"))
+    # what a middle begins with, and the heads if they are few: names without them have no key
+    begin = F.substring("middle", 1, 2)
+    sets = lambda c, n: F.slice(F.collect_set(c), 1, n)
+    shapes = globs.groupBy(*shape).agg(sets("head", HEADS + 1).alias("heads"), sets(begin, HEADS + 1).alias("begins")).collect()  # lengths of patterns
     names = packed.select("name").where("name is not null").distinct()
-    cut = {"head": lambda n: F.substring("name", 1, n), "tail": lambda n: F.right("name", F.lit(n)) if n else F.lit("")}
-    keys = [F.when(F.length("name") >= n, F.struct(F.lit(e).alias("end"), cut[e](n).alias("text"))) for e, n in ends]
+
+    def keys(s) -> Column:
+        head, tail = F.substring("name", 1, s.head_n), F.right("name", F.lit(s.tail_n)) if s.tail_n else F.lit("")
+        key = lambda middle: F.struct(*[F.lit(s[c]).alias(c) for c in shape], head.alias("head"), middle.alias("middle"), tail.alias("tail"))
+        fits = F.length("name") >= s.head_n + s.middle_n + s.tail_n
+        if s.head_n and len(s.heads) <= HEADS:
+            fits &= head.isin(s.heads)
+        if not s.middle_n:
+            return F.when(fits, F.array(key(F.lit(""))))
+        at = F.sequence(F.lit(s.head_n + 1), F.length("name") - s.tail_n - s.middle_n + 1)
+        if len(s.begins) <= HEADS:
+            at = F.filter(at, lambda k: F.substr("name", k, F.lit(min(s.middle_n, 2))).isin(s.begins))
+        return F.when(fits, F.transform(F.array_distinct(F.transform(at, lambda k: F.substr("name", k, F.lit(s.middle_n)))), key))
+
     found = packed.select("name").where("false").select("name", F.lit(None).cast(known.schema["rule"].dataType).alias("glob"))
-    if keys:
-        met = names.select("name", F.explode(F.array_compact(F.array(*keys))).alias("key")).join(globs, "key")
-        met = met.where(_fits(F.col("name"), F.col("p")))
+    if shapes:
+        each = names.select("name", F.explode(F.flatten(F.array_compact(F.array(*[keys(s) for s in shapes])))).alias("key")).select("name", "key.*")
+        met = each.join(globs, [*shape, "head", "middle", "tail"]).where(F.expr("name rlike regex"))
         found = met.groupBy("name").agg(F.min_by("rule", "o").alias("glob"))
     out = packed.join(exact, "name", "left").join(found, "name", "left")
     return out.select(F.col("row").withField(match, F.coalesce("whole", "glob")).alias("row")).select("row.*")
 
+
 def exempted(rows: DataFrame, rules: DataFrame, linter: str, kind: str, file: str, aliases: dict[str, tuple[str, ...]], name: str = "exempt") -> DataFrame:
     """``rows`` with ``name``: whether an exemption covers each row.
 

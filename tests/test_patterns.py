@@ -29,6 +29,30 @@ def test_first_rule(spark):
     assert P.first_rule(rows, none, "name", "p", "o").where("rule is not null").count() == 0
 
 
+def test_globs_are_those_of_file_names(spark):
+    r = random.Random(1)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(r.randint(0, n)))
+    cases = [(some("ab*?[]!-^\\&~.", 9), some("ab[]!-^\\&.\n", 7)) for _ in range(4000)] + [("[]-?!a~]*", "&"), ("a[!]b]*é", "axé")]
+    rows = [(*c, P._glob(c[0])[-1]) for c in cases]
+    for x in spark.createDataFrame(rows, "p string, n string, regex string").select("p", "n", F.expr("n rlike regex").alias("fits")).collect():
+        assert x.fits == fnmatchcase(x.n, x.p), (x.p, x.n)
+
+
+def test_first_rule_meets_few_patterns(spark):
+    """Patterns that share their ends and differ between: names meet by all literals, not by one end."""
+    n = 3000
+    rules = spark.range(n).selectExpr("concat('O/?-H*::', id, '*') as p", "id as o").union(spark.range(n, 2 * n).selectExpr("concat('*::', id, '?')", "id")).union(spark.range(2 * n, 3 * n).selectExpr("concat('O/*', id)", "id"))
+    rows = spark.range(20_000).selectExpr("concat('O/', if(id % 2 = 0, '1-HIGH', '2-LOW'), '::', id) as name")
+    got = {x.name: x.rule and x.rule.o for x in P.first_rule(rows, rules, "name", "p", "o").collect()}
+    for k in range(0, 20_000, 7):
+        heads = [int(str(k)[:d]) for d in range(1, 6) if d <= len(str(k)) and str(int(str(k)[:d])) == str(k)[:d] and int(str(k)[:d]) < n] if k % 2 == 0 else []
+        less = [k // 10] if n <= k // 10 < 2 * n else []
+        tails = [int(str(k)[-d:]) for d in range(1, len(str(k)) + 1) if str(k)[-d] != "0" and 2 * n <= int(str(k)[-d:]) < 3 * n]
+        assert got[f"O/{'2-LOW' if k % 2 else '1-HIGH'}::{k}"] == min([*heads, *less, *tails], default=None)
+    plan = P.first_rule(rows, rules, "name", "p", "o")._jdf.queryExecution().executedPlan().toString()
+    assert "head#" in plan and "middle#" in plan and "tail#" in plan and "ArrowEvalPython" not in plan
+
+
 def test_pattern_hits(spark, monkeypatch):
     r = random.Random(5)
     word = lambda n: "".join(r.choice("abé ") for _ in range(r.randint(1, n)))
