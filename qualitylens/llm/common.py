@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qualitylens.session import ARROW_ROWS, arrow_batches  # noqa: F401
+
 #: The white space of every contract, for trimming and for patterns.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch. Texts of some 100 kB occur, so batches stay small.
-ARROW_ROWS = 1000
-
-
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows, and so the memory, of the batches sent to Python. The
-    setting is read when a query runs, not when it is made, so it stays in the
-    session; a caller's smaller bound is kept."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     inner = F.btrim(text, F.lit(SPACE_CHARS))

@@ -3,11 +3,15 @@ an automaton for many literal patterns."""
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualitylens.session import Scratch
+from qualitylens.session import Scratch, arrow_batches
 
 _PARSED = "head string, head_n int, middle string, middle_n int, tail string, tail_n int, regex string"
 #: Heads of a shape that names are looked up in before they are keyed.
@@ -156,29 +160,41 @@ def pattern_hits(rows: DataFrame, text: str, patterns: DataFrame, pattern: str,
     each row's ``text`` holds, how often (overlaps included) and where first, by
     pattern. Null texts hold nothing; null and empty patterns are left out.
 
-    All patterns are one automaton, run once over each text in Arrow batches. It
-    is bounded: more than ``MAX_CHARS`` characters of patterns are an error."""
+    All patterns are one automaton, made once a task and run once over each
+    text; what it finds goes into Arrow columns text by text. It is bounded: more
+    than ``MAX_CHARS`` characters of patterns are an error."""
     import ahocorasick
 
     known = patterns.select(F.col(f"`{pattern}`").alias("p")).where("p <> ''").distinct()
     size = known.agg(F.sum(F.length("p")).alias("n")).first().n or 0
     if size > MAX_CHARS:
         raise ValueError(f"{size} characters of patterns; an automaton holds {MAX_CHARS}")
-    shared = rows.sparkSession.sparkContext.broadcast([r.p for r in known.collect()])  # bounded above
+    spark = rows.sparkSession
+    arrow_batches(spark)
+    shared = spark.sparkContext.broadcast(sorted(r.p for r in known.collect()))  # bounded above
     kind = "array<struct<pattern: string, n: long, first: long>>"
 
-    @F.pandas_udf(kind)
-    def run(batches: pd.Series) -> pd.Series:
-        auto = ahocorasick.Automaton()
-        for p in shared.value:
-            auto.add_word(p, p)
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        auto, words = ahocorasick.Automaton(), pa.array(shared.value, pa.string())
+        for k, p in enumerate(shared.value):
+            auto.add_word(p, (k, len(p) - 1))
         auto.make_automaton()
-        out = []
-        for t in batches:
-            seen: dict[str, list] = {}
-            for end, p in auto.iter(t) if t and len(auto) else ():
-                seen.setdefault(p, [0, end + 1 - len(p)])[0] += 1
-            out.append([{"pattern": p, "n": n, "first": at} for p, (n, at) in sorted(seen.items())])
-        return pd.Series(out, index=batches.index, dtype=object)
+        for texts in batches:
+            ends, which, ns, firsts = array("i", [0]), array("i"), array("q"), array("q")
+            for text in texts:
+                t, seen = text.as_py(), {}
+                for end, (k, before) in auto.iter(t) if t and len(auto) else ():
+                    if k in seen:
+                        seen[k][0] += 1
+                    else:
+                        seen[k] = [1, end - before]
+                for k in sorted(seen):
+                    which.append(k)
+                    ns.append(seen[k][0])
+                    firsts.append(seen[k][1])
+                ends.append(len(which))
+            columns = [words.take(pa.array(which, pa.int32())), pa.array(ns, pa.int64()), pa.array(firsts, pa.int64())]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["pattern", "n", "first"]))
 
     return rows.withColumn(name, run(F.col(f"`{text}`")))

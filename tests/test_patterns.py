@@ -68,6 +68,22 @@ def test_pattern_hits(spark, monkeypatch):
         P.pattern_hits(df, "t", table, "p")
 
 
+def test_pattern_hits_take_small_batches(spark):
+    """Memory of Python: texts come by the thousand at most, and hits are never rows of Python objects."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        df = spark.range(3000).selectExpr("concat('abc', id) as t")
+        got = P.pattern_hits(df, "t", spark.createDataFrame([("abc",), ("9",)], "p string"), "p")
+        assert int(spark.conf.get(name)) <= 1000
+        assert "ArrowEvalPython" in (plan := got._jdf.queryExecution().toString()) and "hits" in plan
+        counts = {x.p: x.n for x in got.selectExpr("explode(hits) as h").groupBy("h.pattern").agg(F.sum("h.n").alias("n")).toDF("p", "n").collect()}
+        assert counts == {"abc": 3000, "9": sum(str(k).count("9") for k in range(3000))}
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_exemptions(spark):
     rules = [
         ("complexity", "a.py", None), ("radon", "src/a.py", ["K1"]), ("K9", "b.py", []), ("ruff", "b.py", ["K2"]), ("ruff", "b.py", ["K3"]),
