@@ -58,11 +58,47 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def layers(edges: DataFrame) -> DataFrame:
     """node, tier: the longest path from a source; members of cycles, and what
-    only they lead to, have tier null. Each round removes the nodes that
-    nothing left points to, until there are none."""
+    only they lead to, have tier null.
+
+    Rounds take off the nodes that point nowhere, with the edges to them, until
+    there are none; what cycles keep is dealt from its sources on. Then the
+    nodes taken off last come first: all edges to a node went together, so its
+    tier is one join with what is known of their starts and one maximum. Each
+    edge is so moved a few times, whatever the number of rounds."""
     scratch = Scratch(edges.sparkSession)
     left = scratch.save(edges.where("src <> dst").select("src", "dst").distinct())
-    nodes = scratch.save(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    peeled: list[DataFrame] = []
+    while left.limit(1).count():
+        split = left.join(left.select(F.col("src").alias("dst")).distinct().withColumn("on", F.lit(True)), "dst", "left")
+        split = scratch.save(split.select("src", "dst", F.col("on").isNotNull().alias("on")))
+        scratch.drop(left)
+        left = split.where("on").select("src", "dst")
+        off = split.where("not on").select("src", "dst")
+        if not off.limit(1).count():
+            break
+        peeled.append(off)
+    tier = F.lit(None).cast("int")
+    parts = [scratch.save(_from_sources(left, scratch)) if left.limit(1).count() else scratch.save(left.where("false").select(F.col("src").alias("node"), tier.alias("tier")))]
+    starts: list[DataFrame] = []
+    for off in reversed(peeled):
+        known = _union(parts).select(F.col("node").alias("src"), F.struct("tier").alias("known"))
+        met = scratch.save(off.join(known, "src", "left"))
+        # what nothing points to is not known: a source
+        starts.append(met.where("known is null").select("src").distinct())
+        above = F.when(F.col("known").isNull(), 0).otherwise(F.col("known.tier"))
+        new = met.groupBy(F.col("dst").alias("node")).agg(F.when(F.count(above) == F.count("*"), F.max(above) + 1).alias("tier"))
+        parts = _gathered([*parts, scratch.save(new)], scratch)
+    found = _union(parts)
+    if starts:
+        found = found.union(_union(starts).distinct().select("src", F.lit(0)))
+    alone = edges.where("not coalesce(src <> dst, false)").select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
+    return found.union(alone.join(found, "node", "left_anti").select("node", F.lit(0)))
+
+
+def _from_sources(left: DataFrame, scratch: Scratch) -> DataFrame:
+    """Tiers of a graph without loops on a node, by rounds that take off the
+    nodes that nothing left points to."""
+    nodes = scratch.save(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     parts, tier = [], 0
     while True:
         free = scratch.save(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("tier", F.lit(tier)))

@@ -68,7 +68,7 @@ def q133(spark, sf):
 select row_number() over (order by tier, coalesce(unlocks, 0) desc, node) as pos, node from t left join u on node = src""")
 def q134(spark, sf):
     """An order that respects dependencies, what unlocks most first within a tier."""
-    g = hierarchy(spark, sf)
+    g = Scratch(spark).save(hierarchy(spark, sf))
     u = g.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("unlocks"))
     t = G.layers(g).join(u, "node", "left").select("node", "tier", (-F.coalesce("unlocks", F.lit(0))).alias("less"), F.substring("node", 1, 4).alias("part"))
     return R.running(t, ["tier", "less", "part"], ["node"], pos=F.lit(1)).select((F.col("pos") + 1).alias("pos"), "node")

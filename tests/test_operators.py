@@ -45,6 +45,25 @@ def test_graphs(spark):
     assert {r.node: r.tier for r in G.layers(dag).collect()} == {1: 0, 2: 1, 3: 2, 7: None, 8: None}
 
 
+def test_layers_move_each_edge_few_times(spark, monkeypatch):
+    """A chain with a wide last layer: the wide part is not written anew each round; cycles, loops and shortcuts besides."""
+    wide, save = [], G.Scratch.save
+
+    def counted(self, df, by=None):
+        out = save(self, df, by)
+        wide.append(out.count() if {"src", "dst"} <= set(out.columns) else 0)
+        return out
+
+    monkeypatch.setattr(G.Scratch, "save", counted)
+    e = [(k, k + 1) for k in range(5)] + [(5, 100 + k) for k in range(400)] + [(0, 3), (2, 5), (9, 9), (0, 0)]
+    e += [(50, 51), (51, 52), (52, 51), (52, 53), (53, 54), (49, 50), (0, 54), (49, 1), (60, None)]
+    want = {k: k for k in range(6)} | {100 + k: 6 for k in range(400)} | {9: 0, 49: 0, 50: 1, 51: None, 52: None, 53: None, 54: None, 60: 0}
+    want |= {k: k for k in range(1, 6)}
+    got = G.layers(spark.createDataFrame(e, "src long, dst long")).collect()
+    assert {r.node: r.tier for r in got} == want and len(got) == len(want)
+    assert sum(wide) < 5 * len(e)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([([0.5, 0.5],), ([],), ([1.0, 0.2],)], "c array<double>")
     assert [round(r.x, 6) for r in df.select(X.noisy_or(F.col("c")).alias("x")).collect()] == [0.75, 0.0, 1.0]
