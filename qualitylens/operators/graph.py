@@ -56,6 +56,34 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             front = parts[0].where(F.col("hops") == hop)
 
 
+#: Rounds of ``closure`` that do not yet compare what is new with what was known.
+FREE_ROUNDS = 8
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst: all pairs of nodes with a path from the one to the other.
+
+    Each round puts an edge before the newest paths only, and only an edge whose
+    end had paths of the length before, so an edge that leads to nodes without
+    edges is read once. Paths of different lengths between the same nodes meet
+    once, at the end; a graph that goes on after ``FREE_ROUNDS`` may have cycles,
+    and from there on what is known is taken off each round. The rounds are as
+    many as the longest of the shortest paths has edges."""
+    scratch = Scratch(edges.sparkSession)
+    new = scratch.save(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    parts, lead, rounds = [new], new, 0
+    while True:
+        rounds += 1
+        lead = scratch.save(lead.join(lead.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        longer = lead.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        if rounds >= FREE_ROUNDS:
+            longer = longer.join(_union(parts), ["src", "dst"], "left_anti")
+        new = scratch.save(longer)
+        if not new.limit(1).count():
+            return _union(parts).distinct()
+        parts = [*_gathered(parts, scratch), new]
+
+
 def layers(edges: DataFrame) -> DataFrame:
     """node, tier: the longest path from a source; members of cycles, and what
     only they lead to, have tier null.

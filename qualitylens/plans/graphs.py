@@ -82,18 +82,8 @@ def q135(spark, sf):
 
 @query("q137_closure", f"""with recursive {HIERARCHY}, c as (select src, dst from g union select c.src, g.dst from c join g on c.dst = g.src) select src, dst from c""")
 def q137(spark, sf):
-    """Transitive closure, by doubling paths until nothing is new."""
-    scratch = Scratch(spark)
-    closed = scratch.save(hierarchy(spark, sf))
-    n = closed.count()
-    while True:
-        longer = closed.select("src", F.col("dst").alias("mid")).join(closed.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        wider = scratch.save(closed.union(longer).distinct())
-        scratch.drop(closed)
-        closed = wider
-        if (m := closed.count()) == n:
-            return closed
-        n = m
+    """Transitive closure."""
+    return G.closure(hierarchy(spark, sf))
 
 
 @query("q139_prefix_packages", f"""with {FIRST}, f as (select p_partkey as module, p_brand as dir, string_split(p_name, ' ')[1] as prefix, p_size = 1 and p_type = 'PROMO' as is_package from part where contains(p_name, ' ')),

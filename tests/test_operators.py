@@ -64,6 +64,23 @@ def test_layers_move_each_edge_few_times(spark, monkeypatch):
     assert sum(wide) < 5 * len(e)
 
 
+def test_closure_extends_the_newest_paths_only(spark, monkeypatch):
+    """Chains, shortcuts and a cycle; of a deep hierarchy the wide last layer is joined once a path, not again."""
+    e = [(k, k + 1) for k in range(11)] + [(0, 2), (20, 21), (21, 22), (22, 20), (22, 0), (30, 30), (None, 1)]
+    ahead = {}
+    for a, b in e:
+        ahead.setdefault(a, set()).add(b)
+    want = {(a, b) for a, bs in ahead.items() if a is not None for b in bs}
+    while more := {(a, c) for a, b in want for c in ahead.get(b, ())} - want:
+        want |= more
+    got = [tuple(r) for r in G.closure(spark.createDataFrame(e, "src long, dst long")).collect()]
+    assert sorted(got) == sorted(want)
+    tree, saved, save = [(0, 1), (1, 2), (2, 3)] + [(3, 10 + k) for k in range(300)], [], G.Scratch.save
+    monkeypatch.setattr(G.Scratch, "save", lambda self, df, by=None: (out := save(self, df, by), saved.append(out.count()))[0])
+    assert G.closure(spark.createDataFrame(tree, "src long, dst long")).count() == 1206
+    assert sum(saved) < 1300
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([([0.5, 0.5],), ([],), ([1.0, 0.2],)], "c array<double>")
     assert [round(r.x, 6) for r in df.select(X.noisy_or(F.col("c")).alias("x")).collect()] == [0.75, 0.0, 1.0]
