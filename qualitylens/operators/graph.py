@@ -180,14 +180,16 @@ def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     """All simple cycles of up to ``longest`` nodes, as arrays from their least
     node.
 
-    Paths grow by a join a step, within strongly connected components only, from
+    Edges from nodes that nothing points to, and to nodes that point nowhere, are
+    on no cycle and go, ``longest`` times. Then paths grow by a join a step, from
     the node of a cycle that has most edges and over nodes of fewer, so that no
-    path leads through a hub. The last step is a join on both its ends."""
+    path leads through a hub. The last step is a join on both its ends. The
+    rounds are as many as a cycle has nodes, whatever the graph."""
     scratch = Scratch(edges.sparkSession)
     e = scratch.save(edges.where("src <> dst").select("src", "dst").distinct())
-    c = scratch.save(strong_components(e))
-    end = lambda n: c.select(F.col("node").alias(n), F.col("root").alias(f"r_{n}"))
-    e = scratch.save(e.join(end("src"), "src").join(end("dst"), "dst").where("r_src = r_dst").select("src", "dst"))
+    for _ in range(longest):
+        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = scratch.save(e.select("src", "dst"))
     degree = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     rank = lambda n, to: degree.select(F.col("node").alias(n), F.struct("n", "node").alias(to))
     e = scratch.save(e.join(rank("src", "a"), "src").join(rank("dst", "b"), "dst"))

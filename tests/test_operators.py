@@ -81,6 +81,15 @@ def test_closure_extends_the_newest_paths_only(spark, monkeypatch):
     assert sum(saved) < 1300
 
 
+def test_cycles_take_a_fixed_number_of_rounds(spark, monkeypatch):
+    """Two triangles, a long chain between them and a long ring: no rounds along them."""
+    saved, save = [], G.Scratch.save
+    monkeypatch.setattr(G.Scratch, "save", lambda self, df, by=None: (saved.append(1), save(self, df, by))[1])
+    e = [(0, 1), (1, 2), (2, 0), (100, 101), (101, 102), (102, 100)] + [(2, 3), (12, 100)] + [(k, k + 1) for k in range(3, 12)] + [(200 + k, 200 + (k + 1) % 14) for k in range(14)]
+    assert sorted(r.path for r in G.cycles(spark.createDataFrame(e, "src long, dst long"), 3).collect()) == [[0, 1, 2], [100, 101, 102]]
+    assert len(saved) <= 6
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([([0.5, 0.5],), ([],), ([1.0, 0.2],)], "c array<double>")
     assert [round(r.x, 6) for r in df.select(X.noisy_or(F.col("c")).alias("x")).collect()] == [0.75, 0.0, 1.0]
