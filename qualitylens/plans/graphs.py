@@ -121,9 +121,16 @@ def q140(spark, sf):
 
 #: Fixed value: the least cosine of a match.
 _CUT = 0.15
+#: Meetings of a text's and a query's term that a task weighs, so that its table of pairs stays some 100 MB.
+_MEETINGS = 1_000_000
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))"
 
 
+def _parts(rows: int | None, each: int) -> int:
+    """Parts of at most ``each`` rows on average, one at least."""
+    return max(1, -(-(rows or 0) // each))
+
+
 @query("q141_tfidf_cosine", f"""with b as (select item_id, unnest({_WORDS}) as t, len({_WORDS}) as n from benchmark), d as (select doc_id, unnest({_WORDS}) as t, len({_WORDS}) as n from documents),
 df as (select t, count(*) as df from d group by t), m as (select count(*) as m from documents),
 w as (select d.doc_id, d.t, (ln((m + 1.0) / (df + 1)) + 1) / n as w from d join df using (t), m), q as (select item_id, b.t, (ln((m + 1.0) / (coalesce(df, 0) + 1)) + 1) / n as w from b left join df using (t), m),
@@ -133,33 +140,28 @@ r as (select *, row_number() over (partition by item_id order by cosine desc, do
 def q141(spark, sf):
     """The most similar texts of each query, at a cosine of ``_CUT`` or more.
 
-    A vector's scale cancels, so a weight is a term's rarity alone. A query's
-    terms go from the rarest on, and those whose remaining weights, all taken
-    together, cannot reach the cut do not join (a text's share of them is at most
-    their norm). Texts that meet a query are dropped if even the bound, with a
-    norm of at least the root of their number of terms, is below the cut; the
-    others are weighed whole. Each table is read once."""
+    A vector's scale cancels, so a weight is a term's rarity alone, one or more.
+    Texts are dealt by id into as many parts as keep the meetings of a text's and
+    a query's term in a part near ``_MEETINGS``, and each part weighs its texts
+    against all queries at once. A text's norm is at least the root of its number
+    of terms; pairs that even so are below the cut are dropped before norms are
+    taken. The documents are read once."""
     scratch = Scratch(spark)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("ws")
     d = scratch.save(table(spark, sf, "documents").select("doc_id", words))
     m = d.count()
     rarity = F.log((m + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     df = scratch.save(d.select(F.explode("ws").alias("t")).groupBy("t").agg(F.count("*").alias("df")))
-    q = table(spark, sf, "benchmark").select("item_id", words).select("item_id", F.explode("ws").alias("t")).join(df, "t", "left").select("item_id", "t", rarity.alias("x"))
-    rest = W.partitionBy("item_id").orderBy("x", "t")
-    q = q.withColumn("rest", F.sqrt(F.sum(F.col("x") * F.col("x")).over(rest))).withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("item_id"))))
+    q = table(spark, sf, "benchmark").select("item_id", words).select("item_id", F.explode("ws").alias("t")).join(df, "t", "left").select("item_id", "t", "df", rarity.alias("x"))
     q = scratch.save(q)
-    # rest: the norm of this term and all more frequent ones
-    probes = q.where(F.col("rest") >= F.col("norm") * _CUT).select("item_id", "t", "x")
-    left = q.groupBy("item_id").agg(F.max("norm").alias("norm"), F.coalesce(F.max(F.when(F.col("rest") < F.col("norm") * _CUT, F.col("rest"))), F.lit(0.0)).alias("left"))
-    met = d.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("t")).join(probes, "t").groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("part"))
-    met = met.join(left, "item_id").where(F.col("part") / F.sqrt("n") + F.col("left") >= F.col("norm") * (_CUT - 1e-6))
-    met = scratch.save(met.select("item_id", "doc_id", "norm"))
-    some = d.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("ws").alias("t")).join(df, "t").select("doc_id", "t", rarity.alias("x"))
-    some = scratch.save(some)
-    norms = some.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
-    dots = some.select("doc_id", "t").join(q.select("item_id", "t", "x"), "t").groupBy("item_id", "doc_id").agg(F.sum(F.col("x") * F.col("x")).alias("dot"))
-    z = dots.join(met, ["item_id", "doc_id"]).join(norms, "doc_id")
+    norms = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    parts = _parts(q.agg(F.sum("df")).first()[0], _MEETINGS)
+    dots = d.repartition(parts, "doc_id").select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("t")).join(q.select("item_id", "t", "x"), "t")
+    dots = dots.groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("dot"))
+    # cosines are rounded to four places
+    met = scratch.save(dots.join(norms, "item_id").where(F.col("dot") / F.sqrt("n") >= F.col("norm") * (_CUT - 1e-4)).select("item_id", "doc_id", "norm", "dot"))
+    some = d.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("ws").alias("t")).join(df, "t").select("doc_id", rarity.alias("x"))
+    z = met.join(some.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s")), "doc_id")
     z = z.select("item_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("s")), 4).alias("cosine")).where(F.col("cosine") >= _CUT)
     r = z.withColumn("rn", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id")))
     return r.where("rn <= 5").select("item_id", "doc_id", "cosine")
