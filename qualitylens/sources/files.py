@@ -50,21 +50,39 @@ def json_documents(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def _coverage(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     parts = ", ".join(f"{s}_lines: array<int>" for s in ("executed", "missing", "excluded"))
     schema = f"files map<string, struct<{parts}, missing_branches: array<array<int>>>>"
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path).select(F.explode("files").alias("file", "c"))
+    reader = spark.read.schema(schema).option("multiLine", multi_line)
+    if not multi_line:
+        # paths are ever new names, and Jackson copies its table of names for each
+        # line: with the encoding named it takes a smaller table, half the time
+        reader = reader.option("encoding", "UTF-8")
+    return reader.json(path).select(F.explode("files").alias("file", "c"))
+
+
+def coverage_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """file, executed, missing, excluded (arrays of lines), branches (an array of
+    from_line, to_line): each file of each coverage report, parsed once; what a
+    report lacks is empty. Reports are one a file, or one a line without
+    ``multi_line``; those that do not parse are skipped. Branches are those never
+    taken, as far as they are pairs; those to a line below 0 are made up by the
+    tool and left out."""
+    lines = lambda s: F.coalesce(F.col(f"c.{s}_lines"), F.array().cast("array<int>")).alias(s)
+    pairs = F.filter("c.missing_branches", lambda b: (F.size(b) == 2) & (F.get(b, 1) >= 0))
+    branches = F.transform(F.coalesce(pairs, F.array().cast("array<array<int>>")), lambda b: F.struct(F.get(b, 0).alias("from_line"), F.get(b, 1).alias("to_line")))
+    return _coverage(spark, path, multi_line).select("file", *[lines(s) for s in ("executed", "missing", "excluded")], branches.alias("branches"))
 
 
 def coverage_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """file, line, state (executed, missing, excluded) of coverage reports: one a
     file, or one a line without ``multi_line``; reports that do not parse are skipped."""
-    states = F.map_from_arrays(F.array(*[F.lit(s) for s in ("executed", "missing", "excluded")]), F.array("c.executed_lines", "c.missing_lines", "c.excluded_lines"))
-    return _coverage(spark, path, multi_line).select("file", F.explode(states).alias("state", "lines")).select("file", F.explode("lines").alias("line"), "state")
+    names = ("executed", "missing", "excluded")
+    states = F.map_from_arrays(F.array(*[F.lit(s) for s in names]), F.array(*names))
+    return coverage_files(spark, path, multi_line).select("file", F.explode(states).alias("state", "lines")).select("file", F.explode("lines").alias("line"), "state")
 
 
 def coverage_branches(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """file, from_line, to_line: branches never taken, as far as they are pairs;
     those to a line below 0 are made up by the tool and left out."""
-    b = _coverage(spark, path, multi_line).select("file", F.explode("c.missing_branches").alias("b")).where(F.size("b") == 2)
-    return b.select("file", F.col("b")[0].alias("from_line"), F.col("b")[1].alias("to_line")).where("to_line >= 0")
+    return coverage_files(spark, path, multi_line).select("file", F.explode("branches").alias("b")).select("file", "b.*")
 
 
 def decode_numbits(bits: Column) -> Column:

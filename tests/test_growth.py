@@ -36,3 +36,12 @@ def test_cosines_that_round_up_to_the_cut_are_kept(spark, tmp_path):
     spark.createDataFrame([(1, words(5) + " unknown word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = same_as_sql(spark, "q141_tfidf_cosine", tmp_path, "documents", "benchmark")
     assert got == [(1, k, 0.15) for k in range(5)]  # 0.14996 before it is rounded
+
+
+def test_coverage_reports_are_parsed_once_and_no_file_is_lost(spark, tmp_path):
+    rows = [(o, (o * k) % 9, k, "NRAO"[(o + k) % 4], 5 * o + k) for o in range(60) for k in range(1, 6)] + [(1, 99, 1, "O", 3), (1, 98, 2, "R", 9), (1, 98, 2, "R", 9)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = same_as_sql(spark, "q005_coverage_json", tmp_path, "lineitem")
+    assert ("part/99", 0, 0, 0, 0, 0) in got
+    df = __spark_entry__.queries()["q005_coverage_json"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan json") == 1

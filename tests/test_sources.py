@@ -51,3 +51,12 @@ def test_numbits_retention_generation(spark):
     assert sorted(r.run_id for r in S.retained(runs, 2).collect()) == [3, 4, 9]
     state = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("j", 1, "x")], "key string, generation int, v string")
     assert {r.key: r.v for r in S.newest_generation(state, "key").collect()} == {"k": "new", "j": "x"}
+
+
+def test_coverage_reports_a_line(spark, tmp_path):
+    files = [{"é/x.py": {"executed_lines": [1, None], "missing_branches": [[1, 2], [2, -1], [3], [4, None], None]}, "y.py": {}}, {"é/x.py": {"excluded_lines": [7], "missing_branches": None}}]
+    (tmp_path / "c.json").write_bytes(b"\r\n".join(json.dumps({"files": f}, ensure_ascii=False).encode() for f in files) + b"\n{broken\n\n")
+    got = sorted(tuple(r) for r in S.coverage_files(spark, str(tmp_path / "c.json"), False).collect())
+    assert got == [("y.py", [], [], [], []), ("é/x.py", [], [], [7], []), ("é/x.py", [1, None], [], [], [(1, 2)])]
+    assert sorted(tuple(r)[1:] for r in S.coverage_json(spark, str(tmp_path / "c.json"), False).collect() if r.line) == [(1, "executed"), (7, "excluded")]
+    assert [tuple(r) for r in S.coverage_branches(spark, str(tmp_path / "c.json"), False).collect()] == [("é/x.py", 1, 2)]
