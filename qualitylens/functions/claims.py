@@ -6,6 +6,11 @@ facet and those of its own. One or more makes it a likely claim.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from itertools import groupby
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +55,57 @@ RULES = (
     ("abstractions", 1, r"\*\*\w+(?:\s+\w+){0,3}\*\*"),
 )
 
+#: For each rule, by its place: words in lower case of which a sentence that matches has one at least,
+#: at a word's start if the pattern begins with one.
+NEEDS = (
+    ("because", "since", "therefore", "thus", "hence", "so that"),
+    ("rather than", "instead of", "not by", "unlike"),
+    ("key", "core", "fundamental", "central", "critical", "essential"),
+    ("emerge", "enable", "ensure", "provide", "demonstrate"),
+    ("is defined as", "we define", "the definition"),
+    ("theory", "principle", "axiom", "invariant", "postulate"),
+    ("hypothes", "conjecture", "research question"),
+    ("this work", "this project", "this research"),
+    ("easier", "better", "tractable", "efficient", "guided"),
+    ("transform",),
+    ("scan", "parse", "split", "classif", "extract", "deduplicat", "score", "report"),
+    ("step", "phase", "pipeline", "workflow", "process"),
+    ("first", "then", "next", "finally"),
+    ("**lesson",),
+    ("the fix was", "the solution was", "the workaround was"),
+    ("ruin", "break", "destroy", "undermine", "bypass"),
+    ("proper", "correct", "aligned", "right way"),
+    ("goal is", "purpose is", "point is"),
+    ("nongoal", "non-goal", "non goal", "not a goal", "out of scope"),
+    ("primary objective", "secondary objective"),
+    ("why",),
+    ("design", "chose", "decided", "tradeoff", "trade-off"),
+    ("**rationale**",),
+    ("decompos", "modular", "separation of concerns", "drop"),
+    ("o(n", "quadratic", "exponential", "vectori", "batch", "performance", "latency", "throughput"),
+    ("ruin", "break", "destroy", "fail"),
+    ("black", "monolith", "hard", "ad", "hack", "workaround"),
+    ("trying harder", "premature", "overfitting", "scope creep"),
+    ("provides", "channel", "linter", "tier", "analysis"),
+    ("provides", "returns", "supports", "contains", "includes"),
+    ("we call", "we define", "we term", "is called", "known as", "refers to"),
+    ("**",),
+)
+
+
+def _any(bound: bool) -> str:
+    """A pattern of the needs of rules that add to a score, dealt by first
+    letter: of those whose patterns begin at a word's start, or of the others."""
+    needs = sorted({w for (_, n, p), words in zip(RULES, NEEDS, strict=True) if n > 0 and p.startswith(r"(?i)\b") == bound for w in words})
+    letters = {re.escape(c): "|".join(re.escape(w[1:]) for w in words) for c, words in groupby(needs, key=lambda w: w[0])}
+    return r"(?i)" + (r"\b" if bound else "") + f"(?=[{''.join(letters)}])(?:" + "|".join(f"{c}(?:{rest})" for c, rest in letters.items()) + ")"
+
+
+def may_claim(sentence: Column) -> Column:
+    """False only for sentences that no rule adds to, whose scores are 0 or
+    less: two patterns in place of all."""
+    return sentence.rlike(_any(True)) | sentence.rlike(_any(False))
+
 
 def sentences(text: Column) -> Column:
     """The sentences of a text: paragraphs, but for tables and checklists, cut
@@ -63,12 +119,16 @@ def sentences(text: Column) -> Column:
 
 def claim_scores(sentence: Column) -> Column:
     """An array of (facet, score), one for each of ``FACETS``: the weights of
-    the patterns that a sentence matches, summed; each pattern is tried once.
-    A null sentence scores 0."""
-    hits = F.array(*[F.when(sentence.rlike(pattern), weight).otherwise(0) for _, weight, pattern in RULES])
+    the patterns that a sentence matches, summed; each pattern is tried once,
+    and only on a sentence that has a word of its ``NEEDS``. A null sentence
+    scores 0."""
+
+    def hits(low: Column) -> Column:
+        has = lambda words: reduce(or_, [low.contains(w) for w in words])
+        return F.array(*[F.when(has(words) & sentence.rlike(pattern), weight).otherwise(0) for (_, weight, pattern), words in zip(RULES, NEEDS, strict=True)])
 
     def of(h: Column) -> Column:
         total = lambda f: sum((h[k] for k, (of, _, _) in enumerate(RULES) if of in (None, f)), F.lit(0))
         return F.array(*[F.struct(F.lit(f).alias("facet"), total(f).alias("score")) for f in FACETS])
 
-    return F.transform(F.array(hits), of)[0]
+    return F.transform(F.transform(F.array(F.lower(sentence)), hits), of)[0]

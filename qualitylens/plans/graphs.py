@@ -224,7 +224,7 @@ select doc_id, facet, count(*) as claims, max(score)::int as score, first(s orde
 def q145(spark, sf):
     """The likely claims of each document and facet, and the strongest, the first of equals."""
     text = F.concat(F.coalesce("text", F.lit("")), F.expr(_NOTES.replace("{n}", r"\n")))
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(CL.sentences(text)).alias("k", "s"))
+    s = table(spark, sf, "documents").select("doc_id", F.posexplode(CL.sentences(text)).alias("k", "s")).where(CL.may_claim(F.col("s")))
     c = s.select("doc_id", "k", "s", F.explode(CL.claim_scores(F.col("s"))).alias("c")).where("c.score >= 1")
     best = F.max(F.struct("c.score", -F.col("k"), "s")).alias("best")
     g = c.groupBy("doc_id", F.col("c.facet").alias("facet")).agg(F.count("*").alias("claims"), best)

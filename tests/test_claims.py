@@ -118,3 +118,20 @@ def test_file_verdicts(spark):
     df = spark.createDataFrame(rows, "net double, lenses int, score double, parts int")
     got = [r.v for r in df.select(L.file_verdict(*[F.col(c) for c in df.columns]).alias("v")).collect()]
     assert got == ["SPLIT", "INVESTIGATE", "SPLIT", "INVESTIGATE", "SPLIT"]
+
+
+def test_sentences_that_pass_no_gate_score_nothing(spark):
+    """Every rule matches one of these; the gates must let each of them through."""
+    some = "Thus|SINCE x|rather than|not by|key|Emerges|we define|is defined as|the definition|axiom|we hypothesize|a hypothesis|research question|xthis work tests|This project explores|easier x than|transform it into|Classified|deduplicates|workflow|finally|**Lesson|the fix was|xthe Workaround was"
+    some += "|it will break|bypass|right way|point is|non goal|nongoal|non-goal|not a goal|out of scope|secondary objective|why x instead|trade-off|tradeoff|**Rationale**|decomposed|drop-in|dropin|separation of concerns|O(n|vectorize|vectoris|can  fail|black box|blackbox|hard-coded|hardcode|adhoc|ad-hoc|ad hoc"
+    some += "|trying harder|scope creep|we call|we term|is called|known as|refers to|x**a b c**|tier|it returns|plain words|thennot|"
+    df = spark.createDataFrame([(s,) for s in some.split("|")] + [(f"é {s.upper()}, é",) for s in some.split("|")] + [(None,)], "s string")
+    plain = F.array(*[F.coalesce(F.col("s").rlike(p), F.lit(False)).cast("int") * w for _, w, p in CL.RULES])
+    rows = df.select("s", plain.alias("h"), CL.claim_scores(F.col("s")).alias("c"), CL.may_claim(F.col("s")).alias("may")).collect()
+    for r in rows:
+        want = {f: sum(h for h, (of, _, _) in zip(r.h, CL.RULES) if of in (None, f)) for f in CL.FACETS}
+        assert {c.facet: c.score for c in r.c} == want, r.s
+        assert r.may or max(want.values()) < 1, r.s
+    assert all(any(r.h[k] for r in rows) for k in range(len(CL.RULES)))
+    assert [r.may for r in rows if r.s in ("plain words", "it returns", "tier", None)] == [False, False, False, None]
+    assert len(CL.NEEDS) == len(CL.RULES)
