@@ -9,12 +9,14 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qualitylens.operators.relational import running
-from qualitylens.session import Scratch
+from qualitylens.session import Scratch, arrow_batches
 
 
 def _gathered(parts: list[DataFrame], scratch: Scratch) -> list[DataFrame]:
@@ -208,36 +210,68 @@ def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
 
 #: Pairs of test and mutant that one task may hold.
 COVER_PAIRS = 4_000_000
-
-
-def _covered(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """The steps that greedy takes among the tests of a batch, until a test
-    outside (``edge_n``, ``edge_test``: the first of them) could come before."""
-    tests, t = np.unique(rows["test"].to_numpy(), return_inverse=True)
-    m = pd.factorize(rows["mutant"])[0]
-    by_test, by_mutant = np.argsort(t, kind="stable"), np.argsort(m, kind="stable")
-    of_test, of_mutant = m[by_test], t[by_mutant]
-    at_test, at_mutant = np.concatenate([[0], np.cumsum(np.bincount(t))]), np.concatenate([[0], np.cumsum(np.bincount(m))])
-    n, alive = np.bincount(t), np.ones(len(at_mutant) - 1, bool)
-    edge = rows["edge_n"].iloc[0]
-    edge = None if pd.isna(edge) else (-int(edge), rows["edge_test"].iloc[0])
+#: Mutants of a test that travel in one row.
+COVER_ROW = 1024
+
+
+def _covered(rows: pa.Table) -> pa.Table:
+    """The mutants that greedy's steps take among the tests of a batch (each test
+    with some of its mutants a row), until a test outside (``edge_n``,
+    ``edge_test``: the first of them) could come before."""
+    t = rows["test"].combine_chunks().dictionary_encode()
+    by = pc.sort_indices(t.dictionary)
+    tests = t.dictionary.take(by)
+    rank = np.empty(len(by), np.int64)
+    rank[by.to_numpy()] = np.arange(len(by))
+    t = rank[t.indices.to_numpy()]
+    by = np.argsort(t, kind="stable")
+    lists = rows["mutants"].take(pa.array(by)).combine_chunks()
+    n = np.zeros(len(tests), np.int64)
+    np.add.at(n, t[by], lists.value_lengths().to_numpy())
+    m = lists.flatten().dictionary_encode()
+    del lists
+    mutants, of_test = m.dictionary, m.indices.to_numpy()
+    at_test = np.concatenate([[0], np.cumsum(n)])
+    of_mutant = np.repeat(np.arange(len(tests), dtype=np.int32), n)[np.argsort(of_test, kind="stable")]
+    at_mutant = np.concatenate([[0], np.cumsum(np.bincount(of_test))])
+    alive = np.ones(len(mutants), bool)
+    edge = rows["edge_n"][0].as_py()
+    if edge is not None:
+        edge = (-edge, pc.sum(pc.less(tests, rows["edge_test"][0])).as_py())
     heap = [(-int(c), k) for k, c in enumerate(n)]
     heapq.heapify(heap)
-    steps = []
+    steps, hits = [], []
     while heap:
         c, k = heap[0]
         if -c != n[k]:  # mutants have gone since
             heapq.heapreplace(heap, (-int(n[k]), k)) if n[k] else heapq.heappop(heap)
             continue
-        if edge is not None and (c, tests[k]) > edge:
+        if edge is not None and (c, k) >= edge:
             break
         heapq.heappop(heap)
-        steps.append((tests[k], -c))
         hit = of_test[at_test[k] : at_test[k + 1]]
         hit = hit[alive[hit]]
         alive[hit] = False
         np.subtract.at(n, np.concatenate([of_mutant[at_mutant[x] : at_mutant[x + 1]] for x in hit]), 1)
-    return pd.DataFrame(steps, columns=["test", "new"])
+        steps.append(np.full(len(hit), k))
+        hits.append(hit)
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"test": tests.take(pa.array(np.concatenate(steps or none))), "mutant": mutants.take(pa.array(np.concatenate(hits or none)))})
+
+
+def _shared(kills: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The distinct pairs (mutant, test), and of each test its component and how
+    many mutants it kills (test, root, n).
+
+    A test takes the least test of all that it shares a mutant with; links are
+    needed only where those that a mutant's tests took differ."""
+    pairs = kills.where("mutant is not null and test is not null").select("mutant", "test").distinct()
+    pairs = scratch.save(pairs.withColumn("least", F.min("test").over(W.partitionBy("mutant"))))  # a mutant has as many rows as tests at most
+    tests = scratch.save(pairs.groupBy("test").agg(F.min("least").alias("a"), F.count("*").alias("n")))
+    links = pairs.join(tests.select("test", "a"), "test").join(tests.select(F.col("test").alias("least"), F.col("a").alias("b")), "least")
+    roots = components(links.where("a <> b").select("a", "b").distinct(), scratch).withColumnRenamed("node", "a")
+    tests = tests.join(roots, "a", "left").select("test", F.coalesce("root", "a").alias("root"), "n")
+    return pairs, scratch.save(tests)
 
 
 def set_cover(kills: DataFrame, most: int = COVER_PAIRS) -> DataFrame:
@@ -250,37 +284,54 @@ def set_cover(kills: DataFrame, most: int = COVER_PAIRS) -> DataFrame:
     and then id, up to ``most`` pairs, and greedy goes on among them within a
     task until a test that stayed outside could come before; counts only fall, so
     no other can. A component of up to ``most`` pairs is done in one round; a
-    first test with more pairs than that is the next step by itself. Nothing is
-    collected.
+    first test with more pairs than that is the next step by itself. A round
+    reads the pairs, for the tests it takes and for what the others lose; they
+    are written anew once a quarter is gone. One sum a round reaches the driver.
     """
     scratch = Scratch(kills.sparkSession)
-    pairs = scratch.save(kills.where("mutant is not null and test is not null").select("mutant", "test").distinct())
-    least = pairs.groupBy("mutant").agg(F.min("test").alias("b"))
-    roots = components(pairs.join(least, "mutant").select(F.col("test").alias("a"), "b").distinct(), scratch)
-    left = scratch.save(pairs.join(roots.select(F.col("node").alias("test"), "root"), "test").select("root", "mutant", "test"))
-    scratch.drop(pairs)
-    kind = left.schema["test"].dataType.simpleString()
-    parts = [scratch.save(left.where("false").select("test", F.lit(0).cast("long").alias("new")))]
-    while left.limit(1).count():
-        n = left.groupBy("root", "test").agg(F.count("*").alias("n")).withColumn("less", -F.col("n"))
-        size = left.groupBy("root").agg(F.count("*").alias("size"))
+    arrow_batches(kills.sparkSession)
+    left, counts = _shared(kills, scratch)
+    kind, of = (left.schema[c].dataType.simpleString() for c in ("test", "mutant"))
+    parts = [scratch.save(left.where("false").select("test", "mutant"))]
+    gone: list[DataFrame] = []  # mutants taken since the pairs were written
+    alive = lambda rows: rows.join(_union(gone), "mutant", "left_anti") if gone else rows
+    written = pairs = counts.agg(F.sum("n")).first()[0]
+    while pairs:
         # components of the first tests of all: whole, or cut at the last test that still fits
-        whole = n.join(size.where(F.col("size") <= most), "root").select("root", "test", "n", F.lit(None).cast("long").alias("edge_n"), F.lit(None).cast(kind).alias("edge_test"))
-        large = running(n.join(size.where(F.col("size") > most), "root").drop("size"), ["root", "less"], ["test"], upto=F.col("n"))
-        start = large.groupBy("root").agg(F.min("upto").alias("start"))
-        large = scratch.save(large.join(start, "root").withColumn("upto", F.col("upto") - F.col("start") + F.col("n")).select("root", "test", "n", "less", "upto"))
-        edge = large.where(F.col("upto") > most).groupBy("root").agg(F.min(F.struct("less", "test")).alias("edge"))
-        inside = large.where(F.col("upto") <= most).join(edge, "root").select("root", "test", "n", (-F.col("edge.less")).alias("edge_n"), F.col("edge.test").alias("edge_test"))
-        alone = large.where((F.col("upto") > most) & (F.col("upto") == F.col("n"))).select("test", F.col("n").alias("new"))
-        batch = left.join(whole.union(inside), ["root", "test"]).select("root", "mutant", "test", "edge_n", "edge_test")
-        taken = scratch.save(batch.groupBy("root").applyInPandas(_covered, f"test {kind}, new long").union(alone))
-        gone = left.join(taken.select("test"), "test").select("mutant").distinct()
-        after = scratch.save(left.join(gone, "mutant", "left_anti"))
-        scratch.drop(left)
-        scratch.drop(large)
-        left = after
-        parts = _gathered([*parts, taken], scratch)
-    steps = _union(parts).withColumn("first", -F.col("new"))
+        tests = scratch.save(counts.join(counts.groupBy("root").agg((F.sum("n") <= most).alias("whole")), "root"))
+        batch = tests.where("whole").select("root", "test", "n", F.lit(None).cast("long").alias("edge_n"), F.lit(None).cast(kind).alias("edge_test"))
+        more = tests.where("not whole").limit(1).count()
+        if more:
+            large = running(tests.where("not whole").withColumn("less", -F.col("n")), ["root", "less"], ["test"], upto=F.col("n"))
+            start = large.groupBy("root").agg(F.min("upto").alias("start"))
+            large = scratch.save(large.join(start, "root").withColumn("upto", F.col("upto") - F.col("start") + F.col("n")).select("root", "test", "n", "less", "upto"))
+            edge = large.where(F.col("upto") > most).groupBy("root").agg(F.min(F.struct("less", "test")).alias("edge"))
+            inside = large.where(F.col("upto") <= most).join(edge, "root")
+            batch = scratch.save(batch.union(inside.select("root", "test", "n", (-F.col("edge.less")).alias("edge_n"), F.col("edge.test").alias("edge_test"))))
+        share = F.pmod(F.xxhash64("mutant"), F.ceil(F.col("n") / COVER_ROW)).alias("share")
+        rows = alive(left.join(batch, "test")).groupBy("root", "test", "edge_n", "edge_test", share).agg(F.collect_list("mutant").alias("mutants"))
+        taken = rows.drop("share").groupBy("root").applyInArrow(_covered, f"test {kind}, mutant {of}")
+        if more:
+            alone = large.where((F.col("upto") > most) & (F.col("upto") == F.col("n"))).select("test")
+            taken = taken.union(alive(left.join(alone, "test")).select("test", "mutant"))
+        taken = scratch.save(taken)
+        parts.append(taken)
+        if not more:
+            break
+        gone.append(taken.select("mutant"))
+        lost = left.join(gone[-1], "mutant").groupBy("test").agg(F.count("*").alias("lost"))
+        less = tests.join(lost, "test", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).where("n > 0").select("test", "root", "n")
+        scratch.drop(counts)
+        counts = scratch.save(less)
+        pairs = counts.agg(F.sum("n")).first()[0]
+        for old in (tests, large, batch):
+            scratch.drop(old)
+        if pairs and 4 * pairs <= 3 * written:
+            after = scratch.save(alive(left).select("mutant", "test"))
+            scratch.drop(left)
+            left, written, gone = after, pairs, []
+            parts = _gathered(parts, scratch)
+    steps = _union(parts).groupBy("test").agg(F.count("*").alias("new")).withColumn("first", -F.col("new"))
     return running(steps, ["first"], ["test"], step=F.lit(1)).select((F.col("step") + 1).alias("step"), "test", "new")
 
 

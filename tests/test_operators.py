@@ -132,6 +132,24 @@ def test_set_cover_takes_few_rounds_and_bounded_batches(spark, monkeypatch):
         assert sorted(map(tuple, G.set_cover(df, most).collect())) == want
 
 
+def test_set_cover_links_little_and_orders_once(spark, monkeypatch):
+    """Copies of a component whose tests all share a mutant, and a chain: links only
+    where least tests differ, and tests of whole components are not put in order."""
+    linked, ordered, components, running = [], [], G.components, G.running
+    monkeypatch.setattr(G, "components", lambda links, scratch=None: (linked.append(links.count()), components(links, scratch))[1])
+    monkeypatch.setattr(G, "running", lambda *a, **k: (ordered.append(1), running(*a, **k))[1])
+    kills = {100 * c + t: {f"{c}-{m * t % 11}" for m in range(t % 7 + 1)} for c in range(3) for t in range(20)}
+    kills |= {1000 + k: {f"chain {k}", f"chain {k + 1}"} for k in range(30)}
+    left, want = set().union(*kills.values()), []
+    while left:
+        t = min(kills, key=lambda t: (-len(kills[t] & left), t))  # noqa: B023
+        want.append((len(want) + 1, t, len(kills[t] & left)))
+        left -= kills[t]
+    df = spark.createDataFrame([(m, t) for t, ms in kills.items() for m in ms], "mutant string, test long")
+    assert sorted(map(tuple, G.set_cover(df).collect())) == want
+    assert linked[0] < 30 and len(ordered) == 1
+
+
 def test_folds_in_stretches_and_large_groups(spark):
     r = [((k * 37) % 50, k, float((k * 7919) % 13)) for k in range(300)]
     one = spark.createDataFrame([(1, t, i, v) for t, i, v in r], "k int, t int, i int, v double")
